@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +23,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import batches
 
 INFINITE = 1 << 62
-#: How many pre-tokens a worker remembers at most, and how long those are at most.
-REMEMBERED, REMEMBERED_LENGTH = 400_000, 64
+#: A worker remembers the pre-tokens of two generations, so many in each at most, and none longer than this.
+REMEMBERED, REMEMBERED_LENGTH = 600_000, 64
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -34,28 +35,32 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class SegmentTree:
-    """Minimum of (rank, position) over the leaves; ``put`` changes one leaf."""
+    """Minimum of (rank, position) over the leaves; ``put`` changes some of them."""
 
     def __init__(self, ranks: list[int]):
-        self.base = 1
-        while self.base < len(ranks):
-            self.base *= 2
+        n = len(ranks)
+        base = 1 << (n - 1).bit_length()
         #: A node holds rank << 32 | position, so the minimum is the leftmost of the lowest rank.
-        self.nodes = [INFINITE] * self.base + [r << 32 | k if r < INFINITE else INFINITE for k, r in enumerate(ranks)] + [INFINITE] * (self.base - len(ranks))
-        for k in range(self.base - 1, 0, -1):
-            a, b = self.nodes[2 * k], self.nodes[2 * k + 1]
-            self.nodes[k] = a if a < b else b
-
-    def put(self, position: int, rank: int) -> None:
-        nodes, k = self.nodes, self.base + position
-        nodes[k] = rank << 32 | position if rank < INFINITE else INFINITE
-        while k > 1:
-            k >>= 1
+        nodes = self.nodes = [INFINITE] * base + [r | k for k, r in enumerate(ranks)] + [INFINITE] * (base - n)
+        self.base = base
+        for k in range(base - 1, 0, -1):
             a, b = nodes[2 * k], nodes[2 * k + 1]
-            low = a if a < b else b
-            if nodes[k] == low:
-                return
-            nodes[k] = low
+            nodes[k] = a if a < b else b
+
+    def put(self, leaves: list[tuple[int, int]]) -> None:
+        """Each leaf (position, rank << 32), then up to the first ancestor that stays the same."""
+        nodes, base = self.nodes, self.base
+        for position, rank in leaves:
+            k = base + position
+            low = nodes[k] = rank | position
+            while k > 1:
+                other = nodes[k ^ 1]
+                if other < low:
+                    low = other
+                k >>= 1
+                if nodes[k] == low:
+                    break
+                nodes[k] = low
 
 
 class ByteBPE:
@@ -74,7 +79,7 @@ class ByteBPE:
         for k, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             key = vocabulary[a] << 32 | vocabulary[b]
-            self.rank.setdefault(key, k)
+            self.rank.setdefault(key, k << 32)
             self.merged.setdefault(key, vocabulary[a + b])
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.bytes_of = {i: bytes(back[c] for c in t) for t, i in vocabulary.items() if t not in self.special}
@@ -83,39 +88,44 @@ class ByteBPE:
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The ids of one pre-token."""
         n = len(symbols)
         if n < 2:
             return symbols
-        rank = self.rank.get
-        tree = SegmentTree([rank(symbols[k] << 32 | symbols[k + 1], INFINITE) for k in range(n - 1)])
+        rank, merged = self.rank.get, self.merged
+        tree = SegmentTree([rank(a << 32 | b, INFINITE) for a, b in zip(symbols, symbols[1:], strict=False)])
         after, before, nodes = list(range(1, n + 1)), list(range(-1, n - 1)), tree.nodes
         while nodes[1] < INFINITE:
             k = nodes[1] & 0xFFFFFFFF
             right = after[k]
-            symbols[k] = self.merged[symbols[k] << 32 | symbols[right]]
-            end = after[k] = after[right]
-            if right < n - 1:
-                tree.put(right, INFINITE)
+            new = symbols[k] = merged[symbols[k] << 32 | symbols[right]]
             symbols[right] = -1
+            end = after[k] = after[right]
+            leaves = []
             if end < n:
                 before[end] = k
-                tree.put(k, rank(symbols[k] << 32 | symbols[end], INFINITE))
+                leaves.append((right, INFINITE))
+                leaves.append((k, rank(new << 32 | symbols[end], INFINITE)))
             else:
-                tree.put(k, INFINITE)
+                if right < n - 1:
+                    leaves.append((right, INFINITE))
+                leaves.append((k, INFINITE))
             if (left := before[k]) >= 0:
-                tree.put(left, rank(symbols[left] << 32 | symbols[k], INFINITE))
+                leaves.append((left, rank(symbols[left] << 32 | new, INFINITE)))
+            tree.put(leaves)
         return [x for x in symbols if x >= 0]
 
     def piece(self, part: str) -> bytes:
         """One pre-token's ids, as little-endian 32-bit integers."""
-        first = self.first
-        ids = b"".join(x.to_bytes(4, "little") for x in self.merge([first[b] for b in part.encode()]))
+        if (ids := self.older.get(part)) is None:
+            first = self.first
+            ids = array("I", self.merge([first[b] for b in part.encode()])).tobytes()
         if len(part) <= REMEMBERED_LENGTH:
             if len(self.known) >= REMEMBERED:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[part] = ids
         return ids
 
@@ -123,11 +133,12 @@ class ByteBPE:
         """All ids of a text, as little-endian 32-bit integers."""
         if not text:
             return b""
-        known, piece, out = self.known.get, self.piece, []
+        piece, out = self.piece, []
         for section in self.cut(text) if self.cut and any(s in text for s in self.special) else (text,):
             if section in self.special:
                 out.append(self.special[section].to_bytes(4, "little"))
             else:
+                known = self.known.get
                 out += [known(x) or piece(x) for x in self.parts(section)]
         return b"".join(out)
 
