@@ -22,4 +22,27 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(s.component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN smallest s ON s.a = d.doc_id
 """
 
-QUERIES = {"op10_near_dedup": OP10_NEAR_DEDUP}
+OP7_MIXING = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, sum(source_size) OVER ()::DOUBLE AS total FROM s),
+o AS (SELECT *, 3 * source_size / weight AS stop FROM w),
+l AS (
+  SELECT *, row_number() OVER up AS rank,
+    (total - coalesce(sum(3 * source_size) OVER (up ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+      / sum(weight) OVER (up ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM o WINDOW up AS (ORDER BY stop, source NULLS LAST)
+), t AS (
+  SELECT source, source_size, least(3 * source_size::DOUBLE, weight * (SELECT min_by(level, rank) FROM l WHERE stop >= level)) AS target FROM l
+), n AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(floor(target + 0.5) / source_size) ELSE 0 END::BIGINT AS whole FROM t
+), c AS (
+  SELECT d.doc_id, d.size, n.source_size, n.target, n.whole, floor(n.target + 0.5)::BIGINT - n.whole * n.source_size AS need,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source
+)
+SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, need - before)))::BIGINT AS taken FROM c
+"""
+
+QUERIES = {"op7_mixing": OP7_MIXING, "op10_near_dedup": OP10_NEAR_DEDUP}
