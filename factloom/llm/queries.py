@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, html_extract, language_id, mixing, near_dedup, oracles, quality, suffix_dedup, url_filter
+from . import bpe, fingerprint, html_extract, language_id, mixing, near_dedup, oracles, quality, suffix_dedup, token_store, url_filter
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.read_documents(token_store.write_shards(table(spark, sf_dir, "documents")))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digests=True)
 
