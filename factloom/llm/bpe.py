@@ -164,23 +164,23 @@ def default_vocabulary() -> str:
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, ids array<bigint>, decoded string) of every row: a narrow map in bounded batches."""
+    """(doc_id, n_tokens, ids array<int>, decoded_sha256) of every row: a narrow map in bounded batches."""
+    import numpy as np
+
     ids_type = docs.schema[id_col].dataType
     ids_arrow, path = to_arrow_type(ids_type), vocabulary or default_vocabulary()
 
     def encode(arrow):
-        import numpy as np
-
         bpe = loaded(path)
         for doc_id, text in batches(arrow, ["a", "b"], 128):
             found = [bpe.encode(x) for x in text]
-            decoded = [bpe.decode(x) for x in found]
+            decoded = [hashlib.sha256(bpe.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in found]
             lengths = np.fromiter((len(x) // 4 for x in found), dtype=np.int64, count=len(found))
-            flat = np.frombuffer(b"".join(found), dtype="<u4").astype(np.int64)
+            flat = np.frombuffer(b"".join(found), dtype="<i4")
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(doc_id, ids_arrow), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc_id, ids_arrow), pa.array(lengths), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
 
-    return docs.select(docs[id_col].alias("a"), docs[text_col].alias("b")).mapInArrow(encode, f"doc_id {ids_type.simpleString()}, ids array<bigint>, decoded string")
+    return docs.select(docs[id_col].alias("a"), docs[text_col].alias("b")).mapInArrow(encode, f"doc_id {ids_type.simpleString()}, n_tokens bigint, ids array<int>, decoded_sha256 string")
 
 
 def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:

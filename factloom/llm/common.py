@@ -66,3 +66,10 @@ def batches(arrow, columns: list[str], rows: int = 512):
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             yield [part.column(part.schema.get_field_index(c)).to_pylist() for c in columns]
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``docs`` whose (id, hash of the text) isn't in ``dropped`` (columns _id, _hash); texts move only if ``dropped`` is too large to broadcast."""
+    dropped = small(dropped)
+    same = docs[id_col].eqNullSafe(dropped._id) & (F.xxhash64(docs[text_col]) == dropped._hash)
+    return docs.join(dropped, same, "left_anti")

@@ -65,22 +65,23 @@ def _crossing(rows: DataFrame, need: str, digit: str, cut: str, left: str) -> Da
     return found.select("source", F.col(digit).alias(cut), (F.col(need) - F.col("_before")).alias(left))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """(doc_id, source, size, source_size, target, rate, copies, taken) of every row: ``copies`` are whole ones, ``taken`` words."""
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, most: int, carry: bool) -> DataFrame:
+    """Every row with doc_id, source, size, what its source wants, and _whole and _extra; with ``carry`` also the whole row as ``_row``."""
     key = F.md5(F.coalesce(docs[id_col].cast("string"), F.lit("")))
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), F.size(words(docs[text_col])).cast("bigint").alias("size"), key.alias("_h"))
-    rows = stored(rows, "sizes")
+    measured = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), F.size(words(docs[text_col])).cast("bigint").alias("size"), key.alias("_h"), *([F.struct(*[docs[c] for c in docs.columns]).alias("_row")] if carry else []))
+    rows = stored(measured.drop("_row"), "sizes")
     sources = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     rate = F.coalesce(F.exp(tilt(F.col("source_size"), F.col("target"), most)), F.lit(0.0))
-    words_wanted = F.floor(F.col("target") + 0.5)
-    sources = sources.withColumn("rate", rate).withColumn("_whole", F.least(F.floor(F.col("rate") + 1e-9), F.when(F.col("source_size") > 0, F.floor(words_wanted / F.col("source_size"))).otherwise(0)))
-    sources = stored(sources.withColumn("_need", words_wanted - F.col("_whole") * F.col("source_size")), "rates")
-    first, second = F.substring("_h", 1, DIGITS), F.substring("_h", DIGITS + 1, DIGITS)
-    rows = _with(rows, sources).withColumns({"_a": first, "_b": second})
+    wanted = F.floor(F.col("target") + 0.5)
+    sources = sources.withColumn("rate", rate).withColumn("_whole", F.least(F.floor(F.col("rate") + 1e-9), F.when(F.col("source_size") > 0, F.floor(wanted / F.col("source_size"))).otherwise(0)))
+    sources = stored(sources.withColumn("_need", wanted - F.col("_whole") * F.col("source_size")), "rates")
+    prefixes = {"_a": F.substring("_h", 1, DIGITS), "_b": F.substring("_h", DIGITS + 1, DIGITS)}
+    rows = _with(rows, sources).withColumns(prefixes)
     cut_a = stored(_crossing(rows, "_need", "_a", "_cut_a", "_need_a"), "cuts")
-    rows = _with(rows, cut_a)
-    cut_b = stored(_crossing(rows.filter("_a = _cut_a"), "_need_a", "_b", "_cut_b", "_need_b"), "cuts")
-    rows = _with(rows, cut_b)
+    cut_b = stored(_crossing(_with(rows, cut_a).filter("_a = _cut_a"), "_need_a", "_b", "_cut_b", "_need_b"), "cuts")
+    if carry:  # the texts are read once more, and move only if they are at a crossing
+        rows = _with(measured, sources).withColumns(prefixes)
+    rows = _with(_with(rows, cut_a), cut_b)
     # a source without a crossing needs all its words once more, or none
     inside = (F.col("_a") == F.col("_cut_a")) & (F.col("_b") == F.col("_cut_b"))
     early = F.col("_cut_a").isNull() & (F.col("_need") > 0) | (F.col("_a") < F.col("_cut_a")) | (F.col("_a") == F.col("_cut_a")) & (F.col("_b") < F.col("_cut_b"))
@@ -88,8 +89,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     upward = Window.partitionBy("source").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     last = rows.filter(inside).withColumn("_sum", F.coalesce(F.sum("size").over(upward), F.lit(0)))
     last = last.withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_need_b") - F.col("_sum")))).drop("_sum")
-    return plain.unionByName(last).select(
+    return plain.unionByName(last)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST) -> DataFrame:
+    """(doc_id, source, size, source_size, target, rate, copies, taken) of every row: ``copies`` are whole ones, ``taken`` words."""
+    return _mixed(docs, id_col, text_col, source_col, weights, most, False).select(
         "doc_id", "source", "size", "source_size", "target", "rate",
         (F.col("_whole") + F.when((F.col("_extra") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0)).cast("bigint").alias("copies"),
         (F.col("_whole") * F.col("size") + F.col("_extra")).cast("bigint").alias("taken"),
     )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST) -> DataFrame:
+    """The mix itself: each row of ``docs`` as many times as it has copies. The document at a source's crossing is whole if at least half of it is wanted; texts without words have no part in a mix of words and stay out."""
+    rows = _mixed(docs, id_col, text_col, source_col, weights, most, True)
+    copies = F.col("_whole") + F.when((2 * F.col("_extra") >= F.col("size")) & (F.col("_extra") > 0), 1).otherwise(0)
+    return rows.filter("size > 0").select("_row", copies.cast("int").alias("_n")).filter("_n > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")

@@ -217,3 +217,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     changed = stored(classes.filter("copies > 1 or component_id != rep").select("node", "component_id"), "changed")
     out = signed.select("doc_id", "n", "node").join(small(changed), "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of near copies (that of the smallest doc_id), with all its columns; repeated rows of that one stay."""
+    found = near_duplicates(docs, k, percent, id_col, text_col).filter("not kept").select("doc_id").distinct()
+    found = small(stored(found.select(F.col("doc_id").alias("_id")), "dropped"))
+    return docs.join(found, docs[id_col] == found._id, "left_anti")

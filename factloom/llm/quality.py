@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, small, stored, total, words
+from .common import let, small, stored, total, without, words
 
 #: Transformed statistics and the standard deviation that each is given at least.
 STATISTICS = (("log_words", 0.7), ("log_word_length", 0.12), ("symbols", 0.055), ("repeated_lines", 0.25), ("repeated_words", 0.15))
@@ -56,8 +56,8 @@ def counts(text: Column) -> list[Column]:
 
 
 def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    rows = docs.select(docs[id_col].alias("doc_id"), *[docs[c].alias(f"_{c}") for c in keep], *counts(docs[text_col]))
-    rows = rows.select("doc_id", *[f"_{c}" for c in keep], "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words")
+    rows = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("_hash"), *[docs[c].alias(f"_{c}") for c in keep], *counts(docs[text_col]))
+    rows = rows.select("doc_id", "_hash", *[f"_{c}" for c in keep], "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words")
     return rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -122,12 +122,22 @@ def robust_verdicts(rows: DataFrame, statistics=STATISTICS, cutoff: float = CUTO
     return _with(rows, estimates).withColumn("d2", _distance(p)).drop("n", *[f"m{i}" for i in range(p)], *[f"k{i}_{j}" for i in range(p) for j in range(i + 1)])
 
 
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, str] = ("lang", "source"), cutoff: float = CUTOFF) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept) of every row."""
+def _verdicts(docs: DataFrame, id_col: str, text_col: str, group_cols: tuple[str, str], cutoff: float) -> DataFrame:
     base = stored(base_statistics(docs, id_col, text_col, list(group_cols)).withColumnsRenamed({f"_{c}": f"g{i}" for i, c in enumerate(group_cols)}), "statistics")
     judged = robust_verdicts(base.filter("not base_failed").select("*", *transformed()), cutoff=cutoff)
     whole = base.filter("base_failed").withColumn("d2", F.lit(None).cast("double")).unionByName(judged.drop("x0", "x1", "x2", "x3", "x4"))
     return whole.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("d2", 6).alias("distance"),
+        "doc_id", "_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("d2", 6).alias("distance"),
         (~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)).alias("kept"),
     )
+
+
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, str] = ("lang", "source"), cutoff: float = CUTOFF) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept) of every row."""
+    return _verdicts(docs, id_col, text_col, group_cols, cutoff).drop("_hash")
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, str] = ("lang", "source"), cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns."""
+    found = _verdicts(docs, id_col, text_col, group_cols, cutoff).filter("not kept").select(F.col("doc_id").alias("_id"), "_hash").distinct()
+    return without(docs, stored(found, "rejected"), id_col, text_col)

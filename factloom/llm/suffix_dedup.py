@@ -355,3 +355,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranges = repeated_ranges(docs, id_col, text_col)
     rows = docs.select(docs[id_col].alias("a"), docs[text_col].alias("b"))
     return rows.join(ranges, rows.a == ranges.doc, "left").select("a", "b", "ranges").mapInArrow(cut, f"doc_id {ids_type.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, {name} string")
+
+
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the same columns, where each text has lost what repeats earlier bytes; ``chars_col``, if there, counts what is left."""
+
+    def cut(arrow):
+        for batch in arrow:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = []
+                for text, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    raw = (text or "").encode("utf-8", "surrogatepass")
+                    texts.append(None if text is None else remaining(raw, whole_characters(raw, merged(found, len(raw)))).decode("utf-8", "surrogatepass"))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["rest", "kept"])
+
+    ranges = repeated_ranges(docs, id_col, text_col)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("rest"), docs[text_col].alias("b"), docs[id_col].alias("a"))
+    kept = rows.join(ranges, rows.a == ranges.doc, "left").select("rest", "b", "ranges").mapInArrow(cut, f"rest {rows.schema['rest'].dataType.simpleString()}, kept string")
+
+    def column(c: str):
+        if c == chars_col:
+            return F.char_length("kept").cast(docs.schema[c].dataType).alias(c)
+        return (F.col("kept") if c == text_col else F.col("rest")[c]).alias(c)
+
+    return kept.select(*[column(c) for c in docs.columns])
