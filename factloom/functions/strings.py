@@ -61,5 +61,6 @@ def case_id(*parts: Column) -> Column:
 
 
 def six_digits(value: Column) -> Column:
-    """A number as text with six significant digits."""
-    return F.format_string("%.6g", value.cast("double"))
+    """A number as text with at most six significant digits and no trailing zeros."""
+    text = F.format_string("%.6g", value.cast("double"))
+    return F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+(e.*)?$", "$1$2"), r"\.(e.*)?$", "$1")

@@ -465,7 +465,7 @@ def normalized_vector(spark, sf_dir):
 @query(f"WITH {features_sql(match_type='hard', radius=0, distance=0, cte=True)} SELECT case_id, feature, round(value, 6) AS value FROM f UNION ALL SELECT vid, {sql_hash_string("'balance_1'")}, round(nums[1], 6) FROM v WHERE sig = 'supplier'")
 def ghost_feature_query(spark, sf_dir):
     g = _suppliers(spark, sf_dir)
-    ghosts = g.vertices.filter("sig = 'supplier'").select(F.col("vid").alias("case_id"), F.lit(1).alias("place"), F.col("nums")[0].alias("value"))
+    ghosts = g.vertices.filter("sig = 'supplier'").select(F.col("vid").alias("case_id"), F.lit(1).alias("place"), F.get("nums", F.lit(0)).alias("value"))
     return ghost_features(Kernel(g, KernelOptions()).features(_supplier_cases(g)), ghosts, "balance").withColumn("value", F.round("value", 6))
 
 
@@ -528,7 +528,7 @@ def candidates(spark, sf_dir):
     return case_ops.candidates(suppliers_domain(), base_tables(spark, sf_dir), "supp_in")
 
 
-@query(f"WITH {PAIRS} SELECT ex || '/supp_in/' || supplier || '/' || cand.nation AS case_id, CASE WHEN s.id IS NULL THEN -1.0 ELSE 1.0 END AS label FROM cand LEFT JOIN s ON s.id = supplier AND s.nation = cand.nation".replace("SELECT ex ||", "SELECT cand.ex ||"))
+@query(f"WITH {PAIRS} SELECT ex || '/supp_in/' || supplier || '/' || cand.nation AS case_id, CASE WHEN s.id IS NULL THEN -1.0 ELSE 1.0 END::DOUBLE AS label FROM cand LEFT JOIN s ON s.id = supplier AND s.nation = cand.nation".replace("SELECT ex ||", "SELECT cand.ex ||"))
 def case_labels(spark, sf_dir):
     d, t = suppliers_domain(), base_tables(spark, sf_dir)
     return case_ops.existence_labels(d, t, "supp_in", case_ops.candidates(d, t, "supp_in")).select("case_id", "label")
@@ -565,7 +565,7 @@ def reject_sample(spark, sf_dir):
     return case_ops.reject(rows, (F.col("o_orderstatus") == "O") & (case_ops.hash_share("case_id") > 0.1)).select("case_id", "rejected")
 
 
-@query(f"SELECT o_orderkey::VARCHAR AS case_id, label FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE -1.0 END AS label FROM orders) WHERE label > 0 OR {_md5_share('o_orderkey::VARCHAR')} < 0.25")
+@query(f"SELECT o_orderkey::VARCHAR AS case_id, label FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE -1.0 END::DOUBLE AS label FROM orders) WHERE label > 0 OR {_md5_share('o_orderkey::VARCHAR')} < 0.25")
 def negatives_sampled(spark, sf_dir):
     rows = load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("case_id"), F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(-1.0).alias("label"))
     return sinks.negatives_sampled(rows, 0.25)
@@ -587,7 +587,7 @@ def kfold_assign(spark, sf_dir):
 
 @query(f"SELECT n_nationkey AS ex, (row_number() OVER {ORDERED.replace('(', '(PARTITION BY n_regionkey ', 1)} - 1) % 3 AS fold FROM nation")
 def stratified_assign(spark, sf_dir):
-    return splits.stratified(_ids(spark, sf_dir), 3, "stratum", 7)
+    return splits.stratified(_ids(spark, sf_dir), 3, "stratum", 7).select("ex", "fold")
 
 
 @query("SELECT r_regionkey AS ex, row_number() OVER (ORDER BY r_regionkey) - 1 AS fold FROM region")
@@ -614,8 +614,8 @@ def prepartitioned(spark, sf_dir):
 # -- metrics -----------------------------------------------------------------------------------------------------------
 
 #: Deterministic predictions: orders above a price are said to be finished.
-PREDS = "p AS (SELECT o_orderpriority || '/' || o_orderkey AS case_id, o_orderpriority AS fold, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE -1.0 END AS label, (o_totalprice - 150000) / 1000 AS prediction FROM orders)"
-CLASSES = "k AS (SELECT o_orderpriority || '/' || o_orderkey AS case_id, CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 2.0 ELSE 3.0 END AS label, (1 + o_custkey % 3)::DOUBLE AS prediction FROM orders)"
+PREDS = "p AS (SELECT o_orderpriority || '/' || o_orderkey AS case_id, o_orderpriority AS fold, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE -1.0 END::DOUBLE AS label, (o_totalprice - 150000) / 1000 AS prediction FROM orders)"
+CLASSES = "k AS (SELECT o_orderpriority || '/' || o_orderkey AS case_id, CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 2.0 ELSE 3.0 END::DOUBLE AS label, (1 + o_custkey % 3)::DOUBLE AS prediction FROM orders)"
 
 
 def _preds(spark, sf_dir):
@@ -719,7 +719,7 @@ def _learn(spark, sf_dir, model: str, label=None, **options) -> DataFrame:
     """Bands of suppliers from their neighbourhoods, a fold a region."""
     g = _suppliers(spark, sf_dir)
     v = g.vertices.filter("sig = 'supplier'")
-    cases = v.select("ex", F.col("vid").alias("case_id"), F.array("vid").alias("viewpoints"), (F.when(F.col("syms")[1] == "high", 1.0).otherwise(-1.0) if label is None else label).alias("label"))
+    cases = v.select("ex", F.col("vid").alias("case_id"), F.array("vid").alias("viewpoints"), (F.when(F.get("syms", F.lit(1)) == "high", 1.0).otherwise(-1.0) if label is None else label).alias("label"))
     found = remap(Kernel(g, KernelOptions(match_type="soft", radius=1, distance=2)).features(cases))
     folds = splits.leave_one_out(cases)
     return models.cross_validate(found, cases, folds, model, **options)
@@ -747,26 +747,26 @@ def nu_svc(spark, sf_dir):
 
 @query(None)
 def eps_svr(spark, sf_dir):
-    return _learn(spark, sf_dir, "dual_eps_svr", F.col("nums")[0] / 10000, c=1.0)
+    return _learn(spark, sf_dir, "dual_eps_svr", F.get("nums", F.lit(0)) / 10000, c=1.0)
 
 
 @query(None)
 def nu_svr(spark, sf_dir):
-    return _learn(spark, sf_dir, "dual_nu_svr", F.col("nums")[0] / 10000, c=1.0)
+    return _learn(spark, sf_dir, "dual_nu_svr", F.get("nums", F.lit(0)) / 10000, c=1.0)
 
 
 @query(None)
 def ols_cv(spark, sf_dir):
-    return _learn(spark, sf_dir, "ols_sgd", F.col("nums")[0] / 10000)
+    return _learn(spark, sf_dir, "ols_sgd", F.get("nums", F.lit(0)) / 10000)
 
 
 @query(None)
 def multiclass_ovo(spark, sf_dir):
-    return _learn(spark, sf_dir, "dual_c_svc_mc", F.floor(F.col("nums")[0] / 4000).cast("double"))
+    return _learn(spark, sf_dir, "dual_c_svc_mc", F.floor(F.get("nums", F.lit(0)) / 4000).cast("double"))
 
 
 @query(None)
-def linear_svc_distributed(spark, sf_dir):
+def logistic_distributed(spark, sf_dir):
     """The distributed linear model on orders: no row leaves the executors."""
     from pyspark.ml.feature import VectorAssembler
 

@@ -8,6 +8,7 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.strings import six_digits
 from ..operators.deduce import EX
 from ..operators.graph import Graph
 
@@ -58,22 +59,22 @@ def export_graph(graph: Graph, path: str, form: str, simple: bool = False) -> No
 
 def libsvm_lines(features: DataFrame, cases: DataFrame) -> DataFrame:
     """(case_id, value): ``label index:value ... # case``, indexes ascending."""
-    entry = F.transform(F.sort_array(F.collect_list(F.struct("feature", "value"))), lambda x: F.format_string("%d:%.6g", x.feature, x.value))
+    entry = F.transform(F.sort_array(F.collect_list(F.struct("feature", "value"))), lambda x: F.concat(x.feature.cast("string"), F.lit(":"), six_digits(x.value)))
     rows = features.groupBy("case_id").agg(entry.alias("x"))
-    return cases.select("case_id", "label").join(rows, "case_id", "left").select("case_id", F.concat_ws(" ", F.format_string("%.6g", "label"), F.concat_ws(" ", "x"), F.concat(F.lit("# "), "case_id")).alias("value"))
+    return cases.select("case_id", "label").join(rows, "case_id", "left").select("case_id", F.concat_ws(" ", six_digits(F.col("label")), F.concat_ws(" ", "x"), F.concat(F.lit("# "), "case_id")).alias("value"))
 
 
 def libsvm_subset(features: DataFrame, cases: DataFrame, group: str) -> DataFrame:
     """The same for cases that aren't rejected, with a query number per group."""
     kept = cases.filter(~F.col("rejected")) if "rejected" in cases.columns else cases
     numbers = kept.select(group).distinct().withColumn("qid", F.row_number().over(Window.orderBy(group)))
-    entry = F.transform(F.sort_array(F.collect_list(F.struct("feature", "value"))), lambda x: F.format_string("%d:%.6g", x.feature, x.value))
+    entry = F.transform(F.sort_array(F.collect_list(F.struct("feature", "value"))), lambda x: F.concat(x.feature.cast("string"), F.lit(":"), six_digits(x.value)))
     rows = features.groupBy("case_id").agg(entry.alias("x"))
-    return kept.join(numbers, group).join(rows, "case_id", "left").select("case_id", "qid", F.concat_ws(" ", F.format_string("%.6g", "label"), F.concat(F.lit("qid:"), F.col("qid").cast("string")), F.concat_ws(" ", "x")).alias("value"))
+    return kept.join(numbers, group).join(rows, "case_id", "left").select("case_id", "qid", F.concat_ws(" ", six_digits(F.col("label")), F.concat(F.lit("qid:"), F.col("qid").cast("string")), F.concat_ws(" ", "x")).alias("value"))
 
 
 def prediction_lines(preds: DataFrame) -> DataFrame:
-    return preds.select("case_id", F.format_string("%s\t%.6g\t%.6g", "case_id", "label", "prediction").alias("value"))
+    return preds.select("case_id", F.concat_ws("\t", "case_id", six_digits(F.col("label")), six_digits(F.col("prediction"))).alias("value"))
 
 
 def induced_lines(facts: DataFrame, prefix: str = "pred_") -> DataFrame:
