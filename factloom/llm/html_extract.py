@@ -36,7 +36,7 @@ LABELLED = (
     # containers that say what they are
     (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0), (2, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (8, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0), (12, 0.0, 30, 0.0, 0, 0.0, 1, 0, 0),
     (40, 0.0, 10, 0.0, 50, 0.0, 1, 0, 0), (25, 0.0, 60, 0.0, 25, 0.0, 1, 1, 0), (7, 0.0, 60, 0.0, 30, 0.0, 1, 1, 0), (90, 0.0, 2, 0.0, 2, 0.0, 1, 0, 0),
-    (60, 0.2, 15, 0.5, 4, 1.0, 1, 0, 0), (3, 0.0, 2, 0.0, 2, 0.0, 1, 1, 0), (120, 0.0, 100, 0.0, 80, 0.0, 1, 1, 0), (18, 0.6, 5, 1.0, 40, 0.0, 1, 0, 0),
+    (2, 1.0, 1, 1.0, 90, 0.0, 1, 0, 0), (1, 1.0, 2, 1.0, 70, 0.0, 1, 0, 0), (3, 1.0, 2, 1.0, 140, 0.0, 1, 1, 0), (5, 1.0, 3, 1.0, 90, 0.0, 1, 0, 0), (8, 0.9, 2, 1.0, 110, 0.0, 1, 0, 0), (5, 1.0, 90, 0.0, 2, 1.0, 1, 0, 0), (6, 1.0, 140, 0.0, 0, 0.0, 1, 0, 0), (60, 0.2, 15, 0.5, 4, 1.0, 1, 0, 0), (3, 0.0, 2, 0.0, 2, 0.0, 1, 1, 0), (120, 0.0, 100, 0.0, 80, 0.0, 1, 1, 0), (18, 0.6, 5, 1.0, 40, 0.0, 1, 0, 0),
     # pages without marks: text
     (45, 0.0, 6, 0.0, 50, 0.0, 0, 0, 1), (30, 0.05, 60, 0.0, 25, 0.1, 0, 0, 1), (16, 0.0, 40, 0.0, 35, 0.0, 0, 0, 1), (7, 0.0, 4, 1.0, 48, 0.0, 0, 0, 1),
     (5, 0.0, 52, 0.0, 44, 0.0, 0, 0, 1), (70, 0.2, 3, 1.0, 2, 0.0, 0, 0, 1), (22, 0.0, 33, 0.0, 2, 1.0, 0, 0, 1), (100, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1),
@@ -44,7 +44,8 @@ LABELLED = (
     # pages without marks: the rest
     (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0), (1, 1.0, 1, 1.0, 40, 0.0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0), (5, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0),
     (10, 0.8, 40, 0.0, 3, 1.0, 0, 0, 0), (4, 0.0, 2, 0.0, 3, 1.0, 0, 0, 0), (6, 0.6, 5, 1.0, 5, 1.0, 0, 0, 0), (20, 0.9, 12, 1.0, 15, 1.0, 0, 0, 0),
-    (3, 0.0, 1, 1.0, 1, 0.0, 0, 0, 0), (2, 0.0, 4, 0.0, 2, 0.0, 0, 0, 0),
+    (3, 0.0, 1, 1.0, 1, 0.0, 0, 0, 0), (2, 0.0, 4, 0.0, 2, 0.0, 0, 0, 0), (1, 1.0, 80, 0.0, 1, 1.0, 0, 0, 0), (3, 1.0, 150, 0.0, 2, 1.0, 0, 0, 0),
+    (2, 1.0, 1, 1.0, 80, 0.0, 0, 0, 0), (1, 1.0, 2, 1.0, 120, 0.0, 0, 0, 0), (6, 1.0, 4, 1.0, 100, 0.0, 0, 0, 0), (6, 1.0, 120, 0.0, 0, 0.0, 0, 0, 0), (5, 1.0, 75, 0.0, 5, 1.0, 0, 0, 0), (2, 1.0, 95, 0.0, 0, 0.0, 0, 0, 0), (4, 1.0, 60, 0.0, 3, 1.0, 0, 0, 0),
 )
 
 SILENT = frozenset("script style noscript template svg math head title iframe object canvas audio video select option button textarea".split())

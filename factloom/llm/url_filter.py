@@ -27,6 +27,7 @@ BLOCK = (
     "http://spam-farm.example.com/en/1", "https://blog.link-farm.example.net/es/44", "http://content-farm.example.org/p/2", "https://spam-links.example.com/x",
     "http://ads-track.example.com/en/9", "https://www.track-ads.example.net/click?id=2", "http://ad-tracker.example.org/pixel", "https://clicks-ads.example.com/r/77",
     "http://adult-x.example.net/en/31", "https://www.xxx-adult.example.com/cams", "http://adult-videos.example.org/hot/3", "https://sex-cams.example.com/live",
+    "http://pharmacy-deals.net/viagra", "http://adult-x.example.com/de/8.html", "https://www.adult-x.example.net/fr/520?page=2", "http://blog.adult-x.example.org/en/963/", "https://adult-chat.net/room", "http://buy-cheap-meds.com", "https://m.cheap-pills.net/en/4", "https://mega-casino.io/slots", "http://hot-xxx.tv", "https://bet-now.co/odds", "http://spam-offers.biz/go", "https://ads-network.co.uk/click",
     "http://win-money-fast.example.com/en/4", "https://payday-loans.example.net/apply", "http://free-crack-warez.example.org/dl", "https://replica-watches.example.com/sale",
 )
 ALLOW = (
@@ -37,6 +38,11 @@ ALLOW = (
     "http://tionth.example.com/en/9", "https://www.theres.example.net/story?id=2", "http://ererin.example.org/page", "https://onthat.example.com/r/77",
     "http://blog.ouaire.example.net/en/31", "https://www.keiten.example.com/verein", "http://lengua.example.org/casa/3", "https://m.maison.example.com/jardin",
     "http://well-being.example.com/en/4", "https://new-york.example.net/map", "http://open-source.example.org/dl", "https://city-council.example.com/minutes",
+    "http://en.encyclopedia.org/wiki/Cat", "https://code.host.com/user/project", "http://daily-news.co.uk/news/3", "https://university.edu/physics", "http://gov.data.gov/table", "https://village-museum.net/garden",
+    "http://a.org", "https://b.net/", "http://my-blog.me/2020/05", "https://shop.books.com/item/44", "http://maps.travel.io/city", "https://forum.linux.dev/t/12",
+    "http://radio.fm/live", "https://kitchen.co/soup", "http://zoo.info", "https://docs.python.dev/library", "http://quiet.river.ca/walk", "https://paper.journal.eu/vol/7",
+    "http://museum.de/", "https://ecole.fr/cours", "http://kunst.at/haus", "https://casa.es/vida", "http://uni.ch/kurs", "https://x.y/z", "http://photo.gallery.jp", "https://open.map.nl/tile",
+    "http://weather.se/today", "https://chess.club/game", "http://farm.coop/milk", "https://train.rail.pl/plan",
     "http://thth.example.net/en/617/", "https://ththan.example.com/de/25.html", "http://m.ththor.example.org/fr/98", "https://ththble.example.net/en/3?page=2&ref=x",
 )
 BITS, GRAMS, STEPS, RATE, PENALTY = 15, (3, 4, 5), 300, 2.0, 1e-4
