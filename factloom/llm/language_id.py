@@ -14,6 +14,7 @@ more than LONGEST letters are scored in parts of that length; repeated rows give
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -46,10 +47,17 @@ def pieces(path: str) -> list[str]:
     return sorted(x for x in found if x.replace("▁", "a").isalpha() and "▁" not in x[1:])
 
 
+#: Letters below U+0250, which a plain character class tells faster than Unicode properties.
+_LATIN = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ɏ]+").findall
+
+
 def letter_runs(text: str) -> list[str]:
     import regex
 
-    return regex.findall(r"\p{L}+", text.lower())
+    text = text.lower()
+    if text.isascii() or int(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").max()) < 0x250:
+        return _LATIN(text)
+    return regex.findall(r"\p{L}+", text)
 
 
 def parts(word: str) -> list[str]:
@@ -168,31 +176,84 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 class Scorer:
-    """Scores texts; remembers the words it has met."""
+    """Scores texts, remembering the words it has met; new words of a batch go through the forward algorithm together."""
 
     def __init__(self, table: dict[str, tuple[float, ...]], languages: list[str]):
-        self.table, self.languages, self.row = table, languages, {}
+        self.languages, self.longest, self.row = languages, max(1, table[""]), {}
+        names = [x for x in table if x]
+        #: Row 0 is no piece, row 1 an unknown letter.
+        self.p = np.array([(0.0,) * len(languages), (UNKNOWN,) * len(languages), *[table[x] for x in names]]).reshape(2 + len(names), len(languages))
+        #: Every piece and every beginning of one: its row, or 0 for a mere beginning.
+        self.pieces = {x[:k]: 0 for x in names for k in range(1, len(x))} | {x: k for k, x in enumerate(names, 2)}
         self.scores = np.zeros((1024, len(languages)))
 
-    def _add(self, word: str) -> int:
-        k = len(self.row)
-        if k == len(self.scores):
+    def _same_length(self, words: list[str], n: int) -> np.ndarray:
+        """Log probabilities of words of one length."""
+        get, longest = self.pieces.get, min(n, self.longest)
+        found, marked = np.zeros((n, longest, len(words)), np.int32), np.zeros((n, len(words)), np.int32)
+        places, values, starts, firsts = [], [], [], []
+        for w, word in enumerate(words):
+            for start in range(n):
+                for end in range(start + 1, min(n, start + longest) + 1):
+                    if (k := get(word[start:end])) is None:
+                        break
+                    if k:
+                        places.append(((end - 1) * longest + end - start - 1) * len(words) + w)
+                        values.append(k)
+            for end in range(1, longest + 1):
+                if (k := get("▁" + word[:end])) is None:
+                    break
+                if k:
+                    starts.append((end - 1) * len(words) + w)
+                    firsts.append(k)
+        found.reshape(-1)[places] = values
+        marked.reshape(-1)[starts] = firsts
+        lone = found[:, 0, :]
+        unknown = lone == 0
+        unknown[0] &= marked[0] == 0
+        lone[unknown] = 1
+        alpha = np.ones((n + 1, len(words), len(self.languages)))
+        for end in range(1, n + 1):
+            total = self.p[marked[end - 1]]
+            for length in range(1, min(end, longest) + 1):
+                if (rows := found[end - 1, length - 1]).any():
+                    total = total + alpha[end - length] * self.p[rows]
+            alpha[end] = total
+        return np.log(np.maximum(alpha[n], 1e-320))
+
+    def learn(self, words: set[str]) -> None:
+        """Scores of new words."""
+        by_length: dict[int, list[tuple[str, int]]] = {}
+        order = sorted(words)
+        for k, word in enumerate(order):
+            for part in parts(word):
+                by_length.setdefault(len(part), []).append((part, k))
+        found = np.zeros((len(order), len(self.languages)))
+        for n, items in sorted(by_length.items()):
+            for at in range(0, len(items), 2048):
+                some = items[at : at + 2048]
+                np.add.at(found, [k for _, k in some], self._same_length([x for x, _ in some], n))
+        first = len(self.row)
+        while first + len(order) > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[k] = np.sum([forward(x, self.table, len(self.languages)) for x in parts(word)], axis=0)
-        self.row[word] = k
-        return k
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = letter_runs(text) if text and self.languages else []
-        if not words:
-            return "und", 0.0
+        self.scores[first : first + len(order)] = found
+        self.row.update(zip(order, range(first, first + len(order)), strict=True))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        runs = [letter_runs(x) if x and self.languages else [] for x in texts]
         if len(self.row) > REMEMBERED:
             self.row.clear()
-        get, add = self.row.get, self._add
-        rows = [k if (k := get(w)) is not None else add(w) for w in words]
-        total = self.scores[rows].sum(axis=0)
-        best = int(total.argmax())
-        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
+        if new := set().union(*runs).difference(self.row):
+            self.learn(new)
+        out = []
+        for words in runs:
+            if not words:
+                out.append(("und", 0.0))
+                continue
+            total = self.scores[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))].sum(axis=0)
+            best = int(total.argmax())
+            out.append((self.languages[best], float(1 / np.exp(total - total[best]).sum())))
+        return out
 
 
 _SCORERS: dict[object, Scorer] = {}
@@ -212,7 +273,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             _SCORERS[tag] = Scorer(*sent.value)
         scorer = _SCORERS[tag]
         for doc_id, held_out, text in batches(arrow, ["a", "h", "b"], 128):
-            found = [scorer.predict(x) for x in text]
+            found = scorer.predict(text)
             yield pa.RecordBatch.from_arrays([pa.array(doc_id, ids_arrow), pa.array(held_out, pa.bool_()), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     held_out = F.pmod(F.crc32(F.coalesce(docs[id_col].cast("string"), F.lit(""))), 5) == 0
