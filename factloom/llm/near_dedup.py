@@ -2,14 +2,17 @@
 
 Words are parted by ASCII white space after lower-casing A-Z. A document's set holds its distinct
 k-word shingles (64-bit hashes). Of each permutation both the minimum and the maximum are kept, so a
-signature of 2p values takes p hash evaluations a shingle. Bands of these values propose candidates.
+signature of 2p values takes p hash evaluations a shingle. Bands of these values propose candidates, and
+four bits of every value make a sketch that estimates similarity.
 
-Equal sets collapse into one class first. Within the buckets of a band, each class is compared with one
-pseudo-random leader; links join classes into components, and only classes that share a bucket across
-different components are compared further. That loses no link between classes of a bucket that could
-change a component, and a large group of near copies costs about one comparison a member.
+Equal sets collapse into one class first. Within a bucket of a band, classes whose sketches come near
+the threshold are joined into a forest, of at most one edge a member; the forests of all buckets give
+clusters, outside which no link can lie. In a cluster the full sets decide: from class to class, only
+those not reached yet are compared, and again one link a member suffices. Buckets and clusters larger
+than a block are dealt as pairs of blocks, so no group outgrows a task and no link is lost.
 
-With 5 rows in 36 bands a pair at similarity 0.8 meets in some band but for 7 in 10 million; at 0.9, 6 in 10^15.
+With 5 rows in 36 bands a pair at similarity 0.8 meets in some band but for 7 in 10 million; at 0.9, 6 in
+10^15. A sketch of 640 values at 0.8 falls below NEAR, 5.5 standard deviations away, for 2 in 100 million.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; texts with
 fewer than k words have one shingle, the whole sequence; rows with a null doc_id link with nothing;
@@ -20,13 +23,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import batches, small, stored
 from .graph import components
 
 ROWS, BANDS = 5, 36
+#: Values in a sketch, and the share of equal four-bit values from which a pair is looked at (0.8 gives 0.8125 on average).
+VALUES, NEAR = 640, 0.7275
+#: Members of a block; groups of up to two blocks stay whole. Bytes of sets in a block of a cluster.
+BLOCK, BLOCK_BYTES = 1000, 32_000_000
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Shingles hashed at once: two such arrays stay in a core's cache.
 CHUNK = 1 << 15
@@ -38,7 +46,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -69,17 +77,17 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(mixed(h))
 
 
-def permutations(rows: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
+def permutations(values: int = VALUES) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20_240_817)
-    p = rows * bands // 2
+    p = values // 2
     return rng.integers(0, 1 << 63, p, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, p, dtype=np.uint64) * np.uint64(2)
 
 
-def band_keys(sets: list[np.ndarray], rows: int, bands: int, perms) -> np.ndarray:
-    """(number of sets, bands) bucket keys; all sets must have members."""
+def min_max(sets: list[np.ndarray], perms) -> np.ndarray:
+    """(number of sets, permutations, 2): minimum and maximum of each set under each permutation; all sets must have members."""
     factors, masks = perms
     p = len(factors)
-    out = np.empty((len(sets), 2 * p), np.uint64)
+    out = np.empty((len(sets), p, 2), np.uint64)
     sizes = [len(s) for s in sets]
     at = 0
     while at < len(sets):
@@ -93,36 +101,55 @@ def band_keys(sets: list[np.ndarray], rows: int, bands: int, perms) -> np.ndarra
         for j in range(p):
             np.bitwise_xor(x, masks[j], out=v)
             np.multiply(v, factors[j], out=v)
-            out[at:end, j] = np.minimum.reduceat(v, starts)
-            out[at:end, p + j] = np.maximum.reduceat(v, starts)
+            out[at:end, j, 0] = np.minimum.reduceat(v, starts)
+            out[at:end, j, 1] = np.maximum.reduceat(v, starts)
         at = end
-    values = out.reshape(len(sets), bands, rows)
-    keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(sets), bands)).copy()
+    return out
+
+
+def band_keys(values: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
+    """(number of sets, bands) bucket keys; a band has minima or maxima of different permutations."""
+    m = rows * bands // 2
+    x = np.concatenate([values[:, :m, 0], values[:, :m, 1]], axis=1).reshape(len(values), bands, rows)
+    keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), x.shape[:2]).copy()
     for j in range(rows):
-        keys = mixed(keys * MIX + values[:, :, j])
+        keys = mixed(keys * MIX + x[:, :, j])
     return keys
 
 
-def signatures(docs: DataFrame, k: int, id_col: str, text_col: str, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, n, node, keys): set size, 128-bit digest of the set and its bucket keys; both null for empty sets."""
-    ids_type = docs.schema[id_col].dataType.simpleString()
+def sketches(values: np.ndarray) -> np.ndarray:
+    """(number of sets, values / 2) bytes of two four-bit values."""
+    x = (mixed(values.reshape(len(values), -1)) & np.uint64(15)).astype(np.uint8)
+    return x[:, ::2] << 4 | x[:, 1::2]
+
+
+#: How many of the two four-bit values of a byte are 0.
+EQUAL = np.array([(b < 16) + (b % 16 == 0) for b in range(256)], np.uint8)
+
+
+def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n, node, keys, sketch): set size, 128-bit digest of the set, bucket keys and sketch; the last three null for empty sets."""
+    ids_type = docs.schema[id_col].dataType
+    ids_arrow = to_arrow_type(ids_type)
 
     def sign(arrow):
         import xxhash
-        from pyspark.sql.pandas.types import to_arrow_type
 
-        kind, perms = to_arrow_type(docs_type), permutations(rows, bands)
+        perms = permutations()
         for doc_id, text in batches(arrow, ["a", "b"], 256):
             sets = [shingle_set(x, k) for x in text]
             full = [s for s in sets if len(s)]
-            keys = iter(band_keys(full, rows, bands, perms).astype(np.int64) if full else [])
+            values = min_max(full, perms) if full else np.empty((0, VALUES // 2, 2), np.uint64)
+            keys, marks = iter(band_keys(values).astype(np.int64)), iter(sketches(values))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_id, kind), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets], pa.string()), pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64()))],
-                ["doc_id", "n", "node", "keys"],
-            )
+                [
+                    pa.array(doc_id, ids_arrow), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets], pa.string()),
+                    pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())), pa.array([next(marks).tobytes() if len(s) else None for s in sets], pa.binary()),
+                ],
+                ["doc_id", "n", "node", "keys", "sketch"],
+            )
 
-    docs_type = docs.schema[id_col].dataType
-    return docs.select(docs[id_col].alias("a"), docs[text_col].alias("b")).mapInArrow(sign, f"doc_id {ids_type}, n bigint, node string, keys array<bigint>")
+    return docs.select(docs[id_col].alias("a"), docs[text_col].alias("b")).mapInArrow(sign, f"doc_id {ids_type.simpleString()}, n bigint, node string, keys array<bigint>, sketch binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -139,84 +166,104 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str
     return rows.join(small(wanted), rows.a == wanted.rep, "left_semi").select("b").mapInArrow(make, "node string, set binary")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the similarity."""
-
-    def confirm(arrow):
-        for u, v, a, b in batches(arrow, ["u", "v", "a", "b"], 256):
-            keep = []
-            for k in range(len(u)):
-                x, y = np.frombuffer(a[k], np.uint64), np.frombuffer(b[k], np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in keep], pa.string()), pa.array([v[k] for k in keep], pa.string())], ["u", "v"])
-
-    left, right = sets.select(F.col("node").alias("u"), F.col("set").alias("a")), sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
-    return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(confirm, "u string, v string")
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, bands: int = BANDS, leader_rounds: int = 6) -> DataFrame:
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int((b[at] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def forest(sizes: np.ndarray, marks: np.ndarray, sets: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
+    """Edges that connect all that near sketches connect; with ``sets``, all that links of full sets connect.
+
+    Each member is expanded once, against those that no expansion has reached yet.
+    """
+    out: list[tuple[int, int]] = []
+    rest = np.arange(len(sizes))
+    least = NEAR * 2 * marks.shape[1]
+    while len(rest) > 1:
+        frontier, rest = [rest[0]], rest[1:]
+        while frontier and len(rest):
+            x = frontier.pop()
+            near = np.minimum(sizes[rest], sizes[x]) * 100 >= np.maximum(sizes[rest], sizes[x]) * percent
+            chosen = np.flatnonzero(near)
+            chosen = chosen[EQUAL[marks[rest[chosen]] ^ marks[x]].sum(axis=1, dtype=np.int32) >= least]
+            if sets is not None:
+                chosen = np.array([c for c in chosen if _linked(sets[x], sets[rest[c]], percent)], np.int64)
+            if len(chosen):
+                found = rest[chosen]
+                out += [(int(x), int(y)) for y in found]
+                frontier += found.tolist()
+                rest = np.delete(rest, chosen)
+    return out
+
+
+def _forests(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Edges (u, v) of each group (g, i, j); rows hold node, n, sketch and, if ``exact``, set."""
+
+    def grow(group):
+        nodes = [r[3] for r in group]
+        marks = np.frombuffer(b"".join(r[5] for r in group), np.uint8).reshape(len(group), -1)
+        edges = forest(np.array([r[4] for r in group]), marks, [np.frombuffer(r[6], np.uint64) for r in group] if exact else None, percent)
+        return [(nodes[a], nodes[b]) for a, b in edges]
+
+    def run(arrow):
+        group: list[tuple] = []
+        for batch in arrow:
+            edges = []
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if group and row[:3] != group[0][:3]:
+                    edges += grow(group)
+                    group = []
+                group.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.string()), pa.array([e[1] for e in edges], pa.string())], ["u", "v"])
+        edges = grow(group) if group else []
+        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.string()), pa.array([e[1] for e in edges], pa.string())], ["u", "v"])
+
+    columns = ["g", "i", "j", "node", "n", "sketch", *(["set"] if exact else [])]
+    return rows.select(*columns).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "node").mapInArrow(run, "u string, v string")
+
+
+def _dealt(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Each row to the pairs of blocks (i <= j) that its own block is part of."""
+    own = F.pmod(F.xxhash64("node"), F.col("_blocks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1), lambda b: F.struct(F.least(b, F.col("_own")).alias("i"), F.greatest(b, F.col("_own")).alias("j")))
+    return rows.withColumn("_blocks", blocks.cast("bigint")).withColumn("_own", own).withColumn("_p", F.explode(pairs)).select("*", "_p.i", "_p.j").drop("_blocks", "_own", "_p")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; component_id is the smallest doc_id reachable over links."""
-    signed = stored(signatures(docs, k, id_col, text_col, rows, bands), "signatures")
+    signed = stored(signatures(docs, k, id_col, text_col), "signatures")
     usable = signed.filter("node is not null and doc_id is not null")
-    classes = stored(usable.groupBy("node").agg(F.min(F.struct("doc_id", "n", "keys")).alias("x"), F.count(F.lit(1)).alias("copies")).select("node", F.col("x.doc_id").alias("rep"), "x.n", "x.keys", "copies"), "classes")
-    members = classes.select("node", "n", "rep", F.explode("keys").alias("key"))
-    shared = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key"), "buckets")
-    members = stored(members.join(small(shared), "key", "left_semi"), "members")
-
-    fits = F.least("n", "o") * 100 >= F.greatest("n", "o") * percent
-    ordered = [F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")]
-    sets = stored(_sets(docs, members.select("rep").distinct(), k, id_col, text_col), "sets")
-    links = tested = labels = None
-    open_members = members.select("key", "node", "n")
-    for turn in range(leader_rounds + 1):
-        size = open_members.agg(F.count(F.lit(1))).first()[0]
-        if size == 0:
-            break
-        last = turn == leader_rounds
-        if labels is not None:
-            # pairs of different components that share a bucket: all of them once they are few, else leaders again
-            in_bucket = open_members.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("c"))
-            left = in_bucket.groupBy("key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("p")).agg(F.sum("p") / 2).first()[0] or 0
-            last = last or left <= 4 * size + 10_000
-        if last and labels is not None:
-            other = open_members.select("key", F.col("node").alias("other"), F.col("n").alias("o"), F.col("component").alias("d"))
-            pairs = open_members.join(other, "key").filter((F.col("node") < F.col("other")) & (F.col("component") != F.col("d")) & fits)
-        else:
-            lead = open_members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("p"), "node", "n")).alias("x")).select("key", F.col("x.node").alias("other"), F.col("x.n").alias("o"))
-            pairs = open_members.join(small(stored(lead, "leaders")), "key").filter((F.col("node") != F.col("other")) & fits)
-            if labels is not None:
-                theirs = labels.select(F.col("node").alias("other"), F.col("component").alias("d"))
-                pairs = pairs.join(small(theirs), "other", "left").filter(F.col("component") != F.coalesce("d", "other"))
-        pairs = pairs.select(*ordered).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = stored(_links(pairs, sets, percent), "links")
-        links = found if links is None else links.union(found)
-        labels = stored(components(links), "components")
-        if last and turn:
-            break
-        named = members.select("key", "node", "n").join(small(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = small(stored(named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("m")).filter("a != b and m > 2").select("key"), "open"))
-        open_members = stored(named.join(split, "key", "left_semi"), "members")
-
-    if labels is None:
-        classes = classes.select("node", "rep", "copies", F.col("rep").alias("component_id"))
-    else:
-        named = classes.select("node", "rep", "copies").join(small(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        first = stored(named.join(small(labels), "node", "left_semi").groupBy("component").agg(F.min("rep").alias("component_id")), "firsts")
-        classes = named.join(small(first), "component", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
+    classes = stored(usable.groupBy("node").agg(F.min(F.struct("doc_id", "n", "keys", "sketch")).alias("x"), F.count(F.lit(1)).alias("copies")).select("node", F.col("x.doc_id").alias("rep"), "x.n", "x.keys", "x.sketch", "copies"), "classes")
+    several = lambda m: F.when(m > 2 * BLOCK, F.ceil(m / BLOCK)).otherwise(1)
+
+    rows = classes.select("node", F.explode("keys").alias("g"))
+    shared = stored(rows.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets")
+    members = stored(rows.join(shared, "g"), "members")
+    marked = members.join(classes.select("node", "n", "sketch"), "node")
+    near = stored(_forests(_dealt(marked, several(F.col("m"))), percent, exact=False), "near")
+
+    clusters = stored(components(near), "clusters")
+    sizes = classes.join(clusters, "node").select("node", "rep", "n", "sketch", F.col("component").alias("g"))
+    sizes = stored(sizes, "clustered")
+    per_cluster = stored(sizes.groupBy("g").agg(F.count(F.lit(1)).alias("m"), (8 * F.sum("n")).alias("bytes")), "sizes")
+    sets = _sets(docs, sizes.select("rep"), k, id_col, text_col)
+    full = sizes.join(per_cluster, "g").join(sets, "node")
+    links = stored(_forests(_dealt(full, F.greatest(several(F.col("m")), F.when(F.col("bytes") > 2 * BLOCK_BYTES, F.ceil(F.col("bytes") / BLOCK_BYTES)).otherwise(1))), percent, exact=True), "links")
+
+    labels = stored(components(links), "components")
+    named = stored(labels.join(classes.select("node", "rep"), "node"), "named")
+    first = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = named.join(small(stored(first, "firsts")), "component").select("node", "component_id")
     # only classes with copies or links change a row
-    changed = stored(classes.filter("copies > 1 or component_id != rep").select("node", "component_id"), "changed")
+    alone = classes.filter("copies > 1").select("node", "rep").join(small(labels.select("node")), "node", "left_anti").select("node", F.col("rep").alias("component_id"))
+    changed = stored(linked.union(alone), "changed")
     out = signed.select("doc_id", "n", "node").join(small(changed), "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
