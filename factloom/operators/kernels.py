@@ -39,19 +39,23 @@ class Kernel:
     # -- labels ---------------------------------------------------------------------------------------------
 
     def _labelled(self, cases: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Vertices (g, vid, label, sig, syms, nums, is_kp) and edges (g, src, dst, role); ``label`` as the match type wants it."""
+        """Vertices (g, vid, label, sig, syms, nums, is_kp, hop) and edges (g, src, dst, role); ``label`` as the match type wants it.
+
+        ``hop`` is the distance to the case's viewpoints where scopes are cases (a neighbourhood of a far end
+        reaches ``distance + radius`` from there), else 0.
+        """
         hard = self.options.match_type == "hard"
         plain = F.concat_ws(".", "syms") if hard else F.col("sig")
         v, e = self.graph.vertices, self.graph.edges
         if self.options.variant != "rnspdk":
-            return v.select(F.col(EX).alias(G), V, plain.alias("label"), "sig", "syms", "nums", "is_kp"), e.select(F.col(EX).alias(G), "src", "dst", "role")
+            return v.select(F.col(EX).alias(G), V, plain.alias("label"), "sig", "syms", "nums", "is_kp", F.lit(0).alias("hop")), e.select(F.col(EX).alias(G), "src", "dst", "role")
         views = cases.select(EX, "case_id", F.explode("viewpoints").alias("view"))
-        reach = distances(self.graph, self.options.radius * 2 + self.options.distance + 1, views.select(EX, F.col("view").alias(V)).distinct())
-        near = views.join(reach.select(EX, F.col("src").alias("view"), F.col("dst").alias(V)), [EX, "view"]).groupBy(EX, "case_id", V).agg(F.max((F.col("view") == F.col(V)).cast("int")).alias("mark"))
+        reach = distances(self.graph, self.options.radius + self.options.distance, views.select(EX, F.col("view").alias(V)).distinct())
+        near = views.join(reach.select(EX, F.col("src").alias("view"), F.col("dst").alias(V), "d"), [EX, "view"]).groupBy(EX, "case_id", V).agg(F.max((F.col("view") == F.col(V)).cast("int")).alias("mark"), F.min("d").alias("hop"))
         marked = F.when(F.col("mark") == 1, F.concat(F.lit("viewpoint." if hard else "viewpoint"), plain)).otherwise(plain)
         if self.options.match_type == "mixed":
             marked = plain
-        mine = v.join(near, [EX, V]).select(F.col("case_id").alias(G), EX, V, marked.alias("label"), "sig", "syms", "nums", "is_kp")
+        mine = v.join(near, [EX, V]).select(F.col("case_id").alias(G), EX, V, marked.alias("label"), "sig", "syms", "nums", "is_kp", "hop")
         ends = mine.select(G, EX, V)
         edges = e.join(ends.withColumnRenamed(V, "src"), [EX, "src"]).join(ends.select(G, F.col(V).alias("dst")), [G, "dst"]).select(G, "src", "dst", "role")
         return mine.drop(EX), edges
@@ -161,7 +165,8 @@ class Kernel:
         own = F.col("case_id") if o.variant == "rnspdk" else F.col(EX)
         bound = max(o.radius, o.distance)
         scoped = Graph(v.select(F.col(G).alias(EX), V, F.lit(True).alias("alive")), e.select(F.col(G).alias(EX), "src", "dst", "role"))
-        dist = distances(scoped, bound).withColumnRenamed(EX, G) if bound else v.select(G, F.col(V).alias("src"), F.col(V).alias("dst"), F.lit(0).alias("d"))
+        roots = v.filter(F.col("hop") <= o.distance).select(F.col(G).alias(EX), V)  # the only ones that pairs begin or end at
+        dist = distances(scoped, bound, roots).withColumnRenamed(EX, G) if bound else v.select(G, F.col(V).alias("src"), F.col(V).alias("dst"), F.lit(0).alias("d"))
         dist = cut(dist)
         code, soft = (cut(x) for x in self.encodings(v, e, dist))
         points = v.filter("is_kp").select(G, V)
