@@ -22,6 +22,8 @@ empty result; equal doc_ids are ordered by a hash of their text.
 from __future__ import annotations
 
 import struct
+from array import array
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -36,8 +38,10 @@ from .common import batches, small, stored
 BASE, MOST_RULES, LEAST_COUNT = 49_408, 16_000, 8
 #: Rounds and rules a round: within words, then across them.
 WORD_ROUNDS, TEXT_ROUNDS = (1500, 1500, 1500, 1500, 1500, 1500), (2500, 2500)
-SHARD_CHARS, REMEMBERED = 6_000_000, 600_000
-END = 1
+SHARD_CHARS, REMEMBERED = 12_000_000, 600_000
+SLOTS = np.uint64(0x9E3779B97F4A7C15)
+#: The id that ends a document, as bytes.
+END = (1).to_bytes(4, "little")
 
 
 def default_vocabulary() -> str:
@@ -51,33 +55,68 @@ class WordEncoder:
     splitter would give, so that it need encode each word once; all other texts go to the library whole."""
 
     def __init__(self, path: str):
-        import regex
+        import re
+
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.other = regex.compile(r"[^\u0000-ɏ]|<\|").search
-        # English endings, letters, single digits, runs of other signs
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.known: dict[str, list[int]] = {}
+        # below U+0250: runs of letters, single numerals, English endings, runs of other signs
+        letters, numerals, space = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
+        self.words = re.compile(f"[{letters}]+|[{numerals}]|'(?:s|t|re|ve|m|ll|d)|[^{letters}{numerals}{space}]+").findall
+        #: Which ids end a word.
+        self.last = np.array([(self.library.id_to_token(k) or "").endswith("</w>") for k in range(self.library.get_vocab_size())])
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @staticmethod
+    def plain(text: str) -> bool:
+        if "<|" in text:
+            return False
+        return text.isascii() or int(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").max()) < 0x250
 
     def units(self, text: str | None) -> list[str]:
         """Strings to encode one by one; a text of other letters is one unit, marked by a leading NUL pair."""
         if not text:
             return []
-        return ["\0\0" + text] if self.other(text) else self.words(text.lower())
-
-    def ids(self, unit: str) -> list[int]:
-        if (found := self.known.get(unit)) is None:
-            found = self.library.encode(unit.removeprefix("\0\0"), add_special_tokens=False).ids
-            if len(unit) <= 64:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[unit] = found
+        return self.words(text.lower()) if self.plain(text) else ["\0\0" + text]
+
+    def ids(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit, as little-endian 32-bit integers. Unknown words go to the library together, parted by spaces, and are told apart by their last ids."""
+        known, older = self.known, self.older
+        found = [x if (x := known.get(u)) is not None else older.get(u) for u in units]
+        missing = [k for k, x in enumerate(found) if x is None]
+        for k in missing:
+            if units[k].startswith("\0\0"):
+                found[k] = array("I", self.library.encode(units[k][2:], add_special_tokens=False).ids).tobytes()
+        words = [k for k in missing if found[k] is None]
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            ids = self.library.encode(" ".join([units[k] for k in part]), add_special_tokens=False).ids
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):  # an id at which no word can end: one by one
+                split = [array("I", self.library.encode(units[k], add_special_tokens=False).ids).tobytes() for k in part]
+            else:
+                raw = array("I", ids).tobytes()
+                split = [raw[4 * x : 4 * y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            for k, x in zip(part, split, strict=True):
+                found[k] = x
+                if len(units[k]) <= 64:
+                    known[units[k]] = x
+        if len(known) >= REMEMBERED:
+            self.known, self.older = {}, known
         return found
 
 
+class Numbers(dict):
+    """Units in order of their first use; looking one up numbers it."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = k = len(self)
+        return k
+
+
 _LOADED: dict[str, WordEncoder] = {}
 
 
@@ -96,19 +135,28 @@ def replace_pairs(seq: np.ndarray, last: np.ndarray, weight: np.ndarray | None,
     places = np.flatnonzero(~last[:-1])
     if most <= 0 or not len(places):
         return seq, last, weight
-    codes = seq[places].astype(np.int64) << 32 | seq[places + 1]
-    pairs, which = np.unique(codes, return_inverse=True)
-    counts = np.bincount(which, None if weight is None else weight[places])
-    chosen = np.argsort(-counts, kind="stable")[:most]
-    chosen = chosen[counts[chosen] >= LEAST_COUNT]
+    codes = seq[places].astype(np.uint64) << np.uint64(32) | seq[places + 1]
+    order = None if weight is None else np.argsort(codes)
+    ordered = np.sort(codes) if order is None else codes[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    pairs = ordered[starts]
+    counts = np.diff(np.append(starts, len(ordered))) if order is None else np.add.reduceat(weight[places][order], starts)
+    # the most frequent ones, equal ones in order of their codes
+    edge = max(LEAST_COUNT, int(np.partition(counts, -most)[-most]) if len(counts) > most else 0)
+    chosen = np.concatenate([np.flatnonzero(counts > edge), np.flatnonzero(counts == edge)])[:most]
     if not len(chosen):
         return seq, last, weight
-    symbol = np.full(len(pairs), -1, np.int64)
-    symbol[chosen] = BASE + len(rules) + np.arange(len(chosen))
-    rules += [(int(c >> 32), int(c & 0xFFFFFFFF)) for c in pairs[chosen]]
-    new = symbol[which]
-    hit = new >= 0
-    places, new = places[hit], new[hit]
+    # a small hash table finds them; of two that meet in a slot the more frequent one, or the first, is taken this round
+    slot = lambda c: ((c * SLOTS) >> np.uint64(44)).astype(np.int64)
+    chosen = chosen[np.argsort(-counts[chosen], kind="stable")]
+    _, first = np.unique(slot(pairs[chosen]), return_index=True)
+    table = pairs[chosen[np.sort(first)]]
+    lookup = np.zeros(1 << 20, np.int16)
+    lookup[slot(table)] = np.arange(len(table))
+    new = lookup[slot(codes)].astype(np.int64)
+    hit = table[new] == codes
+    places, new = places[hit], BASE + len(rules) + new[hit]
+    rules += [(int(c >> 32), int(c & 0xFFFFFFFF)) for c in table.tolist()]
     # of places in a row every second one is taken
     begin = np.concatenate([[True], places[1:] != places[:-1] + 1])
     offset = np.arange(len(places)) - np.maximum.accumulate(np.where(begin, np.arange(len(places)), 0))
@@ -121,13 +169,13 @@ def replace_pairs(seq: np.ndarray, last: np.ndarray, weight: np.ndarray | None,
     return seq[keep], last[keep], None if weight is None else weight[keep]
 
 
-def compress(units: list[list[int]], texts: list[np.ndarray]) -> bytes:
+def compress(units: list[bytes], texts: list[np.ndarray]) -> bytes:
     """A shard from its distinct units' ids and, per document, the numbers of its units in order."""
     rules: list[tuple[int, int]] = []
-    sizes = np.array([len(u) for u in units], np.int64)
+    sizes = np.fromiter(map(len, units), np.int64, len(units)) // 4
     whole = np.concatenate(texts) if texts else np.empty(0, np.int32)
     uses = np.bincount(whole, minlength=len(units))
-    seq = np.fromiter((x for u in units for x in u), np.uint32, int(sizes.sum()))
+    seq = np.frombuffer(b"".join(units), "<u4")
     last = np.zeros(len(seq), bool)
     last[np.cumsum(sizes)[sizes > 0] - 1] = True
     weight = np.repeat(uses, sizes)
@@ -223,11 +271,10 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         from pyspark import TaskContext
 
         encoder, part, number = loaded(file), TaskContext.get().partitionId(), 0
-        doc_ids, local, texts, size = [], {"\0end": 0}, [], 0
+        doc_ids, local, texts, size = [], Numbers({"\0end": 0}), [], 0
 
         def shard():
-            units = [[END] if u == "\0end" else encoder.ids(u) for u in local]
-            raw = compress(units, texts)
+            raw = compress([END, *encoder.ids(list(local)[1:])], texts)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(ids_arrow), pa.binary()]
             values = [part, number, int(Shard(raw).before[-1]), doc_ids, raw]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["part", "number", "n_ids", "doc_ids", "shard"])
@@ -235,15 +282,13 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for ids, found in batches(arrow, ["a", "b"], 128):
             for doc_id, text in zip(ids, found, strict=True):
                 units = encoder.units(text)
-                for u in set(units).difference(local):
-                    local[u] = len(local)
-                texts.append(np.fromiter((*map(local.__getitem__, units), 0), np.int32, len(units) + 1))
+                texts.append(np.fromiter(chain(map(local.__getitem__, units), (0,)), np.int32, len(units) + 1))
                 doc_ids.append(doc_id)
                 size += len(text or "") + 64
                 if size >= SHARD_CHARS:
                     yield shard()
                     number += 1
-                    doc_ids, local, texts, size = [], {"\0end": 0}, [], 0
+                    doc_ids, local, texts, size = [], Numbers({"\0end": 0}), [], 0
         if doc_ids:
             yield shard()
 
