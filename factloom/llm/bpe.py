@@ -24,7 +24,7 @@ from .common import batches
 
 INFINITE = 1 << 62
 #: A worker remembers the pre-tokens of two generations, so many in each at most, and none longer than this.
-REMEMBERED, REMEMBERED_LENGTH = 600_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 250_000, 64
 
 
 def byte_alphabet() -> dict[int, str]:
