@@ -66,11 +66,24 @@ def regression_report(preds: DataFrame, by: list[str] | None = None) -> DataFram
     return rows.withColumn("rmse", F.sqrt("mse"))
 
 
+#: Ranges of margins whose running sums are made side by side.
+RANGES = 256
+
+
 def threshold_counts(preds: DataFrame) -> DataFrame:
-    """(prediction, pos, neg, tp, fp): counts at each distinct margin and above; one row a distinct margin."""
+    """(prediction, pos, neg, tp, fp): counts at each distinct margin and above; one row a distinct margin.
+
+    Margins are cut into ranges of about equal counts; sums run within each range, and the few totals of
+    the ranges above are added, so no task sees all margins.
+    """
     at = preds.groupBy("prediction").agg(F.sum((F.col("label") > 0).cast("bigint")).alias("pos"), F.sum((F.col("label") <= 0).cast("bigint")).alias("neg"))
-    down = Window.orderBy(F.desc("prediction")).rowsBetween(Window.unboundedPreceding, 0)
-    return at.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
+    cuts = at.agg(F.percentile_approx("prediction", [k / RANGES for k in range(1, RANGES)], 10_000).alias("q")).first()[0] or []
+    cut = F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]).cast("array<double>")
+    at = at.withColumn("_r", F.size(F.filter(cut, lambda x: x < F.col("prediction"))))
+    above = Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = at.groupBy("_r").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).select("_r", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_{c}") for c in "pn"])
+    down = Window.partitionBy("_r").orderBy(F.desc("prediction")).rowsBetween(Window.unboundedPreceding, 0)
+    return at.join(F.broadcast(ranges), "_r").withColumns({"tp": F.col("_p") + F.sum("pos").over(down), "fp": F.col("_n") + F.sum("neg").over(down)}).drop("_r", "_p", "_n")
 
 
 def auc_roc(preds: DataFrame) -> DataFrame:

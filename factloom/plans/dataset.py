@@ -7,15 +7,17 @@ import time
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import KernelOptions, SessionOptions
 from ..operators import cases as case_ops
-from ..operators import integrity, liveness, splits
+from ..operators import integrity, liveness, metrics, splits
 from ..operators.deduce import deduce, signature_counts
 from ..operators.graph import Graph, build_graph
-from ..operators.kernels import Kernel
+from ..operators.kernels import Kernel, ghost_features, remap
 from ..operators.models import cross_validate
 from ..schema import Domain
+from ..sources import sinks
 from ..sources.facts import read_facts, tables_of
 
 log = logging.getLogger("factloom")
@@ -85,7 +87,32 @@ class Dataset:
         liveness.check_target(self.domain, target)
         killed = sorted(liveness.dependents(self.domain, target) - set(self.domain.entities))
         log.info("dead for %s: %s", target, killed)
-        return Kernel(self.graph.kill(killed), options).features(cases)
+        found = Kernel(self.graph.kill(killed), options).features(cases)
+        for name in sorted(self.domain.signatures):
+            s = self.domain.signatures[name]
+            if s.ghost and s.property_columns and s.references == self.domain.signatures[target].references:
+                found = ghost_features(found, self._ghosts(name, target), name, options.hash_bit_mask)
+        return found
+
+    def _ghosts(self, name: str, target: str) -> DataFrame:
+        """(case_id, place, value): the properties of ghost rows that hold the identifiers of a case."""
+        s = self.domain.signatures[name]
+        case = F.concat_ws("/", F.col("ex").cast("string"), F.lit(target), *[F.col(c.name).cast("string") for c in s.id_columns])
+        values = F.array(*[F.struct(F.lit(k).alias("place"), F.col(c.name).cast("double").alias("value")) for k, c in enumerate(s.property_columns, 1)])
+        return self.tables[name].select(case.alias("case_id"), F.explode(values).alias("x")).select("case_id", "x.place", "x.value")
+
+    def generate_all(self, target: str, options: KernelOptions, path: str) -> None:
+        """Writes the vectors of all cases, features numbered from 1, as libsvm lines."""
+        cases = self.cases(target)
+        sinks.libsvm_lines(remap(self.features(target, cases, options)), cases).select("value").write.text(path)
+
+    def split(self, target: str, parts: DataFrame, kernel: KernelOptions, model: str, **options) -> DataFrame:
+        """Predictions for the ``test`` part of (ex, part) by a model of the ``train`` part."""
+        return self.kfold(target, 2, kernel, model, folds=parts.select("ex", F.when(F.col("part") == "test", 0).otherwise(1).alias("fold")), **options).filter("fold = 0")
+
+    def induce(self, preds: DataFrame, path: str) -> None:
+        """Writes the facts that predictions above the threshold induce, ready to be attached again."""
+        sinks.induced_lines(metrics.induced(preds, self.options.pthreshold)).write.text(path)
 
     def kfold(self, target: str, k: int, kernel: KernelOptions, model: str, reject=None, folds: DataFrame | None = None, **options) -> DataFrame:
         """Predictions of a k-fold cross-validation over interpretations."""

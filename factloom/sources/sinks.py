@@ -57,6 +57,22 @@ def export_graph(graph: Graph, path: str, form: str, simple: bool = False) -> No
     graph_lines(graph, form, simple).repartition(EX).sortWithinPartitions(EX, "part", "a", "b").select(EX, "value").write.partitionBy(EX).text(path)
 
 
+def viewpoint_ball(graph: Graph, viewpoints: DataFrame, radius: int) -> Graph:
+    """The graph induced by all that lies within ``radius`` of the viewpoints (ex, vid), for inspection or export."""
+    from ..operators.graph import induced_subgraph
+    from ..operators.paths import distances
+
+    reach = distances(graph, radius, viewpoints)
+    return induced_subgraph(graph, reach.select(EX, F.col("dst").alias("vid")))
+
+
+def fold_lists(folds: DataFrame, column: str = EX) -> DataFrame:
+    """(fold, part, id): the test ids of each fold, and all others as its training ids."""
+    turns = folds.select(F.col("fold").alias("turn")).distinct()
+    rows = folds.join(F.broadcast(turns), F.lit(True))  # folds are few
+    return rows.select(F.col("turn").alias("fold"), F.when(F.col("fold") == F.col("turn"), "test").otherwise("train").alias("part"), F.col(column).alias("id"))
+
+
 def libsvm_lines(features: DataFrame, cases: DataFrame) -> DataFrame:
     """(case_id, value): ``label index:value ... # case``, indexes ascending."""
     entry = F.transform(F.sort_array(F.collect_list(F.struct("feature", "value"))), lambda x: F.concat(x.feature.cast("string"), F.lit(":"), six_digits(x.value)))

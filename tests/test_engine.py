@@ -259,6 +259,29 @@ def test_cases(spark):
     assert [case_ops.task_type(spark.createDataFrame([(x,) for x in v], "value string")).first()[0] for v in (["true", "false"], ["-1", "1"], ["1", "2.5"], ["a", "1"], ["a"])] == ["binary", "binary", "regression", "error", "error"]
 
 
+def test_data_set_from_end_to_end(spark, tmp_path):
+    d = people()
+    d.add(__import__("factloom.schema", fromlist=["x"]).Signature("trait", (*d.signatures["lives"].columns, __import__("factloom.schema", fromlist=["x"]).Column("weight", "property")), ghost=True))
+    d.close(["person", "town"])
+    rows = []
+    for x in "abcd":
+        rows += [(x, "person", f"p{k}", 20 + k) for k in range(4)] + [(x, "town", "t0"), (x, "town", "t1")]
+        rows += [(x, "lives", f"p{k}", f"t{k % 2}") for k in range(4)] + [(x, "trait", f"p{k}", f"t{k % 2}", 3.5) for k in range(4)]
+    data = Dataset(d, facts.tables_of(d, facts.inline_facts(spark, rows)))
+    o = config.KernelOptions(match_type="soft", radius=1, distance=1)
+    preds = data.kfold("lives", 2, o, "svm_sgd", epochs=20)
+    assert preds.count() == 32 and metrics.binary_report(preds).first().error == 0
+    ids = data.interpretations().withColumn("part", F.when(F.col("ex") == "a", "test").otherwise("train"))
+    assert data.split("lives", ids, o, "lr_sgd").count() == 8
+    data.generate_all("lives", o, str(tmp_path / "v"))
+    assert spark.read.text(str(tmp_path / "v")).count() == 32
+    data.induce(preds, str(tmp_path / "f"))
+    assert facts.read_facts(spark, str(tmp_path / "f")).filter("sig = 'pred_lives'").count() == 16
+    ball = sinks.viewpoint_ball(data.graph, data.graph.vertices.filter("vid = 'a/person/p0'"), 2)
+    assert values(ball.vertices.select("sym_id")) == [("livesp0t0",), ("p0",), ("t0",)]
+    assert sinks.fold_lists(splits.kfold(data.interpretations(), 2)).filter("part = 'test'").count() == 4
+
+
 def test_partitions(spark):
     ids = spark.createDataFrame([(k, k % 2) for k in range(1, 9)], "ex int, s int")
     fold = splits.kfold(ids, 3, 5).collect()
