@@ -27,8 +27,11 @@ def evaluation_order(domain: Domain) -> list[str]:
     return order
 
 
-def deduce(domain: Domain, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All tables of the domain: the given ones with set semantics, and the derived ones."""
+def deduce(domain: Domain, tables: dict[str, DataFrame], keep: bool = False) -> dict[str, DataFrame]:
+    """All tables of the domain: the given ones with set semantics, and the derived ones.
+
+    With ``keep`` derived tables are checkpointed, so that what reads them several times (a graph, other rules) runs their joins once.
+    """
     out = dict(tables)
     for name in domain.extensional_signatures:
         out[name] = tables[name].dropDuplicates()
@@ -40,7 +43,8 @@ def deduce(domain: Domain, tables: dict[str, DataFrame]) -> dict[str, DataFrame]
         else:
             found = s.rule(out)
         keys = [EX, *([SLICE] if SLICE in found.columns else [])]
-        out[name] = found.select(*keys, *[c.name for c in s.columns]).dropDuplicates()
+        found = found.select(*keys, *[c.name for c in s.columns]).dropDuplicates()
+        out[name] = cut(found) if keep else found
     return out
 
 

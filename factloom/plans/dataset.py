@@ -47,7 +47,7 @@ class Dataset:
     def __init__(self, domain: Domain, tables: dict[str, DataFrame], options: SessionOptions | None = None):
         self.domain, self.given, self.options, self.timers = domain, tables, options or SessionOptions(), Timers()
         with self.timers.time("plan"):
-            repaired = integrity.check_and_repair(domain, deduce(domain, tables), self.options.referential_integrity_repair)
+            repaired = integrity.check_and_repair(domain, deduce(domain, tables, keep=True), self.options.referential_integrity_repair)
         self.tables = repaired
         if self.options.check_duplicate_ids and not integrity.duplicate_ids(domain, repaired).isEmpty():
             raise ValueError("an entity occurs twice")

@@ -210,7 +210,7 @@ def identifiers(spark, sf_dir):
 
 def _trade(spark, sf_dir) -> Graph:
     d = trade_domain()
-    return build_graph(d, deduce.deduce(d, base_tables(spark, sf_dir)))
+    return build_graph(d, deduce.deduce(d, base_tables(spark, sf_dir), keep=True))
 
 
 def _suppliers(spark, sf_dir) -> Graph:
