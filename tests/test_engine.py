@@ -10,10 +10,10 @@ from factloom.functions.hashing import hash_list, hash_string
 from factloom.operators import cases as case_ops
 from factloom.operators import deduce, integrity, liveness, metrics, models, paths, relational, splits
 from factloom.operators import graph as graph_ops
-from factloom.operators.graph import Graph, build_graph
+from factloom.operators.graph import Graph
 from factloom.operators.kernels import Kernel, feature_dictionary, remap
 from factloom.plans.dataset import Dataset
-from factloom.schema import Domain, SchemaError, er_diagram, parse_declarations
+from factloom.schema import Column, Domain, SchemaError, Signature, er_diagram, parse_declarations
 from factloom.sources import facts, sinks
 
 
@@ -37,7 +37,7 @@ def people():
     ("change", "message"),
     [
         (lambda d: d.entity("person", "x:self"), "twice"), (lambda d: d.entity("x", "a:self", "b:self"), "self"), (lambda d: d.relationship("r", "a:nowhere").close(), "nowhere"),
-        (lambda d: d.entity("x", "a:self", "b:person").close(), "refer"), (lambda d: d.add(__import__("factloom.schema", fromlist=["x"]).Signature("x", (), "odd")), "level"),
+        (lambda d: d.entity("x", "a:self", "b:person").close(), "refer"), (lambda d: d.add(Signature("x", (), "odd")), "level"),
         (lambda d: d.entity("x", "a:self", rule="select 1"), "extensional"), (lambda d: d.intensional("x", "a:person", rule=None), "no rule"), (lambda d: d.close(["zz"]), "zz"),
     ],
 )
@@ -261,7 +261,7 @@ def test_cases(spark):
 
 def test_data_set_from_end_to_end(spark, tmp_path):
     d = people()
-    d.add(__import__("factloom.schema", fromlist=["x"]).Signature("trait", (*d.signatures["lives"].columns, __import__("factloom.schema", fromlist=["x"]).Column("weight", "property")), ghost=True))
+    d.add(Signature("trait", (*d.signatures["lives"].columns, Column("weight", "property")), ghost=True))
     d.close(["person", "town"])
     rows = []
     for x in "abcd":
