@@ -156,6 +156,10 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         else:
             flush()
             if tag not in VOID and not attributes.rstrip().endswith("/"):
+                if tag == "body":  # the head may lack its end
+                    stack = [x for x in stack if x[0] == "html"]
+                if stack and stack[-1][0] == "p":  # a block ends a paragraph
+                    stack.pop()
                 bad, good = stack[-1][1:] if stack else (False, False)
                 if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
                     stack.pop()

@@ -70,6 +70,12 @@ def test_html_without_marks_and_cut_off():
     assert html_extract.main_text(None) == html_extract.main_text("") == ""
 
 
+def test_html_with_missing_ends():
+    page = "<html><head><meta charset=x><title>T</title><body><article><p class=notice>We moved to a new place<p>The first of the paragraphs here<div>And a second one that follows</div></article>"
+    assert html_extract.main_text(page) == "The first of the paragraphs here\nAnd a second one that follows"
+    assert html_extract.main_text("<article><p>A &lt;b&gt; &#233;&eacute; &amp <p>B &am") == "A <b> éé &\nB &am"
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>x</p></article>", 3), (1, "u", "<article><p>x</p></article>", 3), (None, None, None, None)], "page_id long, url string, html string, a int")
     rows = html_extract.extract_main_text(pages).collect()
@@ -148,7 +154,6 @@ def test_windows_by_brute_force():
     for length in (4, 9, 100):
         for _ in range(40):
             parts = [bytes(rng.choice(b"ab\xff") for _ in range(rng.randrange(60))) * (8 if length == 100 else 1) for _ in range(rng.randrange(1, 7))]
-            expected = brute.repeats({k: p.decode("latin1") for k, p in enumerate(parts)}, length) if length == 0 else None
             seen, marks = set(), []
             for p in parts:
                 m = bytearray(len(p))
@@ -162,7 +167,6 @@ def test_windows_by_brute_force():
                 for a, b in ranges:
                     got[a:b] = b"\1" * (b - a)
                 assert bytes(got) == m
-            assert expected is None
 
 
 @pytest.mark.parametrize("group", [suffix_dedup.GROUP, 1])
