@@ -29,9 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of a batch between Spark and Python. Texts are long: at the usual 10,000 a batch takes tens of megabytes on both sides.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, survives lost executors, and gives the planner true sizes."""
     spark = df.sparkSession
+    if spark.conf.get(BATCH) == "10000":  # the default; a setting of the user's own stays
+        spark.conf.set(BATCH, BATCH_ROWS)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -33,7 +33,7 @@ from .common import stored
 
 LENGTH, GRAM = 100, 32
 #: Bytes hashed at once, bytes joined for one transform, and different pieces under one gram at most.
-SLICE, JOINED, GROUP = 1 << 19, 1 << 20, 24_000
+SLICE, JOINED, GROUP = 1 << 19, 1 << 19, 24_000
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 LOW = np.uint64(0xFFFFFFFF)
 
