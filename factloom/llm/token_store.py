@@ -37,9 +37,8 @@ from .common import batches, small, stored
 #: First nonterminal: above all ids of the vocabulary, so that two bytes hold most shards' symbols.
 BASE, MOST_RULES, LEAST_COUNT = 49_408, 16_000, 8
 #: Rounds and rules a round: within words, then across them.
-WORD_ROUNDS, TEXT_ROUNDS = (1500, 1500, 1500, 1500, 1500, 1500), (2500, 2500)
+WORD_ROUNDS, TEXT_ROUNDS = (2250, 2250, 2250, 2250), (2500, 2500)
 SHARD_CHARS, REMEMBERED = 12_000_000, 600_000
-SLOTS = np.uint64(0x9E3779B97F4A7C15)
 #: The id that ends a document, as bytes.
 END = (1).to_bytes(4, "little")
 
@@ -132,31 +131,37 @@ def replace_pairs(seq: np.ndarray, last: np.ndarray, weight: np.ndarray | None,
     ``last`` marks the last symbol of a unit, which begins no pair.
     """
     most = min(most, MOST_RULES - len(rules))
-    places = np.flatnonzero(~last[:-1])
-    if most <= 0 or not len(places):
+    open_pairs = ~last[:-1]
+    if most <= 0 or not open_pairs.any():
         return seq, last, weight
-    codes = seq[places].astype(np.uint64) << np.uint64(32) | seq[places + 1]
-    order = None if weight is None else np.argsort(codes)
-    ordered = np.sort(codes) if order is None else codes[order]
+    # a pair is one number: of 32 bits where symbols have 16
+    kind, bits, factor = (np.uint32, 16, 0x9E3779B1) if int(seq.max()) < 1 << 16 else (np.uint64, 32, 0x9E3779B97F4A7C15)
+    codes = seq[:-1].astype(kind) << kind(bits) | seq[1:].astype(kind)
+    if weight is None:
+        ordered = np.sort(codes[open_pairs])
+    else:
+        own = np.flatnonzero(open_pairs)
+        order = own[np.argsort(codes[own])]
+        ordered = codes[order]
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     pairs = ordered[starts]
-    counts = np.diff(np.append(starts, len(ordered))) if order is None else np.add.reduceat(weight[places][order], starts)
+    counts = np.diff(np.append(starts, len(ordered))) if weight is None else np.add.reduceat(weight[order], starts)
     # the most frequent ones, equal ones in order of their codes
     edge = max(LEAST_COUNT, int(np.partition(counts, -most)[-most]) if len(counts) > most else 0)
     chosen = np.concatenate([np.flatnonzero(counts > edge), np.flatnonzero(counts == edge)])[:most]
     if not len(chosen):
         return seq, last, weight
     # a small hash table finds them; of two that meet in a slot the more frequent one, or the first, is taken this round
-    slot = lambda c: ((c * SLOTS) >> np.uint64(44)).astype(np.int64)
+    slot = lambda c: (c * kind(factor)) >> kind(2 * bits - 20)
     chosen = chosen[np.argsort(-counts[chosen], kind="stable")]
     _, first = np.unique(slot(pairs[chosen]), return_index=True)
     table = pairs[chosen[np.sort(first)]]
-    lookup = np.zeros(1 << 20, np.int16)
+    lookup = np.zeros(1 << 20, np.uint16)
     lookup[slot(table)] = np.arange(len(table))
-    new = lookup[slot(codes)].astype(np.int64)
-    hit = table[new] == codes
-    places, new = places[hit], BASE + len(rules) + new[hit]
-    rules += [(int(c >> 32), int(c & 0xFFFFFFFF)) for c in table.tolist()]
+    new = lookup[slot(codes)]
+    places = np.flatnonzero((table[new] == codes) & open_pairs)
+    new = BASE + len(rules) + new[places].astype(np.int64)
+    rules += [(int(c) >> bits, int(c) & ((1 << bits) - 1)) for c in table.tolist()]
     # of places in a row every second one is taken
     begin = np.concatenate([[True], places[1:] != places[:-1] + 1])
     offset = np.arange(len(places)) - np.maximum.accumulate(np.where(begin, np.arange(len(places)), 0))
