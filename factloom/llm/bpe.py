@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import batches
+from .common import batches, tidy
 
 INFINITE = 1 << 62
 #: A worker remembers the pre-tokens of two generations, so many in each at most, and none longer than this.
@@ -170,6 +170,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ids_type = docs.schema[id_col].dataType
     ids_arrow, path = to_arrow_type(ids_type), vocabulary or default_vocabulary()
 
+    @tidy
     def encode(arrow):
         bpe = loaded(path)
         for doc_id, text in batches(arrow, ["a", "b"], 128):
@@ -188,6 +189,7 @@ def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ids_type = docs.schema[id_col].dataType
     ids_arrow, path = to_arrow_type(ids_type), vocabulary or default_vocabulary()
 
+    @tidy
     def digest(arrow):
         bpe = loaded(path)
         for doc_id, text in batches(arrow, ["a", "b"], 128):

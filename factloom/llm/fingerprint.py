@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import batches, small, stored
+from .common import batches, small, stored, tidy
 
 
 def canonical(text: str | None) -> str:
@@ -46,6 +46,7 @@ def collisions(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str) -
     shared = prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fingerprint")
     members = small(prints.join(shared, "fingerprint", "left_semi").select(F.col("doc_id").alias("m")).distinct())
 
+    @tidy
     def canon(arrow):
         for (text,) in batches(arrow, ["b"]):
             texts = [canonical(x) for x in text]
@@ -64,6 +65,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ids_type = docs.schema[id_col].dataType
     ids_arrow = to_arrow_type(ids_type)
 
+    @tidy
     def prints(arrow):
         for doc_id, text in batches(arrow, ["a", "b"]):
             raw = [canonical(x).encode("utf-8", "surrogatepass") for x in text]
@@ -117,6 +119,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         columns += [pa.array([None] * n + [e[0] for e in edges], pa.int64()), pa.array([None] * n + [e[1] for e in edges], pa.string()), pa.array([None] * n + [e[3] for e in edges], pa.string())]
         return pa.RecordBatch.from_arrays(columns, [*names, "part", "edge", "edge_text"])
 
+    @tidy
     def ranges(arrow):
         from pyspark import TaskContext
 
@@ -134,6 +137,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if last is not None:
             yield packed([], [(part, "last", *last[:2])])
 
+    @tidy
     def pairs(arrow):
         for doc_id, text, following in batches(arrow, ["doc_id", "edge_text", "following"], 64):
             yield packed([judged(a, b, canonical(b), c, canonical(c)) for a, b, c in zip(doc_id, text, following, strict=True)], [])

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches
+from .common import batches, tidy
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "boilerplate", "article")
 
@@ -187,6 +187,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     ids, urls = pages.schema[id_col].dataType, pages.schema[url_col].dataType
     tree = train_tree()
 
+    @tidy
     def extract(arrow):
         for page_id, url, page in batches(arrow, ["a", "b", "c"]):
             texts = [main_text(x, tree) for x in page]

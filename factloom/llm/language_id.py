@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import batches, stored
+from .common import batches, stored, tidy
 
 #: Bound of the training sample in documents a language; EM rounds after the first count.
 SAMPLE, ROUNDS = 600, 2
@@ -137,6 +137,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not languages:
         return {"": 0}, []
 
+    @tidy
     def count(arrow):
         found: Counter = Counter()
         for text, language in batches(arrow, ["b", "c"], 64):
@@ -151,7 +152,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for turn in range(rounds + 1):
         given, first = words.sparkSession.sparkContext.broadcast(estimate), turn == 0
 
-        def expect(arrow, given=given, first=first):
+        @tidy
+        def expect(arrow):
             known = dict.fromkeys(pieces(path), 0)
             found: dict[tuple[str, str], float] = {}
             tables: dict[str, dict] = {}
@@ -267,6 +269,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     ids_type = docs.schema[id_col].dataType
     ids_arrow, sent, tag = to_arrow_type(ids_type), docs.sparkSession.sparkContext.broadcast((table, languages)), uuid.uuid4().hex
 
+    @tidy
     def predict(arrow):
         if tag not in _SCORERS:
             _SCORERS.clear()

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import batches, small, stored
+from .common import batches, small, stored, tidy
 from .graph import components
 
 ROWS, BANDS = 5, 36
@@ -132,6 +132,7 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
     ids_type = docs.schema[id_col].dataType
     ids_arrow = to_arrow_type(ids_type)
 
+    @tidy
     def sign(arrow):
         import xxhash
 
@@ -155,6 +156,7 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
 def _sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """(node, set) of the wanted documents, hashed again from their texts."""
 
+    @tidy
     def make(arrow):
         import xxhash
 
@@ -209,6 +211,7 @@ def _forests(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
         edges = forest(np.array([r[4] for r in group]), marks, [np.frombuffer(r[6], np.uint64) for r in group] if exact else None, percent)
         return [(nodes[a], nodes[b]) for a, b in edges]
 
+    @tidy
     def run(arrow):
         group: list[tuple] = []
         for batch in arrow:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import stored
+from .common import stored, tidy
 
 LENGTH, GRAM = 100, 32
 #: Bytes hashed at once, bytes joined for one transform, and different pieces under one gram at most.
@@ -203,6 +203,7 @@ def _buffers(batch, name: str):
 def _occurrences(docs: DataFrame, contents: bool) -> DataFrame:
     ids_arrow = to_arrow_type(docs.schema["a"].dataType)
 
+    @tidy
     def find(arrow):
         for batch in arrow:
             ids = batch.column(batch.schema.get_field_index("a"))
@@ -223,6 +224,7 @@ def _taken(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     ids_type = docs.schema["a"].dataType
     ids_arrow = to_arrow_type(ids_type)
 
+    @tidy
     def take(arrow):
         for batch in arrow:
             for k in range(batch.num_rows):
@@ -247,6 +249,7 @@ def _expanded(taken: DataFrame) -> DataFrame:
         flat = [(r[1], r[2] + a, r[2] + b) for r, ranges in zip(rows, found, strict=True) for a, b in ranges]
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], ids_arrow), pa.array([x[1] for x in flat], pa.int64()), pa.array([x[2] for x in flat], pa.int64())], ["doc", "lo", "hi"])
 
+    @tidy
     def expand(arrow):
         rows, size, last = [], 0, None
         for batch in arrow:
@@ -268,6 +271,7 @@ def _single_windows(taken: DataFrame) -> DataFrame:
     ids_type = taken.schema["doc"].dataType
     ids_arrow = to_arrow_type(ids_type)
 
+    @tidy
     def windows(arrow):
         import xxhash
 
@@ -339,6 +343,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids_arrow = to_arrow_type(ids_type)
     name = "kept_sha256" if digests else "kept_text"
 
+    @tidy
     def cut(arrow):
         for batch in arrow:
             for at in range(0, batch.num_rows, 512):
@@ -360,6 +365,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """``docs`` with the same columns, where each text has lost what repeats earlier bytes; ``chars_col``, if there, counts what is left."""
 
+    @tidy
     def cut(arrow):
         for batch in arrow:
             for at in range(0, batch.num_rows, 512):

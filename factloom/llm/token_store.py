@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import batches, small, stored
+from .common import batches, small, stored, tidy
 
 #: First nonterminal: above all ids of the vocabulary, so that two bytes hold most shards' symbols.
 BASE, MOST_RULES, LEAST_COUNT = 49_408, 16_000, 8
@@ -272,6 +272,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids_type = docs.schema[id_col].dataType
     ids_arrow, file = to_arrow_type(ids_type), vocabulary or default_vocabulary()
 
+    @tidy
     def encode(arrow):
         from pyspark import TaskContext
 
@@ -314,6 +315,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
     order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     starts = stored(shards.select("part", "number", "n_ids").withColumn("first", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).drop("n_ids"), "starts")
 
+    @tidy
     def read(arrow):
         for doc_ids, raws, firsts in batches(arrow, ["doc_ids", "shard", "first"], 1):
             for ids, raw, first in zip(doc_ids, raws, firsts, strict=True):

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches
+from .common import batches, tidy
 
 #: host, path of a prefix, verdict. A rule fits its host and all subdomains.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -104,6 +104,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     ids = pages.schema[id_col].dataType
     ids_arrow, model = to_arrow_type(ids), train()
 
+    @tidy
     def judge(arrow):
         for page_id, url in batches(arrow, ["a", "b"], 4096):
             rows = []
