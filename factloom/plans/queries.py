@@ -518,6 +518,34 @@ _gram_query("poly", "pow(0.01 * dot + 1, 2)", gamma=0.01, coef0=1.0, degree=2)
 _gram_query("rbf", "exp(-0.05 * (x.norm2 + y.norm2 - 2 * dot))", gamma=0.05)
 _gram_query("sigmoid", "tanh(0.001 * dot - 0.5)", gamma=0.001, coef0=-0.5)
 
+#: The five queries above are stated over a sample of suppliers and lines; these are the same over every supplier and line.
+ALL_VECTORS = "q AS (SELECT l_suppkey::VARCHAR AS case_id, l_linenumber::BIGINT AS feature, sum(l_discount) AS value FROM lineitem GROUP BY 1, 2)"
+ALL_DOTS = DOTS.replace(VECTORS, ALL_VECTORS)
+
+
+def _all_vectors(spark, sf_dir):
+    rows = load(spark, sf_dir, "lineitem")
+    return rows.groupBy(F.col("l_suppkey").cast("string").alias("case_id"), F.col("l_linenumber").cast("bigint").alias("feature")).agg(F.sum("l_discount").alias("value"))
+
+
+@query(f"WITH {ALL_DOTS} SELECT case_a, case_b, round(dot, 5) AS dot FROM d")
+def dot_product_all(spark, sf_dir):
+    return algebra.dot_products(_all_vectors(spark, sf_dir)).withColumn("dot", F.round("dot", 5))
+
+
+def _gram_all_query(kernel: str, sql: str, **options) -> None:
+    def run(spark, sf_dir):
+        return algebra.gram(_all_vectors(spark, sf_dir), kernel, **options).withColumn("k", F.round("k", 5))
+
+    run.__name__ = f"gram_{kernel}_all"
+    query(f"WITH {ALL_DOTS} SELECT case_a, case_b, round({sql}, 5) AS k FROM d JOIN n x ON x.case_id = case_a JOIN n y ON y.case_id = case_b")(run)
+
+
+_gram_all_query("linear", "dot")
+_gram_all_query("poly", "pow(0.01 * dot + 1, 2)", gamma=0.01, coef0=1.0, degree=2)
+_gram_all_query("rbf", "exp(-0.05 * (x.norm2 + y.norm2 - 2 * dot))", gamma=0.05)
+_gram_all_query("sigmoid", "tanh(0.001 * dot - 0.5)", gamma=0.001, coef0=-0.5)
+
 # -- cases ---------------------------------------------------------------------------------------------------------------
 
 PAIRS = f"{BASE}, cand AS (SELECT n.ex, n.id AS nation, s.id AS supplier FROM n JOIN s ON n.ex = s.ex)"

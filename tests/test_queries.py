@@ -23,3 +23,11 @@ def test_query_matches_its_sql(spark, tables, name):
 
 def test_every_query_has_a_name_of_its_own():
     assert len(QUERIES) > 100 and set(SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", ["dot_product_all", "gram_linear_all", "gram_poly_all", "gram_rbf_all", "gram_sigmoid_all"])
+def test_gram_queries_hold_every_supplier(spark, tables, name):
+    folder = SMALL.replace("sf0.001", "sf0.01")
+    suppliers = {str(r.l_suppkey) for r in spark.read.parquet(f"{folder}/lineitem.parquet").select("l_suppkey").distinct().collect()}
+    assert max(map(int, suppliers)) > 60
+    assert {r.case_a for r in QUERIES[name](spark, folder).filter("case_a = case_b").collect()} == suppliers
