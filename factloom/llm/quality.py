@@ -2,8 +2,9 @@
 
 Base rules come first (too few words; mostly repeated three-word windows). The other documents of each
 language and source are described by five transformed statistics, and a minimum-covariance-determinant
-estimate is found per group: from medians and deviations, each concentration step keeps the three
-quarters of a group nearest to the current estimate and fits mean and covariance to them. A document is
+estimate is found per group: from medians and deviations, each concentration step keeps the half
+of a group nearest to the current estimate and fits mean and covariance to it, so that junk of nearly half
+a group does not move it. A document is
 rejected if its squared Mahalanobis distance passes a far quantile of chi-squared. Every step is a
 combinable aggregate over (language, source), so a group with a third of all rows needs no gathering,
 and distances are plain column arithmetic on an unrolled Cholesky factor.
@@ -22,8 +23,8 @@ from .common import let, small, stored, total, without, words
 
 #: Transformed statistics and the standard deviation that each is given at least.
 STATISTICS = (("log_words", 0.7), ("log_word_length", 0.12), ("symbols", 0.055), ("repeated_lines", 0.25), ("repeated_words", 0.15))
-#: SPREAD undoes what trimming a quarter takes from the variance of normal data.
-MIN_GROUP, STEPS, KEPT_SHARE, SPREAD = 20, 3, 0.75, 1.6
+#: SPREAD undoes what trimming a half takes from the variance of normal data: 0.5 / P(chi-squared of 7 < median of chi-squared of 5).
+MIN_GROUP, STEPS, KEPT_SHARE, SPREAD = 20, 3, 0.5, 1.915
 #: The 0.99999 quantile of chi-squared with five degrees of freedom.
 CUTOFF = 30.856
 

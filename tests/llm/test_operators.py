@@ -319,6 +319,15 @@ def test_outliers_go_and_the_rest_stays(spark):
     assert quality.keep_good(docs).count() == len(rows) - 12 and quality.keep_good(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("share", [30, 45])
+def test_junk_of_nearly_half_a_group_goes(spark, share):
+    rng = random.Random(share)
+    rows = [(k, prose(rng, rng.randrange(60, 400)), "en", "a") for k in range(200 - 2 * share)]
+    rows += [(500 + k, " ".join(w + "###$$$" for w in prose(rng, rng.randrange(60, 400)).split()), "en", "a") for k in range(2 * share)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in quality.quality_verdicts(docs).filter("not kept").collect()} == set(range(500, 500 + 2 * share))
+
+
 # -- near copies ----------------------------------------------------------------------------------------------------
 
 
