@@ -4,14 +4,15 @@ Base rules come first (too few words; mostly repeated three-word windows). The o
 language and source are described by five transformed statistics, and a minimum-covariance-determinant
 estimate is found per group: from medians and deviations, each concentration step keeps the half
 of a group nearest to the current estimate and fits mean and covariance to it, so that junk of nearly half
-a group does not move it. A document is
-rejected if its squared Mahalanobis distance passes a far quantile of chi-squared. Every step is a
-combinable aggregate over (language, source), so a group with a third of all rows needs no gathering,
-and distances are plain column arithmetic on an unrolled Cholesky factor.
+a group does not move it. Each group's estimate is drawn towards its language's, and that towards the
+whole table's, with the weight of PRIOR documents. A document is rejected if its squared Mahalanobis
+distance passes a far quantile of chi-squared. Every step is a combinable aggregate, so a group with a
+third of all rows needs no gathering, and distances are plain column arithmetic on an unrolled Cholesky
+factor.
 
 Defined cases: a null text has no words and fails the base rules; null languages and sources are groups
-of their own; groups of fewer than MIN_GROUP documents keep what passes the base rules; a statistic that
-does not vary in a group is given a floor variance; repeated rows are judged alike.
+of their own; groups of any size are judged, the smallest by little but the wider estimates; a statistic
+that does not vary in a group is given a floor variance; repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -24,7 +25,11 @@ from .common import let, small, stored, total, without, words
 #: Transformed statistics and the standard deviation that each is given at least.
 STATISTICS = (("log_words", 0.7), ("log_word_length", 0.12), ("symbols", 0.055), ("repeated_lines", 0.25), ("repeated_words", 0.15))
 #: SPREAD undoes what trimming a half takes from the variance of normal data: 0.5 / P(chi-squared of 7 < median of chi-squared of 5).
-MIN_GROUP, STEPS, KEPT_SHARE, SPREAD = 20, 3, 0.5, 1.915
+STEPS, KEPT_SHARE, SPREAD = 3, 0.5, 1.915
+#: The documents that the wider estimate counts for when a group's own is drawn towards it.
+PRIOR = 20
+#: Groups whose estimates are broadcast.
+BROADCAST_GROUPS = 100_000
 #: The 0.99999 quantile of chi-squared with five degrees of freedom.
 CUTOFF = 30.856
 
@@ -70,10 +75,44 @@ def transformed() -> list[Column]:
     ]
 
 
+KEY = ("level", "g0", "g1")
+
+
+def _leveled(rows: DataFrame, xs: list[str]) -> DataFrame:
+    """Each row once in its group (level 0), in its language (1) and in the whole table (2)."""
+    none = F.lit(None)
+    kinds = [rows.schema[g].dataType for g in ("g0", "g1")]
+    keys = [F.struct(F.lit(k).alias("level"), (F.col("g0") if k < 2 else none.cast(kinds[0])).alias("g0"), (F.col("g1") if k < 1 else none.cast(kinds[1])).alias("g1")) for k in range(3)]
+    return rows.select(F.explode(F.array(*keys)).alias("key"), *xs).select("key.*", *xs)
+
+
 def _with(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Rows with the estimates of their group."""
-    e = small(estimates.withColumnsRenamed({"g0": "h0", "g1": "h1"}), 100_000)
-    return rows.join(e, rows.g0.eqNullSafe(e.h0) & rows.g1.eqNullSafe(e.h1), "left").drop("h0", "h1")
+    """Rows with the estimates of their group; where groups are too many to broadcast, the wider levels still are, as a level's key may hold all rows."""
+
+    def joined(rows: DataFrame, e: DataFrame) -> DataFrame:
+        same = [rows[k].eqNullSafe(e[f"h_{k}"]) for k in KEY]
+        return rows.join(e, same[0] & same[1] & same[2], "left").drop(*[f"h_{k}" for k in KEY])
+
+    e = estimates.withColumnsRenamed({k: f"h_{k}" for k in KEY})
+    if e.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        return joined(rows, F.broadcast(e))
+    return joined(rows.filter("level = 0"), e.filter("h_level = 0")).unionByName(joined(rows.filter("level > 0"), small(e.filter("h_level > 0"), BROADCAST_GROUPS)))
+
+
+def _shrunk(estimates: DataFrame, p: int) -> DataFrame:
+    """Each language's estimate drawn towards that of the whole table, and each group's towards its language's, as by PRIOR documents more."""
+    names = [*[f"m{i}" for i in range(p)], *[f"s{i}_{j}" for i in range(p) for j in range(i + 1)]]
+
+    def drawn(own: DataFrame, wider: DataFrame, same: Column) -> DataFrame:
+        share = F.col("n") / (F.col("n") + PRIOR)
+        return own.join(wider, same).select(*KEY, "n", *[(share * F.col(c) + (1 - share) * F.col(f"w_{c}")).alias(c) for c in names])
+
+    def wider(e: DataFrame) -> DataFrame:
+        return small(e.select(F.col("g0").alias("w_g0"), *[F.col(c).alias(f"w_{c}") for c in names]), BROADCAST_GROUPS)
+
+    whole, language, group = [estimates.filter(F.col("level") == k) for k in (2, 1, 0)]
+    language = drawn(language, wider(whole), F.lit(True))
+    return whole.select(*KEY, "n", *names).unionByName(language).unionByName(drawn(group, wider(language), F.col("g0").eqNullSafe(F.col("w_g0"))))
 
 
 def _distance(p: int) -> Column:
@@ -95,32 +134,35 @@ def _inverse_factor(estimates: DataFrame, p: int) -> DataFrame:
                 estimates = estimates.withColumn(f"k{i}_{i}", 1 / F.col(f"l{i}_{i}"))
             else:
                 estimates = estimates.withColumn(f"k{i}_{j}", -total([F.col(f"l{i}_{q}") * F.col(f"k{q}_{j}") for q in range(j, i)]) / F.col(f"l{i}_{i}"))
-    return estimates.select("g0", "g1", "n", *[f"m{i}" for i in range(p)], *[f"k{i}_{j}" for i in range(p) for j in range(i + 1)])
+    return estimates.select(*KEY, "n", *[f"m{i}" for i in range(p)], *[f"k{i}_{j}" for i in range(p) for j in range(i + 1)])
 
 
-def robust_verdicts(rows: DataFrame, statistics=STATISTICS, cutoff: float = CUTOFF, min_group: int = MIN_GROUP, steps: int = STEPS) -> DataFrame:
-    """``rows`` (g0, g1 and x0..) with d2, the squared robust distance; null in groups that are too small."""
+def robust_verdicts(rows: DataFrame, statistics=STATISTICS, cutoff: float = CUTOFF, steps: int = STEPS) -> DataFrame:
+    """``rows`` (g0, g1 and x0..) with d2, the squared robust distance."""
     p = len(statistics)
     floor = [s * s for _, s in statistics]
     xs = [f"x{i}" for i in range(p)]
+    points = _leveled(rows, xs)
     # start: medians, and deviations from them, each on its own
-    middle = rows.groupBy("g0", "g1").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, 0.5, 2000).alias(f"m{i}") for i, x in enumerate(xs)]).filter(F.col("n") >= min_group)
-    middle = stored(middle, "middles")
-    near = _with(rows, middle).filter("n is not null").groupBy("g0", "g1").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 2000).alias(f"a{i}") for i, x in enumerate(xs)])
-    e = middle.join(small(stored(near, "deviations").withColumnsRenamed({"g0": "h0", "g1": "h1"}), 100_000), F.expr("g0 <=> h0 and g1 <=> h1")).drop("h0", "h1")
+    middle = stored(points.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, 0.5, 2000).alias(f"m{i}") for i, x in enumerate(xs)]), "middles")
+    e = _with(points, middle).groupBy(*KEY).agg(
+        F.max("n").alias("n"), *[F.max(f"m{i}").alias(f"m{i}") for i in range(p)],
+        *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 2000).alias(f"a{i}") for i, x in enumerate(xs)],
+    )
     e = e.withColumns({f"s{i}_{j}": F.pow(1.4826 * F.col(f"a{i}"), 2) + F.lit(floor[i]) if i == j else F.lit(0.0) for i in range(p) for j in range(i + 1)})
-    estimates = stored(_inverse_factor(e, p), "estimates")
+    estimates = stored(_inverse_factor(_shrunk(stored(e, "deviations"), p), p), "estimates")
     for _ in range(steps):
-        measured = _with(rows, estimates).filter("n is not null").select("g0", "g1", "n", *xs, _distance(p).alias("d2"))
-        edge = stored(measured.groupBy("g0", "g1").agg(F.percentile_approx("d2", KEPT_SHARE, 2000).alias("edge")), "edges")
+        measured = _with(points, estimates).select(*KEY, "n", *xs, _distance(p).alias("d2"))
+        edge = stored(measured.groupBy(*KEY).agg(F.percentile_approx("d2", KEPT_SHARE, 2000).alias("edge")), "edges")
         kept = _with(measured, edge).filter("d2 <= edge")
-        moments = kept.groupBy("g0", "g1").agg(
+        moments = kept.groupBy(*KEY).agg(
             F.max("n").alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)],
             *[F.coalesce(F.covar_pop(f"x{i}", f"x{j}"), F.lit(0.0)).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)],
         )
         e = moments.withColumns({f"s{i}_{j}": F.col(f"c{i}_{j}") * SPREAD + (floor[i] if i == j else 0.0) for i in range(p) for j in range(i + 1)})
-        estimates = stored(_inverse_factor(e, p), "estimates")
-    return _with(rows, estimates).withColumn("d2", _distance(p)).drop("n", *[f"m{i}" for i in range(p)], *[f"k{i}_{j}" for i in range(p) for j in range(i + 1)])
+        estimates = stored(_inverse_factor(_shrunk(stored(e, "moments"), p), p), "estimates")
+    judged = _with(rows.withColumn("level", F.lit(0)), estimates.filter("level = 0")).withColumn("d2", _distance(p))
+    return judged.drop("level", "n", *[f"m{i}" for i in range(p)], *[f"k{i}_{j}" for i in range(p) for j in range(i + 1)])
 
 
 def _verdicts(docs: DataFrame, id_col: str, text_col: str, group_cols: tuple[str, str], cutoff: float) -> DataFrame:

@@ -328,6 +328,16 @@ def test_junk_of_nearly_half_a_group_goes(spark, share):
     assert {r.doc_id for r in quality.quality_verdicts(docs).filter("not kept").collect()} == set(range(500, 500 + 2 * share))
 
 
+def test_small_groups_are_judged(spark):
+    rng = random.Random(11)
+    rows = [(k, prose(rng, rng.randrange(60, 400)), ["en", "de", None][k % 3], f"s{k % 12}" if k % 5 else None) for k in range(90)]
+    rows += [(500 + k, " ".join(w + "###$$$" for w in prose(rng, 150).split()), lang, source) for k, (lang, source) in enumerate([("en", "s0"), ("de", "s1"), (None, None), ("en", "alone"), ("fr", "alone")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality.quality_verdicts(docs).collect()
+    assert {r.doc_id for r in got if not r.kept} == {500, 501, 502, 503, 504}
+    assert len(got) == len(rows) and all(r.distance is not None for r in got if not r.base_failed)
+
+
 # -- near copies ----------------------------------------------------------------------------------------------------
 
 
