@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import let, small, stored, total, without, words
 
-#: Transformed statistics and the standard deviation that each is given at least.
-STATISTICS = (("log_words", 0.7), ("log_word_length", 0.12), ("symbols", 0.055), ("repeated_lines", 0.25), ("repeated_words", 0.15))
+#: Transformed statistics and the standard deviation that each is given at least: so small that each alone can pass the cutoff
+#: (repeated_lines is at most 1, repeated_words at most 0.5 after the base rules).
+STATISTICS = (("log_words", 0.7), ("log_word_length", 0.12), ("symbols", 0.055), ("repeated_lines", 0.08), ("repeated_words", 0.06))
 #: SPREAD undoes what trimming a half takes from the variance of normal data: 0.5 / P(chi-squared of 7 < median of chi-squared of 5).
 STEPS, KEPT_SHARE, SPREAD = 3, 0.5, 1.915
 #: The documents that the wider estimate counts for when a group's own is drawn towards it.

@@ -338,6 +338,20 @@ def test_small_groups_are_judged(spark):
     assert len(got) == len(rows) and all(r.distance is not None for r in got if not r.base_failed)
 
 
+def test_each_statistic_alone_rejects(spark):
+    rng = random.Random(3)
+    rows = [(str(k), prose(rng, rng.randrange(60, 120)), "en", "a") for k in range(60)]
+    passage = prose(rng, 22)
+    odd = {
+        "log_words": prose(rng, 12_000), "log_word_length": " ".join(3 * w for w in prose(rng, 90).split()), "symbols": " ".join(w + "#" for w in prose(rng, 90).split()),
+        "repeated_lines": "\n".join(rng.choice(prose(random.Random(4), 30).split()) for _ in range(100)), "repeated_words": f"{prose(rng, 30)} {passage} {prose(rng, 30)} {passage}",
+    }
+    docs = spark.createDataFrame(rows + [(name, t, "en", "a") for name, t in odd.items()], "doc_id string, text string, lang string, source string")
+    got = quality.quality_verdicts(docs).collect()
+    assert not any(r.base_failed for r in got)
+    assert {r.doc_id for r in got if not r.kept} == set(odd)
+
+
 # -- near copies ----------------------------------------------------------------------------------------------------
 
 
