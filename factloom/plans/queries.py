@@ -125,6 +125,11 @@ def bag_of(spark, sf_dir):
     return relational.bag_of(load(spark, sf_dir, "orders").filter("o_totalprice > 200000").withColumnRenamed("o_custkey", "customer"), "o_orderpriority", ["customer"], "bag")
 
 
+@query("SELECT o_custkey AS customer, list_sort(list(o_orderpriority)) AS bag FROM orders GROUP BY 1")
+def bag_of_all(spark, sf_dir):
+    return relational.bag_of(load(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "customer"), "o_orderpriority", ["customer"], "bag")
+
+
 @query("SELECT o_orderkey AS order_id FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 11 OFFSET 9")
 def slice_of_list(spark, sf_dir):
     rows = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), (-F.col("o_totalprice")).alias("p"))
@@ -367,6 +372,12 @@ def ap_hash_vector(spark, sf_dir):
     return rows.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), hash_list(F.array("l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("bigint"))).alias("h"))
 
 
+@query(f"SELECT l_orderkey AS order_id, l_linenumber AS line, {sql_hash_list('[l_orderkey, l_partkey, l_suppkey, l_linenumber::BIGINT]')} AS h FROM lineitem")
+def ap_hash_vector_all(spark, sf_dir):
+    rows = load(spark, sf_dir, "lineitem")
+    return rows.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), hash_list(F.array("l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("bigint"))).alias("h"))
+
+
 @query("SELECT p_partkey AS part, replace(p_type, 'e', 'EE') AS x FROM part")
 def str_replace(spark, sf_dir):
     return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), strings.replace_all(F.col("p_type"), "e", "EE").alias("x"))

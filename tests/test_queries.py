@@ -31,3 +31,9 @@ def test_gram_queries_hold_every_supplier(spark, tables, name):
     suppliers = {str(r.l_suppkey) for r in spark.read.parquet(f"{folder}/lineitem.parquet").select("l_suppkey").distinct().collect()}
     assert max(map(int, suppliers)) > 60
     assert {r.case_a for r in QUERIES[name](spark, folder).filter("case_a = case_b").collect()} == suppliers
+
+
+def test_hashes_and_bags_hold_every_row(spark, tables):
+    lines, orders = (tables.sql(f"SELECT count(*) FROM {t}").fetchall()[0][0] for t in ("lineitem", "orders"))
+    assert QUERIES["ap_hash_vector_all"](spark, SMALL).count() == lines
+    assert sum(len(r.bag) for r in QUERIES["bag_of_all"](spark, SMALL).collect()) == orders
