@@ -374,3 +374,15 @@ def test_slices_are_appended_once(spark, tmp_path):
     assert values(spark.read.parquet(str(tmp_path / "derived")).filter("batch = 1").select("id", "slice")) == [("a", 0), ("b", 0)]
     rows = spark.createDataFrame([("2020-01-01 10:00:00", "x"), ("2020-01-01 11:00:00", "x")], "t string, k string").withColumn("t", F.col("t").cast("timestamp"))
     assert windowed_counts(rows, "t", "k").first().n == 2
+
+
+def test_dual_solver_raises_when_it_stops_early():
+    rng = np.random.default_rng(2)
+    x, s = rng.normal(size=(40, 3)), np.where(np.arange(40) % 2, 1.0, -1.0)
+    problem = ((x @ x.T) * np.outer(s, s), -np.ones(40), s, np.full(40, 5.0), np.zeros(40), 1e-3)
+    with pytest.raises(RuntimeError, match="after 3 steps"):
+        models.solve_dual(*problem, rounds=3)
+    a, grad = models.solve_dual(*problem)
+    score = -s * grad
+    up, down = np.where(s > 0, a < 5, a > 0), np.where(s > 0, a > 0, a < 5)
+    assert score[up].max() - score[down].min() < 1e-3
