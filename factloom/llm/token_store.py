@@ -36,8 +36,8 @@ from .common import batches, small, stored, tidy
 
 #: First nonterminal: above all ids of the vocabulary, so that two bytes hold most shards' symbols.
 BASE, MOST_RULES, LEAST_COUNT = 49_408, 16_000, 8
-#: Rounds and rules a round: within words, then across them.
-WORD_ROUNDS, TEXT_ROUNDS = (2250, 2250, 2250, 2250), (2500, 2500)
+#: Rules a round within words, and in all such rounds; rules a round across words, which go on while there is room.
+WORD_ROUND, WORD_RULES, TEXT_ROUND = 2250, 9000, 2500
 SHARD_CHARS, REMEMBERED = 12_000_000, 600_000
 #: The id that ends a document, as bytes.
 END = (1).to_bytes(4, "little")
@@ -184,9 +184,10 @@ def compress(units: list[bytes], texts: list[np.ndarray]) -> bytes:
     last = np.zeros(len(seq), bool)
     last[np.cumsum(sizes)[sizes > 0] - 1] = True
     weight = np.repeat(uses, sizes)
-    if len(seq):
-        for most in WORD_ROUNDS:
-            seq, last, weight = replace_pairs(seq, last, weight, rules, most)
+    had = -1
+    while len(seq) and had < len(rules) < WORD_RULES:
+        had = len(rules)
+        seq, last, weight = replace_pairs(seq, last, weight, rules, min(WORD_ROUND, WORD_RULES - had))
     # units without ids have no symbols; the others end at their marks
     short = np.zeros(len(units), np.int64)
     ends = np.flatnonzero(last) + 1
@@ -198,10 +199,11 @@ def compress(units: list[bytes], texts: list[np.ndarray]) -> bytes:
     last = np.zeros(len(at), bool)
     last[np.cumsum(per_text) - 1] = True
     seq = seq[at]
-    weight = None
-    for most in TEXT_ROUNDS:
-        if len(seq) > 1:
-            seq, last, weight = replace_pairs(seq, last, weight, rules, most)
+    # until no pair is frequent or all nonterminals are taken; what is left within words is found here too
+    weight, had = None, -1
+    while len(seq) > 1 and had < len(rules):
+        had = len(rules)
+        seq, last, weight = replace_pairs(seq, last, weight, rules, TEXT_ROUND)
     lengths = np.ones(BASE + len(rules), np.int64)
     for k, (a, b) in enumerate(rules):
         lengths[BASE + k] = lengths[a] + lengths[b]

@@ -146,6 +146,18 @@ def test_grammar_shrinks_and_restores():
     assert len(shard.symbols) < sum(map(len, flat)) / 3 and len(shard.rules) > 2
 
 
+def test_grammar_leaves_no_frequent_pair():
+    units = [array("I", [k + 1]).tobytes() for k in range(100)]
+    documents = [np.append(np.tile(np.arange(1, 65), 2), 0).astype(np.int32) for _ in range(60)]
+    shard = token_store.Shard(token_store.compress(units, documents))
+    left = {}
+    for a, b in zip(shard.begins[:-1].tolist(), shard.begins[1:].tolist(), strict=True):
+        for pair in zip(shard.symbols[a : b - 1].tolist(), shard.symbols[a + 1 : b].tolist(), strict=True):
+            left[pair] = left.get(pair, 0) + 1
+    assert len(shard.rules) == token_store.MOST_RULES or max(left.values(), default=0) < token_store.LEAST_COUNT
+    assert [shard.document(k).tolist() for k in range(60)] == [[x + 1 for x in d.tolist()] for d in documents]
+
+
 # -- repeats -------------------------------------------------------------------------------------------------------
 
 
