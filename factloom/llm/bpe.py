@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import batches, tidy
+from .common import batches, col, ddl, tidy
 
 INFINITE = 1 << 62
 #: A worker remembers the pre-tokens of two generations, so many in each at most, and none longer than this.
@@ -181,7 +181,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(doc_id, ids_arrow), pa.array(lengths), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
 
-    return docs.select(docs[id_col].alias("a"), docs[text_col].alias("b")).mapInArrow(encode, f"doc_id {ids_type.simpleString()}, n_tokens bigint, ids array<int>, decoded_sha256 string")
+    return docs.select(col(docs, id_col).alias("a"), col(docs, text_col).alias("b")).mapInArrow(encode, f"doc_id {ddl(ids_type)}, n_tokens bigint, ids array<int>, decoded_sha256 string")
 
 
 def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -200,4 +200,4 @@ def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select(docs[id_col].alias("a"), docs[text_col].alias("b")).mapInArrow(digest, f"doc_id {ids_type.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select(col(docs, id_col).alias("a"), col(docs, text_col).alias("b")).mapInArrow(digest, f"doc_id {ddl(ids_type)}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

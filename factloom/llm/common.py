@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
-from contextlib import suppress
-from functools import reduce, wraps
+from contextlib import contextmanager, suppress
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, MapType, NumericType, StructType, TimestampType
 
 #: ASCII white space, the only characters that part words here.
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: A table may be broadcast when its counted rows stay below this bound (at most 64 bytes a row are sent: 64 MB).
-BROADCAST_ROWS = 1_000_000
+#: A table may be broadcast when its counted rows, at their widths in a hashed relation, stay below this bound.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,16 +26,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary folder that this session then keeps."""
+    """The folder of spark.checkpoint.dir. Only a local session, whose executors see the driver's disk, may go without: it gets a temporary folder."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.factloom.shared.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.factloom.shared.dir", found)
     return found.rstrip("/")
 
 
 #: Rows of a batch between Spark and Python. Texts are long: at the usual 10,000 a batch takes tens of megabytes on both sides.
-BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
+#: Folders that the open scratch() blocks have written, innermost last.
+_SCRATCH: list[list[str]] = []
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -43,12 +50,73 @@ def stored(df: DataFrame, what: str) -> DataFrame:
         spark.conf.set(BATCH, BATCH_ROWS)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored within are deleted at the end, but for those given to the function that this yields."""
+    own: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._stored_at)
+        return df
+
+    _SCRATCH.append(own)
+    try:
+        yield keep
+    finally:
+        _SCRATCH.pop()
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in own:
+            if path not in kept:
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(conf).delete(where, True)
+        if _SCRATCH:
+            _SCRATCH[-1].extend(x for x in own if x in kept)
+
+
+def _width(kind: DataType) -> int:
+    """Bytes that a value is reckoned to take: numbers 8, strings and others 64 beside them."""
+    return 8 if isinstance(kind, (NumericType, BooleanType, DateType, TimestampType)) else 72
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows (counted) take at most ``limit`` bytes; beyond that the planner joins by shuffle.
+
+    A table whose files lie below the planner's own threshold needs neither count nor hint: the planner broadcasts it.
+    """
+    spark = df.sparkSession
+    threshold = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= threshold:
+        return df
+    rows = limit // (40 + sum(_width(f.dataType) for f in df.schema))
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows (counted first); beyond that the planner joins by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def quoted(c: str) -> str:
+    """A column's name as one identifier, whatever signs it has."""
+    return "`" + c.replace("`", "``") + "`"
+
+
+def col(df: DataFrame, c: str) -> Column:
+    return df[quoted(c)]
+
+
+def ddl(kind: DataType) -> str:
+    """A type as schema text, with its field names quoted."""
+    if isinstance(kind, StructType):
+        return "struct<" + ",".join(f"{quoted(f.name)}:{ddl(f.dataType)}" for f in kind) + ">"
+    if isinstance(kind, ArrayType):
+        return f"array<{ddl(kind.elementType)}>"
+    if isinstance(kind, MapType):
+        return f"map<{ddl(kind.keyType)},{ddl(kind.valueType)}>"
+    return kind.simpleString()
 
 
 def let(value: Column, body) -> Column:
@@ -61,14 +129,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def plus(a: Column, b: Column) -> Column:
-    return a + b
-
-
-def total(columns: list[Column]) -> Column:
-    return reduce(plus, columns)
-
-
 def tidy(f):
     """A batch function whose worker gives free memory back when its task ends; workers live on between tasks, beside each other and a JVM."""
 
@@ -95,5 +155,5 @@ def batches(arrow, columns: list[str], rows: int = 512):
 def without(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of ``docs`` whose (id, hash of the text) isn't in ``dropped`` (columns _id, _hash); texts move only if ``dropped`` is too large to broadcast."""
     dropped = small(dropped)
-    same = docs[id_col].eqNullSafe(dropped._id) & (F.xxhash64(docs[text_col]) == dropped._hash)
+    same = col(docs, id_col).eqNullSafe(dropped._id) & F.xxhash64(col(docs, text_col)).eqNullSafe(dropped._hash)
     return docs.join(dropped, same, "left_anti")

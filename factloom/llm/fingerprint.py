@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import batches, small, stored, tidy
+from .common import batches, col, ddl, small, stored, tidy
 
 
 def canonical(text: str | None) -> str:
@@ -55,7 +55,7 @@ def collisions(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str) -
             raw = [x.encode("utf-8", "surrogatepass") for x in texts]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_hexdigest(x) for x in raw]), pa.array(raw, pa.binary())], ["fingerprint", "canon"])
 
-    rows = docs.select(docs[id_col].alias("a"), docs[text_col].alias("b"))
+    rows = docs.select(col(docs, id_col).alias("a"), col(docs, text_col).alias("b"))
     texts = rows.join(members, rows.a.eqNullSafe(members.m), "left_semi").select("b").mapInArrow(canon, "fingerprint string, canon binary")
     return texts.groupBy("fingerprint").agg(F.min("canon").alias("low"), F.max("canon").alias("high")).filter("low != high").select("fingerprint")
 
@@ -73,7 +73,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
             yield pa.RecordBatch.from_arrays([pa.array(doc_id, ids_arrow), pa.array([xxhash.xxh3_128_hexdigest(x) for x in raw]), pa.array([hashlib.sha256(x).hexdigest() for x in raw])], ["doc_id", "fingerprint", "second"])
 
-    found = stored(docs.select(docs[id_col].alias("a"), docs[text_col].alias("b")).mapInArrow(prints, f"doc_id {ids_type.simpleString()}, fingerprint string, second string"), "fingerprints")
+    found = stored(docs.select(col(docs, id_col).alias("a"), col(docs, text_col).alias("b")).mapInArrow(prints, f"doc_id {ddl(ids_type)}, fingerprint string, second string"), "fingerprints")
     return _grouped(docs, found, id_col, text_col).select("doc_id", "fingerprint", "group_id")
 
 
@@ -98,7 +98,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     ids_type = docs.schema[id_col].dataType
     ids_arrow = to_arrow_type(ids_type)
-    out = f"doc_id {ids_type.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, second string"
+    out = f"doc_id {ddl(ids_type)}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, second string"
     names = [x.split()[0] for x in out.split(", ")]
 
     def judged(a, text, own, following, following_own):
@@ -142,7 +142,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for doc_id, text, following in batches(arrow, ["doc_id", "edge_text", "following"], 64):
             yield packed([judged(a, b, canonical(b), c, canonical(c)) for a, b, c in zip(doc_id, text, following, strict=True)], [])
 
-    rows = docs.select(docs[id_col].alias("a"), docs[text_col].alias("b"), F.xxhash64(docs[text_col]).alias("h"))
+    rows = docs.select(col(docs, id_col).alias("a"), col(docs, text_col).alias("b"), F.xxhash64(col(docs, text_col)).alias("h"))
     full = out + ", part bigint, edge string, edge_text string"
     met = stored(rows.repartitionByRange("a", "h").sortWithinPartitions("a", "h").drop("h").mapInArrow(ranges, full), "edits")
     firsts, lasts = met.filter("edge = 'first'"), met.filter("edge = 'last'")

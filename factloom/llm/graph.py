@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import scratch, small, stored
 
 
 def _smallest(pairs: DataFrame) -> DataFrame:
@@ -17,21 +17,22 @@ def _smallest(pairs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``edges`` (u, v) to (node, component): the smallest node of each component, for every node that has an edge."""
-    edges = stored(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _smallest(both)
-        low = low.select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        large = stored(large, "large")
-        low = _smallest(large)
-        small_star = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
-        edges = stored(small_star, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.union(stars.select("component", "component")).distinct()
+    """``edges`` (u, v) to (node, component): the smallest node of each component, for every node that has an edge. The result is stored."""
+    with scratch(edges.sparkSession) as keep:
+        edges = stored(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        before = None
+        while True:
+            both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = _smallest(both)
+            low = low.select("u", F.least("u", "m").alias("m"))
+            large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+            large = stored(large, "large")
+            low = _smallest(large)
+            small_star = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
+            edges = stored(small_star, "edges")
+            now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == before:
+                break
+            before = now
+        stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return keep(stored(stars.union(stars.select("component", "component")).distinct(), "components"))

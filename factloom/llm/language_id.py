@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import batches, stored, tidy
+from .common import batches, col, ddl, stored, tidy
 
 #: Bound of the training sample in documents a language; EM rounds after the first count.
 SAMPLE, ROUNDS = 600, 2
@@ -120,8 +120,8 @@ def expected(word: str, table: dict[str, tuple[str, float]]) -> dict[str, float]
 
 def sample(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, list[str]]:
     """Labelled training documents, about ``per_language`` of each language, and the languages by code point."""
-    held_out = F.pmod(F.crc32(F.coalesce(docs[id_col].cast("string"), F.lit(""))), 5) == 0
-    rows = docs.select(docs[id_col].cast("string").alias("a"), docs[text_col].alias("b"), docs[lang_col].alias("c"), held_out.alias("h")).filter("not h and b is not null and c is not null")
+    held_out = F.pmod(F.crc32(F.coalesce(col(docs, id_col).cast("string"), F.lit(""))), 5) == 0
+    rows = docs.select(col(docs, id_col).cast("string").alias("a"), col(docs, text_col).alias("b"), col(docs, lang_col).alias("c"), held_out.alias("h")).filter("not h and b is not null and c is not null")
     # one row a label; labels are few by their nature
     sizes = {r.c: r.n for r in rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0.0)
@@ -279,5 +279,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             found = scorer.predict(text)
             yield pa.RecordBatch.from_arrays([pa.array(doc_id, ids_arrow), pa.array(held_out, pa.bool_()), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    held_out = F.pmod(F.crc32(F.coalesce(docs[id_col].cast("string"), F.lit(""))), 5) == 0
-    return docs.select(docs[id_col].alias("a"), held_out.alias("h"), docs[text_col].alias("b")).mapInArrow(predict, f"doc_id {ids_type.simpleString()}, held_out boolean, lang_pred string, score double")
+    held_out = F.pmod(F.crc32(F.coalesce(col(docs, id_col).cast("string"), F.lit(""))), 5) == 0
+    return docs.select(col(docs, id_col).alias("a"), held_out.alias("h"), col(docs, text_col).alias("b")).mapInArrow(predict, f"doc_id {ddl(ids_type)}, held_out boolean, lang_pred string, score double")

@@ -8,8 +8,12 @@ four bits of every value make a sketch that estimates similarity.
 Equal sets collapse into one class first. Within a bucket of a band, classes whose sketches come near
 the threshold are joined into a forest, of at most one edge a member; the forests of all buckets give
 clusters, outside which no link can lie. In a cluster the full sets decide: from class to class, only
-those not reached yet are compared, and again one link a member suffices. Buckets and clusters larger
-than a block are dealt as pairs of blocks, so no group outgrows a task and no link is lost.
+those not reached yet are compared, and again one link a member suffices.
+
+Buckets and clusters of more than two blocks are dealt in blocks, each with the group's few representatives;
+what is near them, the bulk of a group of copies, is connected so at a cost in proportion to its size. Only
+members outside the group's largest component meet all its blocks afterwards, so no group outgrows a task,
+no link is lost, and a group of copies never makes pairs of all its blocks.
 
 With 5 rows in 36 bands a pair at similarity 0.8 meets in some band but for 7 in 10 million; at 0.9, 6 in
 10^15. A sketch of 640 values at 0.8 falls below NEAR, 5.5 standard deviations away, for 2 in 100 million.
@@ -27,14 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import batches, small, stored, tidy
+from .common import batches, col, ddl, scratch, small, stored, tidy
 from .graph import components
 
 ROWS, BANDS = 5, 36
 #: Values in a sketch, and the share of equal four-bit values from which a pair is looked at (0.8 gives 0.8125 on average).
 VALUES, NEAR = 640, 0.7275
-#: Members of a block; groups of up to two blocks stay whole. Bytes of sets in a block of a cluster.
-BLOCK, BLOCK_BYTES = 1000, 32_000_000
+#: Members of a block; groups of up to two blocks stay whole. Bytes of sets in a block of a cluster. Representatives of a group, about.
+BLOCK, BLOCK_BYTES, REPRESENTATIVES = 1000, 16_000_000, 24
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Shingles hashed at once: two such arrays stay in a core's cache.
 CHUNK = 1 << 15
@@ -150,7 +154,7 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
                 ["doc_id", "n", "node", "keys", "sketch"],
             )
 
-    return docs.select(docs[id_col].alias("a"), docs[text_col].alias("b")).mapInArrow(sign, f"doc_id {ids_type.simpleString()}, n bigint, node string, keys array<bigint>, sketch binary")
+    return docs.select(col(docs, id_col).alias("a"), col(docs, text_col).alias("b")).mapInArrow(sign, f"doc_id {ddl(ids_type)}, n bigint, node string, keys array<bigint>, sketch binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -164,7 +168,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str
             raw = [shingle_set(x, k).tobytes() for x in text]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_hexdigest(x) for x in raw]), pa.array(raw, pa.binary())], ["node", "set"])
 
-    rows = docs.select(docs[id_col].alias("a"), docs[text_col].alias("b"))
+    rows = docs.select(col(docs, id_col).alias("a"), col(docs, text_col).alias("b"))
     return rows.join(small(wanted), rows.a == wanted.rep, "left_semi").select("b").mapInArrow(make, "node string, set binary")
 
 
@@ -229,41 +233,64 @@ def _forests(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
     return rows.select(*columns).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "node").mapInArrow(run, "u string, v string")
 
 
-def _dealt(rows: DataFrame, blocks: Column) -> DataFrame:
-    """Each row to the pairs of blocks (i <= j) that its own block is part of."""
-    own = F.pmod(F.xxhash64("node"), F.col("_blocks"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1), lambda b: F.struct(F.least(b, F.col("_own")).alias("i"), F.greatest(b, F.col("_own")).alias("j")))
-    return rows.withColumn("_blocks", blocks.cast("bigint")).withColumn("_own", own).withColumn("_p", F.explode(pairs)).select("*", "_p.i", "_p.j").drop("_blocks", "_own", "_p")
+def _grown(rows: DataFrame, blocks: Column, percent: int, exact: bool) -> DataFrame:
+    """Edges (u, v) that connect what links connect in each group g of rows (g, m members, node, n, sketch, maybe set); ``blocks`` is how many a group has. Stored."""
+    zero, own = F.lit(0).cast("bigint"), F.pmod(F.xxhash64("node"), F.col("_blocks"))
+    rows = rows.withColumn("_blocks", blocks.cast("bigint"))
+    edges = stored(_forests(rows.filter("_blocks = 1").withColumns({"i": zero, "j": zero}), percent, exact), "edges")
+    hot = rows.filter("_blocks > 1").withColumn("_own", own)
+    if hot.isEmpty():
+        return edges
+    # each block with the representatives of its group
+    everywhere = F.sequence(zero, F.col("_blocks") - 1)
+    chosen = F.pmod(F.xxhash64("node", F.lit(1)), F.col("m")) < REPRESENTATIVES
+    dealt = hot.withColumn("i", F.explode(F.when(chosen, everywhere).otherwise(F.array("_own")))).withColumn("j", F.col("i"))
+    edges = stored(edges.union(_forests(dealt, percent, exact)), "edges")
+    # members outside the largest component, in blocks of their own, meet each other and all blocks of the others
+    named = hot.select("g", "node").join(components(edges), "node", "left").select("g", "node", F.coalesce("component", "node").alias("component"))
+    named = stored(named, "named")
+    sizes = named.groupBy("g", "component").agg(F.count(F.lit(1)).alias("k"))
+    largest = stored(sizes.groupBy("g").agg(F.max_by("component", F.struct("k", "component")).alias("_largest"), (F.sum("k") - F.max("k")).alias("_rest")).filter("_rest > 0"), "largest")
+    if largest.isEmpty():
+        return edges
+    rest = F.ceil(F.col("_rest") / BLOCK)
+    hot = hot.join(named, ["g", "node"]).join(small(largest), "g").withColumns({"_others": rest, "_mine": F.pmod(F.xxhash64("node"), rest)})
+    # rest blocks come after the group's own ones in the numbering of pairs
+    others = F.transform(F.sequence(zero, F.col("_others") - 1), lambda b: b + F.col("_blocks"))
+    mine = F.col("_mine") + F.col("_blocks")
+    outside = F.concat(F.transform(everywhere, lambda b: F.struct(b.alias("i"), mine.alias("j"))), F.transform(others, lambda b: F.struct(F.least(b, mine).alias("i"), F.greatest(b, mine).alias("j"))))
+    inside = F.transform(others, lambda b: F.struct(F.col("_own").alias("i"), b.alias("j")))
+    dealt = hot.withColumn("_p", F.explode(F.when(F.col("component") == F.col("_largest"), inside).otherwise(outside))).withColumns({"i": F.col("_p.i"), "j": F.col("_p.j")})
+    return stored(edges.union(_forests(dealt, percent, exact)), "edges")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; component_id is the smallest doc_id reachable over links."""
     signed = stored(signatures(docs, k, id_col, text_col), "signatures")
-    usable = signed.filter("node is not null and doc_id is not null")
-    classes = stored(usable.groupBy("node").agg(F.min(F.struct("doc_id", "n", "keys", "sketch")).alias("x"), F.count(F.lit(1)).alias("copies")).select("node", F.col("x.doc_id").alias("rep"), "x.n", "x.keys", "x.sketch", "copies"), "classes")
     several = lambda m: F.when(m > 2 * BLOCK, F.ceil(m / BLOCK)).otherwise(1)
-
-    rows = classes.select("node", F.explode("keys").alias("g"))
-    shared = stored(rows.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets")
-    members = stored(rows.join(shared, "g"), "members")
-    marked = members.join(classes.select("node", "n", "sketch"), "node")
-    near = stored(_forests(_dealt(marked, several(F.col("m"))), percent, exact=False), "near")
-
-    clusters = stored(components(near), "clusters")
-    sizes = classes.join(clusters, "node").select("node", "rep", "n", "sketch", F.col("component").alias("g"))
-    sizes = stored(sizes, "clustered")
-    per_cluster = stored(sizes.groupBy("g").agg(F.count(F.lit(1)).alias("m"), (8 * F.sum("n")).alias("bytes")), "sizes")
-    sets = _sets(docs, sizes.select("rep"), k, id_col, text_col)
-    full = sizes.join(per_cluster, "g").join(sets, "node")
-    links = stored(_forests(_dealt(full, F.greatest(several(F.col("m")), F.when(F.col("bytes") > 2 * BLOCK_BYTES, F.ceil(F.col("bytes") / BLOCK_BYTES)).otherwise(1))), percent, exact=True), "links")
-
-    labels = stored(components(links), "components")
-    named = stored(labels.join(classes.select("node", "rep"), "node"), "named")
-    first = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    linked = named.join(small(stored(first, "firsts")), "component").select("node", "component_id")
-    # only classes with copies or links change a row
-    alone = classes.filter("copies > 1").select("node", "rep").join(small(labels.select("node")), "node", "left_anti").select("node", F.col("rep").alias("component_id"))
-    changed = stored(linked.union(alone), "changed")
+    with scratch(docs.sparkSession) as keep:
+        usable = signed.filter("node is not null and doc_id is not null")
+        classes = stored(usable.groupBy("node").agg(F.min(F.struct("doc_id", "n", "keys", "sketch")).alias("x"), F.count(F.lit(1)).alias("copies")).select("node", F.col("x.doc_id").alias("rep"), "x.n", "x.keys", "x.sketch", "copies"), "classes")
+        rows = classes.select("node", F.explode("keys").alias("g"))
+        shared = stored(rows.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets")
+        members = stored(rows.join(shared, "g"), "members")
+        marked = members.join(classes.select("node", "n", "sketch"), "node")
+        near = _grown(marked, several(F.col("m")), percent, exact=False)
+
+        sizes = stored(classes.join(components(near), "node").select("node", "rep", "n", "sketch", F.col("component").alias("g")), "clustered")
+        per_cluster = stored(sizes.groupBy("g").agg(F.count(F.lit(1)).alias("m"), (8 * F.sum("n")).alias("bytes")), "sizes")
+        sets = _sets(docs, sizes.select("rep"), k, id_col, text_col)
+        full = sizes.join(per_cluster, "g").join(sets, "node")
+        blocks = F.greatest(several(F.col("m")), F.when(F.col("bytes") > 2 * BLOCK_BYTES, F.ceil(F.col("bytes") / BLOCK_BYTES)).otherwise(1))
+        links = _grown(stored(full, "sets"), blocks, percent, exact=True)
+
+        labels = components(links)
+        named = stored(labels.join(classes.select("node", "rep"), "node"), "named")
+        first = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+        linked = named.join(small(stored(first, "firsts")), "component").select("node", "component_id")
+        # only classes with copies or links change a row
+        alone = classes.filter("copies > 1").select("node", "rep").join(small(labels.select("node")), "node", "left_anti").select("node", F.col("rep").alias("component_id"))
+        changed = keep(stored(linked.union(alone), "changed"))
     out = signed.select("doc_id", "n", "node").join(small(changed), "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -271,6 +298,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near copies (that of the smallest doc_id), with all its columns; repeated rows of that one stay."""
-    found = near_duplicates(docs, k, percent, id_col, text_col).filter("not kept").select("doc_id").distinct()
-    found = small(stored(found.select(F.col("doc_id").alias("_id")), "dropped"))
-    return docs.join(found, docs[id_col] == found._id, "left_anti")
+    with scratch(docs.sparkSession) as keep:
+        found = near_duplicates(docs, k, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
+        found = small(keep(stored(found, "dropped")))
+    return docs.join(found, col(docs, id_col) == found._id, "left_anti")

@@ -2,37 +2,44 @@
 
 Base rules come first (too few words; mostly repeated three-word windows). The other documents of each
 language and source are described by five transformed statistics, and a minimum-covariance-determinant
-estimate is found per group: from medians and deviations, each concentration step keeps the half
-of a group nearest to the current estimate and fits mean and covariance to it, so that junk of nearly half
-a group does not move it. Each group's estimate is drawn towards its language's, and that towards the
-whole table's, with the weight of PRIOR documents. A document is rejected if its squared Mahalanobis
-distance passes a far quantile of chi-squared. Every step is a combinable aggregate, so a group with a
-third of all rows needs no gathering, and distances are plain column arithmetic on an unrolled Cholesky
-factor.
+estimate is found per group. Three starts (uncorrelated, correlations of tanh scores, and of spatial signs)
+each keep the half of the group nearest to them, fit mean and covariance to it, and go on so until the
+determinant falls no more; of the three the least determinant is taken. A last fit to all documents within
+a 0.975 quantile of that estimate gives the distances, and a document is rejected if its squared
+Mahalanobis distance passes a far quantile of chi-squared.
+
+In a small group the covariance is regularised, as the determinant of a few documents says little: mean and
+covariance are drawn towards medians and deviations of the group, its language and the whole table, with the
+weight of PRIOR documents each. In a group of many documents that weight vanishes.
+
+Statistics are whole numbers of thousandths, and all sums, medians and ranks are exact (ranks of distances
+by a histogram of fine steps), so reruns agree whatever the partitions. Every step is a combinable
+aggregate; a group with a third of all rows needs no gathering, and distances are plain column arithmetic on
+an unrolled Cholesky factor.
 
 Defined cases: a null text has no words and fails the base rules; null languages and sources are groups
-of their own; groups of any size are judged, the smallest by little but the wider estimates; a statistic
-that does not vary in a group is given a floor variance; repeated rows are judged alike.
+of their own; groups of any size are judged; a statistic that does not vary in a group has the deviation
+named beside it; repeated rows are judged alike; an empty table gives an empty result; columns of any other
+name stay as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, small, stored, total, without, words
+from .common import col, let, scratch, small, stored, without, words
 
-#: Transformed statistics and the standard deviation that each is given at least: so small that each alone can pass the cutoff
-#: (repeated_lines is at most 1, repeated_words at most 0.5 after the base rules).
-STATISTICS = (("log_words", 0.7), ("log_word_length", 0.12), ("symbols", 0.055), ("repeated_lines", 0.08), ("repeated_words", 0.06))
-#: SPREAD undoes what trimming a half takes from the variance of normal data: 0.5 / P(chi-squared of 7 < median of chi-squared of 5).
-STEPS, KEPT_SHARE, SPREAD = 3, 0.5, 1.915
-#: The documents that the wider estimate counts for when a group's own is drawn towards it.
-PRIOR = 20
-#: Groups whose estimates are broadcast.
-BROADCAST_GROUPS = 100_000
-#: The 0.99999 quantile of chi-squared with five degrees of freedom.
-CUTOFF = 30.856
+#: Transformed statistics, and the deviation in thousandths that a statistic has where it varies less (most documents have no symbols and repeat nothing).
+STATISTICS = (("log_words", 100), ("log_word_length", 20), ("symbols", 40), ("repeated_lines", 80), ("repeated_words", 60))
+#: What trimming takes from the variance of normal data with five statistics: 0.5 / P(chi-squared of 7 < median of chi-squared of 5), and so for 0.975.
+HALF, MOST_OF = 1.9122, 1.0556
+#: The 0.975 and 0.99999 quantiles of chi-squared with five degrees of freedom.
+INNER, CUTOFF = 12.8325, 30.856
+#: The documents that wider medians and deviations count for. A determinant falls if its logarithm does by this much.
+PRIOR, FALLS = 20, 1e-3
+#: The share of no correlation in a start, which keeps it regular.
+PLAIN = 0.1
 
 
 def counts(text: Column) -> list[Column]:
@@ -63,116 +70,168 @@ def counts(text: Column) -> list[Column]:
 
 
 def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    rows = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("_hash"), *[docs[c].alias(f"_{c}") for c in keep], *counts(docs[text_col]))
-    rows = rows.select("doc_id", "_hash", *[f"_{c}" for c in keep], "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words")
+    """Counts and base verdict of every row; the columns ``keep`` go along as g0, g1 and so on."""
+    text = col(docs, text_col)
+    kept = [f"g{i}" for i in range(len(keep))]
+    rows = docs.select(col(docs, id_col).alias("doc_id"), F.xxhash64(text).alias("_hash"), *[col(docs, c).alias(g) for c, g in zip(keep, kept, strict=True)], *counts(text))
+    rows = rows.select("doc_id", "_hash", *kept, "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words")
     return rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def transformed() -> list[Column]:
     n, c = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    return [
-        F.log(n).alias("x0"), F.log(c / n).alias("x1"), F.sqrt(F.col("n_symbols") / c).alias("x2"),
-        F.sqrt(F.col("n_dup_lines") / n).alias("x3"), (F.col("n_repeat_words") / n).alias("x4"),
-    ]
+    found = [F.log(n), F.log(c / n), F.sqrt(F.col("n_symbols") / c), F.sqrt(F.col("n_dup_lines") / n), F.col("n_repeat_words") / n]
+    return [F.round(1000 * x).cast("bigint").alias(f"x{i}") for i, x in enumerate(found)]
+
+
+GROUP = ("g0", "g1")
 
 
-KEY = ("level", "g0", "g1")
+def _num(x: float) -> str:
+    """A number as a double literal of SQL."""
+    return f"{float(x)!r}D"
 
 
-def _leveled(rows: DataFrame, xs: list[str]) -> DataFrame:
-    """Each row once in its group (level 0), in its language (1) and in the whole table (2)."""
-    none = F.lit(None)
-    kinds = [rows.schema[g].dataType for g in ("g0", "g1")]
-    keys = [F.struct(F.lit(k).alias("level"), (F.col("g0") if k < 2 else none.cast(kinds[0])).alias("g0"), (F.col("g1") if k < 1 else none.cast(kinds[1])).alias("g1")) for k in range(3)]
-    return rows.select(F.explode(F.array(*keys)).alias("key"), *xs).select("key.*", *xs)
+def _lower(p: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(p) for j in range(i + 1)]
 
 
-def _with(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Rows with the estimates of their group; where groups are too many to broadcast, the wider levels still are, as a level's key may hold all rows."""
+def _with(rows: DataFrame, few: DataFrame, keys=GROUP, how: str = "inner") -> DataFrame:
+    """Rows with the columns of their group; nulls are groups. Groups too many to broadcast meet by shuffle, where the skew join splits hot ones."""
+    few = small(few.withColumnsRenamed({k: f"h_{k}" for k in keys}))
+    same = rows[keys[0]].eqNullSafe(few[f"h_{keys[0]}"])
+    for k in keys[1:]:
+        same = same & rows[k].eqNullSafe(few[f"h_{k}"])
+    return rows.join(few, same, how).drop(*[f"h_{k}" for k in keys])
 
-    def joined(rows: DataFrame, e: DataFrame) -> DataFrame:
-        same = [rows[k].eqNullSafe(e[f"h_{k}"]) for k in KEY]
-        return rows.join(e, same[0] & same[1] & same[2], "left").drop(*[f"h_{k}" for k in KEY])
 
-    e = estimates.withColumnsRenamed({k: f"h_{k}" for k in KEY})
-    if e.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
-        return joined(rows, F.broadcast(e))
-    return joined(rows.filter("level = 0"), e.filter("h_level = 0")).unionByName(joined(rows.filter("level > 0"), small(e.filter("h_level > 0"), BROADCAST_GROUPS)))
+def _medians(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Of counted values (keys, ``value``, n): their median ``mid`` (the lower one) and their number ``n``, by cumulated counts; one row a value and key."""
+    upward = Window.partitionBy(*keys).orderBy(value)
+    whole = Window.partitionBy(*keys)
+    found = counted.withColumn("_upto", F.sum("n").over(upward)).withColumn("_all", F.sum("n").over(whole))
+    return found.filter(2 * F.col("_upto") >= F.col("_all")).groupBy(*keys).agg(F.min(value).alias("mid"), F.max("_all").alias("n"))
 
 
-def _shrunk(estimates: DataFrame, p: int) -> DataFrame:
-    """Each language's estimate drawn towards that of the whole table, and each group's towards its language's, as by PRIOR documents more."""
-    names = [*[f"m{i}" for i in range(p)], *[f"s{i}_{j}" for i in range(p) for j in range(i + 1)]]
+def _targets(points: DataFrame, p: int, floors: list[int]) -> DataFrame:
+    """Per group: n, and for each statistic a centre t<i> and a deviation c<i>, drawn from the whole table's over the language's to its own."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"x{i}").alias("v")) for i in range(p)]))
+    own = stored(points.select(*GROUP, each.alias("e")).select(*GROUP, "e.*").groupBy(*GROUP, "i", "v").agg(F.count(F.lit(1)).alias("n")), "values")
+    nothing = [F.lit(None).cast(own.schema[g].dataType).alias(g) for g in GROUP]
+    levels = [[F.lit(0).alias("level"), F.col("g0"), F.col("g1")], [F.lit(1).alias("level"), F.col("g0"), nothing[1]], [F.lit(2).alias("level"), *nothing]]
+    keys = ["level", *GROUP, "i"]
+    counted = stored(own.select(F.explode(F.array(*[F.struct(*k, F.col("i")) for k in levels])).alias("k"), "v", "n").select("k.*", "v", "n").groupBy(*keys, "v").agg(F.sum("n").alias("n")), "counted")
+    middle = stored(_medians(counted, keys, "v"), "medians")
+    away = _with(counted, middle.drop("n"), keys).groupBy(*keys, F.abs(F.col("v") - F.col("mid")).alias("v")).agg(F.sum("n").alias("n"))
+    deviations = _medians(away, keys, "v").withColumn("c", 1.4826 * F.col("mid")).drop("mid", "n")
+    found = _with(middle, deviations, keys)
+    sides = [F.max(F.when(F.col("i") == i, F.col(x))).cast("double").alias(f"{to}{i}") for i in range(p) for x, to in (("mid", "t"), ("c", "c"))]
+    wide = stored(found.groupBy("level", *GROUP).agg(F.max("n").alias("n"), *sides), "levels")
+    names = [f"{to}{i}" for i in range(p) for to in "tc"]
 
-    def drawn(own: DataFrame, wider: DataFrame, same: Column) -> DataFrame:
-        share = F.col("n") / (F.col("n") + PRIOR)
-        return own.join(wider, same).select(*KEY, "n", *[(share * F.col(c) + (1 - share) * F.col(f"w_{c}")).alias(c) for c in names])
+    def drawn(rows: DataFrame, wider: DataFrame, *keys: str) -> DataFrame:
+        above = wider.selectExpr("level - 1 AS level", *keys, *[f"{c} AS w_{c}" for c in names])
+        return _with(rows, above, ["level", *keys]).selectExpr("level", *GROUP, "n", *[f"(n * {c} + {PRIOR} * w_{c}) / (n + {PRIOR}) AS {c}" for c in names])
 
-    def wider(e: DataFrame) -> DataFrame:
-        return small(e.select(F.col("g0").alias("w_g0"), *[F.col(c).alias(f"w_{c}") for c in names]), BROADCAST_GROUPS)
+    group, language, whole = [wide.filter(F.col("level") == k) for k in range(3)]
+    found = drawn(group, drawn(language, whole), "g0").drop("level")
+    return stored(found.selectExpr(*GROUP, "n", *[f"t{i}" for i in range(p)], *[f"greatest(c{i}, {_num(floors[i])}) AS c{i}" for i in range(p)]), "targets")
 
-    whole, language, group = [estimates.filter(F.col("level") == k) for k in (2, 1, 0)]
-    language = drawn(language, wider(whole), F.lit(True))
-    return whole.select(*KEY, "n", *names).unionByName(language).unionByName(drawn(group, wider(language), F.col("g0").eqNullSafe(F.col("w_g0"))))
 
+def _starts(points: DataFrame, targets: DataFrame, p: int) -> DataFrame:
+    """Per group and start (0, 1, 2): centre m<i> and covariance s<i>_<j>."""
+    z = _with(points, targets).selectExpr(*GROUP, *[f"(x{i} - t{i}) / c{i} AS z{i}" for i in range(p)])
+    z = z.selectExpr("*", f"sqrt({' + '.join(f'z{i} * z{i}' for i in range(p))}) AS r").selectExpr(*GROUP, *[f"tanh(z{i}) AS h{i}" for i in range(p)], *[f"CASE WHEN r > 0 THEN z{i} / r ELSE 0D END AS u{i}" for i in range(p)])
+    # whole millionths: their sums don't depend on the order
+    found = z.groupBy(*GROUP).agg(*[F.expr(f"sum(CAST(round(1000000 * {k}{i} * {k}{j}) AS BIGINT)) AS {k}{i}_{j}") for k in "hu" for i, j in _lower(p)])
 
-def _distance(p: int) -> Column:
+    def correlation(k: str, i: int, j: int) -> str:
+        if i == j:
+            return "1D"
+        scale = f"sqrt(CAST({k}{i}_{i} AS DOUBLE)) * sqrt(CAST({k}{j}_{j} AS DOUBLE))"
+        return "0D" if k == "" else f"(CASE WHEN {k}{i}_{i} > 0 AND {k}{j}_{j} > 0 THEN {_num(1 - PLAIN)} * {k}{i}_{j} / ({scale}) ELSE 0D END)"
+
+    rows = ", ".join(f"named_struct('start', {n}, {', '.join(f'{chr(39)}s{i}_{j}{chr(39)}, {correlation(k, i, j)} * c{i} * c{j}' for i, j in _lower(p))})" for n, k in enumerate(("", "h", "u")))
+    return _with(targets, stored(found, "scores")).selectExpr(*GROUP, "n", *[f"t{i} AS m{i}" for i in range(p)], f"explode(array({rows})) AS _s").select(*GROUP, "n", *[f"m{i}" for i in range(p)], "_s.*")
+
+
+def _distance(p: int) -> str:
     """Squared Mahalanobis distance by forward substitution on the group's inverse factor k<i>_<j>."""
-    return total([F.pow(total([F.col(f"k{i}_{j}") * (F.col(f"x{j}") - F.col(f"m{j}")) for j in range(i + 1)]), 2) for i in range(p)])
-
-
-def _inverse_factor(estimates: DataFrame, p: int) -> DataFrame:
-    """From covariances s<i>_<j> the inverse of the lower Cholesky factor, as columns k<i>_<j>."""
-    for i in range(p):
-        for j in range(i + 1):
-            rest = F.col(f"s{i}_{j}")
-            for q in range(j):
-                rest = rest - F.col(f"l{i}_{q}") * F.col(f"l{j}_{q}")
-            estimates = estimates.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}_{j}"))
-    for i in range(p):
-        for j in range(i + 1):
-            if i == j:
-                estimates = estimates.withColumn(f"k{i}_{i}", 1 / F.col(f"l{i}_{i}"))
-            else:
-                estimates = estimates.withColumn(f"k{i}_{j}", -total([F.col(f"l{i}_{q}") * F.col(f"k{q}_{j}") for q in range(j, i)]) / F.col(f"l{i}_{i}"))
-    return estimates.select(*KEY, "n", *[f"m{i}" for i in range(p)], *[f"k{i}_{j}" for i in range(p) for j in range(i + 1)])
-
-
-def robust_verdicts(rows: DataFrame, statistics=STATISTICS, cutoff: float = CUTOFF, steps: int = STEPS) -> DataFrame:
-    """``rows`` (g0, g1 and x0..) with d2, the squared robust distance."""
-    p = len(statistics)
-    floor = [s * s for _, s in statistics]
-    xs = [f"x{i}" for i in range(p)]
-    points = _leveled(rows, xs)
-    # start: medians, and deviations from them, each on its own
-    middle = stored(points.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, 0.5, 2000).alias(f"m{i}") for i, x in enumerate(xs)]), "middles")
-    e = _with(points, middle).groupBy(*KEY).agg(
-        F.max("n").alias("n"), *[F.max(f"m{i}").alias(f"m{i}") for i in range(p)],
-        *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 2000).alias(f"a{i}") for i, x in enumerate(xs)],
-    )
-    e = e.withColumns({f"s{i}_{j}": F.pow(1.4826 * F.col(f"a{i}"), 2) + F.lit(floor[i]) if i == j else F.lit(0.0) for i in range(p) for j in range(i + 1)})
-    estimates = stored(_inverse_factor(_shrunk(stored(e, "deviations"), p), p), "estimates")
-    for _ in range(steps):
-        measured = _with(points, estimates).select(*KEY, "n", *xs, _distance(p).alias("d2"))
-        edge = stored(measured.groupBy(*KEY).agg(F.percentile_approx("d2", KEPT_SHARE, 2000).alias("edge")), "edges")
-        kept = _with(measured, edge).filter("d2 <= edge")
-        moments = kept.groupBy(*KEY).agg(
-            F.max("n").alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)],
-            *[F.coalesce(F.covar_pop(f"x{i}", f"x{j}"), F.lit(0.0)).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)],
-        )
-        e = moments.withColumns({f"s{i}_{j}": F.col(f"c{i}_{j}") * SPREAD + (floor[i] if i == j else 0.0) for i in range(p) for j in range(i + 1)})
-        estimates = stored(_inverse_factor(_shrunk(stored(e, "moments"), p), p), "estimates")
-    judged = _with(rows.withColumn("level", F.lit(0)), estimates.filter("level = 0")).withColumn("d2", _distance(p))
-    return judged.drop("level", "n", *[f"m{i}" for i in range(p)], *[f"k{i}_{j}" for i in range(p) for j in range(i + 1)])
+    return " + ".join(f"pow({' + '.join(f'k{i}_{j} * (x{j} - m{j})' for j in range(i + 1))}, 2)" for i in range(p))
+
+
+def _factored(estimates: DataFrame, p: int) -> DataFrame:
+    """Covariances s<i>_<j> as the inverse k<i>_<j> of their lower Cholesky factor, with ``det``, the logarithm of the determinant.
+
+    A column of the factor at a step, then a diagonal of its inverse, so that each step is one projection.
+    """
+    rest = [f"`{x}`" for x in estimates.columns if x not in {f"s{i}_{j}" for i, j in _lower(p)}]
+    for q in range(p):
+        left, done = [f"s{i}_{j}" for i, j in _lower(p) if j > q], [f"l{i}_{j}" for i, j in _lower(p) if j < q]
+        root = f"sqrt(greatest(s{q}_{q}, 1e-6D))"
+        estimates = estimates.selectExpr(*rest, *done, *left, f"{root} AS l{q}_{q}", *[f"s{i}_{q} / {root} AS l{i}_{q}" for i in range(q + 1, p)])
+        if left:
+            estimates = estimates.selectExpr(*rest, *[f"l{i}_{j}" for i, j in _lower(p) if j <= q], *[f"s{i}_{j} - l{i}_{q} * l{j}_{q} AS s{i}_{j}" for i, j in _lower(p) if j > q])
+    estimates = estimates.selectExpr(*rest, f"2 * ({' + '.join(f'ln(l{i}_{i})' for i in range(p))}) AS det", *[f"l{i}_{j}" for i, j in _lower(p)], *[f"1 / l{i}_{i} AS k{i}_{i}" for i in range(p)])
+    for d in range(1, p):
+        estimates = estimates.selectExpr("*", *[f"-({' + '.join(f'l{i}_{q} * k{q}_{i - d}' for q in range(i - d, i))}) * k{i}_{i} AS k{i}_{i - d}" for i in range(d, p)])
+    return estimates.drop(*[f"l{i}_{j}" for i, j in _lower(p)])
+
+
+def _fitted(chosen: DataFrame, targets: DataFrame, keys: list[str], p: int, floors: list[int], factor: float) -> DataFrame:
+    """Mean and covariance of the chosen rows of each key, drawn to the group's targets and with the least deviations, factored."""
+    sums = [F.expr(f"sum(x{i}) AS a{i}") for i in range(p)] + [F.expr(f"sum(x{i} * x{j}) AS b{i}_{j}") for i, j in _lower(p)]
+    rows = _with(chosen.groupBy(*keys).agg(F.count(F.lit(1)).alias("h"), *sums), targets).selectExpr("*", f"n / (n + {PRIOR}D) AS own")
+
+    def drawn(i: int, j: int) -> str:
+        fitted = f"own * {_num(factor)} * (b{i}_{j} / h - (a{i} / h) * (a{j} / h))"
+        return f"greatest({fitted} + (1 - own) * c{i} * c{i}, {_num(floors[i] ** 2)})" if i == j else fitted
+
+    return _factored(rows.selectExpr(*keys, "n", *[f"own * a{i} / h + (1 - own) * t{i} AS m{i}" for i in range(p)], *[f"{drawn(i, j)} AS s{i}_{j}" for i, j in _lower(p)]), p)
+
+
+def estimates(points: DataFrame, floors: list[int], falls: float = FALLS) -> DataFrame:
+    """Per group (g0, g1) of points (g0, g1, x0..): n, and m<i> and k<i>_<j> of its reweighted minimum-covariance-determinant estimate."""
+    p = len(floors)
+    lasting = [*GROUP, "start", "n", *[f"m{i}" for i in range(p)], *[f"k{i}_{j}" for i, j in _lower(p)], "det", "going"]
+    targets = _targets(points, p, floors)
+    state = stored(_factored(_starts(points, targets, p), p).selectExpr(*lasting[:-2], "CAST('Infinity' AS DOUBLE) AS det", "true AS going"), "starts")
+    keys, values = [*GROUP, "start"], lasting[3:-1]
+    new_row = F.struct(*values).alias("_new")
+    while True:
+        measured = _with(points, state.filter("going").select(*lasting[:-2])).selectExpr(*keys, f"floor(64 * log2(1 + {_distance(p)})) AS _step", *[f"x{i}" for i in range(p)])
+        counted = measured.groupBy(*keys, "_step").agg(F.count(F.lit(1)).alias("n"))
+        half = stored(_medians(counted, keys, "_step").selectExpr(*keys, "mid AS _half"), "halves")
+        new = _fitted(_with(measured, half, keys).filter("_step <= _half"), targets, keys, p, floors, HALF).select(*keys, new_row)
+        better = f"coalesce(_new.det < det - {_num(falls)}, false)"
+        state = stored(_with(state, new, keys, "left").selectExpr(*keys, *[f"if({better}, _new.{c}, {c}) AS {c}" for c in values], f"{better} AS going"), "estimates")
+        if state.filter("going").isEmpty():
+            break
+    least = values[:-1]
+    best = stored(state.groupBy(*GROUP).agg(F.min_by(F.struct(*least), F.struct("det", "start")).alias("_b")).select(*GROUP, "_b.*"), "least")
+    inner = _with(points, best).filter(f"{_distance(p)} <= {_num(INNER)}").select(*GROUP, *[f"x{i}" for i in range(p)])
+    # a group whose documents all lie further out keeps what it has
+    final = _with(best, _fitted(inner, targets, list(GROUP), p, floors, MOST_OF).select(*GROUP, F.struct(*least[1:]).alias("_new")), how="left")
+    return final.selectExpr(*GROUP, "n", *[f"coalesce(_new.{c}, {c}) AS {c}" for c in least[1:]])
+
+
+def robust_distances(rows: DataFrame, floors: list[int]) -> DataFrame:
+    """``rows`` (g0, g1, x0.. and others) with d2, their squared robust distance."""
+    p = len(floors)
+    names = [*[f"m{i}" for i in range(p)], *[f"k{i}_{j}" for i, j in _lower(p)]]
+    with scratch(rows.sparkSession) as keep:
+        found = keep(stored(estimates(rows.select(*GROUP, *[f"x{i}" for i in range(p)]), floors), "robust"))
+    return _with(rows, found.drop("n")).withColumn("d2", F.expr(_distance(p))).drop(*names)
 
 
 def _verdicts(docs: DataFrame, id_col: str, text_col: str, group_cols: tuple[str, str], cutoff: float) -> DataFrame:
-    base = stored(base_statistics(docs, id_col, text_col, list(group_cols)).withColumnsRenamed({f"_{c}": f"g{i}" for i, c in enumerate(group_cols)}), "statistics")
-    judged = robust_verdicts(base.filter("not base_failed").select("*", *transformed()), cutoff=cutoff)
-    whole = base.filter("base_failed").withColumn("d2", F.lit(None).cast("double")).unionByName(judged.drop("x0", "x1", "x2", "x3", "x4"))
+    base = stored(base_statistics(docs, id_col, text_col, list(group_cols)), "statistics")
+    judged = robust_distances(base.filter("not base_failed").select("*", *transformed()), [f for _, f in STATISTICS])
+    whole = base.filter("base_failed").withColumn("d2", F.lit(None).cast("double")).unionByName(judged.drop(*[f"x{i}" for i in range(len(STATISTICS))]))
+    distance = F.round("d2", 6)
     return whole.select(
-        "doc_id", "_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("d2", 6).alias("distance"),
-        (~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)).alias("kept"),
+        "doc_id", "_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance"),
+        (~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= cutoff)).alias("kept"),
     )
 
 
@@ -183,5 +242,7 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, str] = ("lang", "source"), cutoff: float = CUTOFF) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
-    found = _verdicts(docs, id_col, text_col, group_cols, cutoff).filter("not kept").select(F.col("doc_id").alias("_id"), "_hash").distinct()
-    return without(docs, stored(found, "rejected"), id_col, text_col)
+    with scratch(docs.sparkSession) as keep:
+        found = _verdicts(docs, id_col, text_col, group_cols, cutoff).filter("not kept").select(F.col("doc_id").alias("_id"), "_hash").distinct()
+        found = keep(stored(found, "rejected"))
+    return without(docs, found, id_col, text_col)

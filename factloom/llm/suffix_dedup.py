@@ -10,12 +10,17 @@ transform is extended backwards, interval by interval and breadth first: round l
 prefixes of length l. It stops at LENGTH; suffixes whose common prefix is not settled by then share at
 least LENGTH bytes. In each such class all windows but the earliest are removed.
 
-A gram with more than GROUP different pieces (which would outgrow a task) is settled by digests of its
-single windows and a combinable minimum instead, which gives the same result.
+A gram with more than GROUP different pieces (which would outgrow a task) has them split further, by the
+smallest grams of their windows under other hashes, again and again until each part is small: equal windows
+stay together, equal parts collapse as before, and the transform settles what is left.
+
+Pieces count as equal if two 64-bit polynomial hashes with random factors, besides their gram's, agree; bytes
+are compared where pieces differ, in the transform.
 
 Defined cases: null is the empty text; rows with a null doc_id are kept whole and precede nothing; texts
-shorter than LENGTH are kept whole; rows that share a doc_id count as one document, and equal ones get equal
-results; an empty table gives an empty result.
+shorter than LENGTH are kept whole; rows that share doc_id and text count as one document and get equal
+results; rows that share a doc_id only are documents of their own, in order of a hash of the text; an empty
+table gives an empty result; columns of any other name stay as they are.
 """
 
 from __future__ import annotations
@@ -29,49 +34,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import stored, tidy
+from .common import col, ddl, scratch, stored, tidy
 
 LENGTH, GRAM = 100, 32
-#: Bytes hashed at once, bytes joined for one transform, and different pieces under one gram at most.
-SLICE, JOINED, GROUP = 1 << 19, 1 << 19, 24_000
+#: Bytes hashed at once, bytes joined for one transform, and different pieces under one gram that go to one transform.
+SLICE, JOINED, GROUP = 1 << 18, 1 << 18, 3000
+#: Other hashes that split the pieces of a hot gram, at each turn.
+SPLIT = 4
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 LOW = np.uint64(0xFFFFFFFF)
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A random number for each byte, twice; powers of an odd base and of its inverse."""
+def _tables(n: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """A random number for each byte; for two content hashes another one, with the powers of an odd base and of its inverse up to ``n``."""
     rng = np.random.default_rng(5)
-    first, second = rng.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    base = int(rng.integers(1 << 60, 1 << 63)) * 2 + 1
-    n = SLICE + 2 * LENGTH
-    powers, inverse = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
-    powers[0] = inverse[0] = 1
-    return first, second, np.cumprod(powers), np.cumprod(inverse)
-
-
-def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM, contents: bool = True):
-    """Pieces of the documents [starts, ends) of a buffer: first window, number of windows, gram hash, content hash."""
-    n = len(data)
-    none = np.empty(0, np.int64)
-    if n < length:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
-    first, second, powers, inverse = _tables()
-    h, m = first[data], 1
+    first, *others = rng.integers(0, 1 << 63, (3, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    sides = []
+    for table in others:
+        base = int(rng.integers(1 << 60, 1 << 63)) * 2 + 1
+        powers, inverse = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
+        powers[0] = inverse[0] = 1
+        sides.append((table, np.cumprod(powers), np.cumprod(inverse)))
+    return first, sides
+
+
+def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    h, m = _tables(SLICE + 2 * LENGTH)[0][data], 1
     while m < gram:
         h = h[:-m] * A + h[m:]
         h ^= h >> np.uint64(29)
         m *= 2
     h *= B
     h ^= h >> np.uint64(32)
-    low = (h & ~LOW) | np.arange(len(h), dtype=np.uint64)
-    w, m = length - gram + 1, 1
+    return h
+
+
+def _least_places(h: np.ndarray, w: int) -> np.ndarray:
+    """For each run of ``w`` hashes the place of the smallest one, leftmost on ties of its upper half."""
+    low, m = (h & ~LOW) | np.arange(len(h), dtype=np.uint64), 1
     while 2 * m <= w:
         low = np.minimum(low[:-m], low[m:])
         m *= 2
     if w > m:
         low = np.minimum(low[: -(w - m)], low[w - m :])
-    at = (low & LOW).astype(np.int64)
+    return (low & LOW).astype(np.int64)
+
+
+def _contents(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> list[np.ndarray]:
+    """Two hashes of the bytes of the windows lo to hi - 1."""
+    out = []
+    for table, powers, inverse in _tables(SLICE + 2 * LENGTH)[1]:
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[data] * powers[: len(data)])])
+        found = (sums[hi + length - 1] - sums[lo]) * inverse[lo] + (hi - lo).astype(np.uint64) * B
+        out.append(found ^ (found >> np.uint64(31)))
+    return out
+
+
+def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM, contents: bool = True):
+    """Pieces of the documents [starts, ends) of a buffer: first window, number of windows, gram hash, and two content hashes."""
+    n = len(data)
+    none = np.empty(0, np.int64)
+    if n < length:
+        return none, none, *[none.astype(np.uint64)] * 3
+    h = _gram_hashes(data, gram)
+    at = _least_places(h, length - gram + 1)
     edge = np.zeros(len(at) + 1, np.int32)
     whole = ends - starts >= length
     np.add.at(edge, starts[whole], 1)
@@ -85,11 +112,29 @@ def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int =
     keep = inside[lo]
     lo, hi = lo[keep], hi[keep]
     key = h[at[lo]]
-    if not contents:
-        return lo, hi - lo, key, key
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(second[data] * powers[:n])])
-    content = (sums[hi + length - 1] - sums[lo]) * inverse[lo] + (hi - lo).astype(np.uint64) * B
-    return lo, hi - lo, key, content ^ (content >> np.uint64(31))
+    return (lo, hi - lo, key, *(_contents(data, lo, hi, length) if contents else (key, key)))
+
+
+def parts_of(data: np.ndarray, key: int, turn: int, length: int = LENGTH, gram: int = GRAM, split: int = SPLIT):
+    """A piece cut where the smallest gram of its windows changes under any of a turn's hashes: first window, number of windows, key, content hashes."""
+    h = _gram_hashes(data, gram)
+    n = len(data) - length + 1
+    change = np.zeros(n + 1, bool)
+    change[0] = change[-1] = True
+    places = []
+    for k in range(split):
+        other = (h ^ np.uint64((split * turn + k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) * B
+        other ^= other >> np.uint64(29)
+        other *= A
+        places.append((at := _least_places(other, length - gram + 1)))
+        change[1:-1] |= at[1:] != at[:-1]
+    cut = np.flatnonzero(change)
+    lo, hi = cut[:-1], cut[1:]
+    keys = np.full(len(lo), np.uint64(key & (1 << 64) - 1))
+    for at in places:
+        keys = (keys ^ h[at[lo]]) * A
+        keys ^= keys >> np.uint64(32)
+    return lo, hi - lo, keys, *_contents(data, lo, hi, length)
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -200,54 +245,98 @@ def _buffers(batch, name: str):
         row = end
 
 
+def _columns(values, kinds, names) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
+
+
 def _occurrences(docs: DataFrame, contents: bool) -> DataFrame:
+    """Of documents (a, h, b): the key of each piece, and with ``contents`` also c0, c1, a, h and its place (first window << 32 | windows)."""
     ids_arrow = to_arrow_type(docs.schema["a"].dataType)
 
     @tidy
     def find(arrow):
         for batch in arrow:
-            ids = batch.column(batch.schema.get_field_index("a"))
+            ids, hashes = (batch.column(batch.schema.get_field_index(c)) for c in "ah")
             for row, data, starts, ends, shift in _buffers(batch, "b"):
-                lo, n, key, content = pieces(data, starts, ends, contents=contents)
+                lo, n, key, c0, c1 = pieces(data, starts, ends, contents=contents)
                 if not contents:
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
+                    yield _columns([key.view(np.int64)], [pa.int64()], ["key"])
                     continue
                 doc = np.searchsorted(starts, lo, "right") - 1
+                rows = pa.array(doc + row)
                 place = (lo - starts[doc] + shift) << 32 | n
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), ids.take(pa.array(doc + row)).cast(ids_arrow), pa.array(place)], ["key", "content", "doc", "place"])
+                yield _columns([key.view(np.int64), c0.view(np.int64), c1.view(np.int64), ids.take(rows).cast(ids_arrow), hashes.take(rows), place], [pa.int64()] * 6, ["key", "c0", "c1", "a", "h", "place"])
+
+    return docs.mapInArrow(find, f"key bigint, c0 bigint, c1 bigint, a {ddl(docs.schema['a'].dataType)}, h bigint, place bigint" if contents else "key bigint")
+
 
-    return docs.mapInArrow(find, f"key bigint, content bigint, doc {docs.schema['a'].dataType.simpleString()}, place bigint" if contents else "key bigint")
+#: Columns that name a document, and the order of occurrences.
+DOC, FIRST = ("a", "h"), ("a", "h", "place")
+
+
+def _collapsed(found: DataFrame, group: int, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of occurrences (key, c0, c1, a, h, place): ranges of all but the first of equal pieces; the first ones of keys with
+    several different pieces; and the same of keys with more than ``group``."""
+    same = ["key", "c0", "c1"]
+    contents = stored(found.groupBy(*same).agg(F.min(F.struct(*FIRST, *more)).alias("first"), F.count(F.lit(1)).alias("c")), "contents")
+    # each later occurrence meets the one row of its content, and hot contents are split by the skew join
+    again = contents.filter("c > 1").select(*same, *[F.col("first")[c].alias(f"f_{c}") for c in FIRST])
+    later = found.join(again, same).filter(F.struct(*FIRST) != F.struct(*[F.col(f"f_{c}").alias(c) for c in FIRST]))
+    start = F.shiftright("place", 32)
+    whole = stored(later.select(*DOC, start.alias("lo"), (start + F.col("place").bitwiseAND(0xFFFFFFFF) + (LENGTH - 1)).alias("hi")), "whole")
+    kinds = stored(contents.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "kinds")
+    several = contents.join(kinds, "key").select("key", "k", "first.*")
+    return whole, several.filter(F.col("k") <= group).drop("k"), several.filter(F.col("k") > group).drop("k")
 
 
 def _taken(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Bytes of the wanted pieces (key, doc, place): texts meet one row a document."""
-    ids_type = docs.schema["a"].dataType
-    ids_arrow = to_arrow_type(ids_type)
+    """Bytes of the wanted pieces (key, a, h, place), as (key, a, h, place, bytes): texts meet one row a document."""
+    kind = docs.schema["a"].dataType
+    ids_arrow = to_arrow_type(kind)
 
     @tidy
     def take(arrow):
         for batch in arrow:
             for k in range(batch.num_rows):
-                doc, text, wants = (batch.column(j)[k] for j in range(3))
+                a, h, text, wants = (batch.column(j)[k] for j in range(4))
                 raw, wants = text.as_py().encode("utf-8", "surrogatepass"), wants.as_py()
                 places = [w["place"] for w in wants]
                 found = [raw[p >> 32 : (p >> 32) + (p & 0xFFFFFFFF) + LENGTH - 1] for p in places]
-                yield pa.RecordBatch.from_arrays([pa.array([w["key"] for w in wants], pa.int64()), pa.array([doc.as_py()] * len(places), ids_arrow), pa.array([p >> 32 for p in places], pa.int64()), pa.array(found, pa.binary())], ["key", "doc", "lo", "bytes"])
+                yield _columns([[w["key"] for w in wants], [a.as_py()] * len(places), [h.as_py()] * len(places), places, found], [pa.int64(), ids_arrow, pa.int64(), pa.int64(), pa.binary()], ["key", "a", "h", "place", "bytes"])
+
+    per_doc = wanted.groupBy(*DOC).agg(F.collect_list(F.struct("key", "place")).alias("wants"))
+    return docs.join(per_doc, list(DOC)).select("a", "h", "b", "wants").mapInArrow(take, f"key bigint, a {ddl(kind)}, h bigint, place bigint, bytes binary")
+
+
+def _split(hot: DataFrame, turn: int) -> DataFrame:
+    """Pieces (key, a, h, place, bytes) of hot grams in parts, each with a key and content hashes of its own."""
+    kind = hot.schema["a"].dataType
+    ids_arrow = to_arrow_type(kind)
+
+    @tidy
+    def split(arrow):
+        for batch in arrow:
+            out = [[] for _ in range(7)]
+            for key, a, h, place, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lo, n, keys, c0, c1 = parts_of(np.frombuffer(raw, np.uint8), key, turn)
+                for values, new in zip(out, (keys.view(np.int64).tolist(), c0.view(np.int64).tolist(), c1.view(np.int64).tolist(), [a] * len(lo), [h] * len(lo), ((lo + (place >> 32)) << 32 | n).tolist(), [raw[x : x + m + LENGTH - 1] for x, m in zip(lo.tolist(), n.tolist(), strict=True)]), strict=True):
+                    values += new
+            yield _columns(out, [*[pa.int64()] * 3, ids_arrow, pa.int64(), pa.int64(), pa.binary()], ["key", "c0", "c1", "a", "h", "place", "bytes"])
 
-    per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "place")).alias("wants"))
-    return docs.join(per_doc, docs.a == per_doc.doc).select("a", "b", "wants").mapInArrow(take, f"key bigint, doc {ids_type.simpleString()}, lo bigint, bytes binary")
+    return hot.select("key", "a", "h", "place", "bytes").mapInArrow(split, f"key bigint, c0 bigint, c1 bigint, a {ddl(kind)}, h bigint, place bigint, bytes binary")
 
 
 def _expanded(taken: DataFrame) -> DataFrame:
-    """Ranges (doc, lo, hi) of repeated windows in different pieces of one gram, by the transform."""
-    ids_type = taken.schema["doc"].dataType
-    ids_arrow = to_arrow_type(ids_type)
+    """Ranges (a, h, lo, hi) of repeated windows in different pieces of one gram, by the transform."""
+    kind = taken.schema["a"].dataType
+    ids_arrow = to_arrow_type(kind)
 
     def settled(rows):
-        rows.sort(key=lambda r: (r[1], r[2]))  # the order of documents and places is the order in the joined text
-        found = repeated_windows([r[3] for r in rows])
-        flat = [(r[1], r[2] + a, r[2] + b) for r, ranges in zip(rows, found, strict=True) for a, b in ranges]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], ids_arrow), pa.array([x[1] for x in flat], pa.int64()), pa.array([x[2] for x in flat], pa.int64())], ["doc", "lo", "hi"])
+        rows.sort(key=lambda r: r[1:4])  # the order of documents and places is the order in the joined text
+        rows = [r for k, r in enumerate(rows) if k == 0 or r[:4] != rows[k - 1][:4]]  # repeated rows are one document
+        found = repeated_windows([r[4] for r in rows])
+        flat = [(r[1], r[2], (r[3] >> 32) + x, (r[3] >> 32) + y) for r, ranges in zip(rows, found, strict=True) for x, y in ranges]
+        return _columns([[x[k] for x in flat] for k in range(4)], [ids_arrow, *[pa.int64()] * 3], ["a", "h", "lo", "hi"])
 
     @tidy
     def expand(arrow):
@@ -259,50 +348,39 @@ def _expanded(taken: DataFrame) -> DataFrame:
                     rows, size = [], 0
                 last = row[0]
                 rows.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if rows:
             yield settled(rows)
 
-    return taken.select("key", "doc", "lo", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(expand, f"doc {ids_type.simpleString()}, lo bigint, hi bigint")
-
-
-def _single_windows(taken: DataFrame) -> DataFrame:
-    """The same ranges for grams with very many different pieces, through digests of single windows."""
-    ids_type = taken.schema["doc"].dataType
-    ids_arrow = to_arrow_type(ids_type)
-
-    @tidy
-    def windows(arrow):
-        import xxhash
-
-        for batch in arrow:
-            for _, doc, lo, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                n = len(raw) - LENGTH + 1
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(raw[k : k + LENGTH]) for k in range(n)], pa.binary()), pa.array([doc] * n, ids_arrow), pa.array(range(lo, lo + n), pa.int64())], ["window", "doc", "lo"])
-
-    found = taken.select("key", "doc", "lo", "bytes").mapInArrow(windows, f"window binary, doc {ids_type.simpleString()}, lo bigint")
-    first = stored(found.groupBy("window").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "firsts")
-    return found.join(first, "window").filter("struct(doc, lo) != first").select("doc", "lo", (F.col("lo") + LENGTH).alias("hi"))
-
-
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """(doc, ranges): the byte ranges, maybe touching, that repeat earlier bytes; only documents that have some."""
-    docs = docs.select(docs[id_col].alias("a"), docs[text_col].alias("b")).filter("a is not null and b is not null")
-    shared = stored(_occurrences(docs, contents=False).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "grams")
-    found = stored(_occurrences(docs, contents=True).join(shared, "key", "left_semi"), "pieces")
-    contents = stored(found.groupBy("key", "content").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("c")), "contents")
-    # later occurrences of a piece go whole; each meets the one row of its content, and hot contents are split by the skew join
-    again = contents.filter("c > 1").select("key", "content", "first")
-    whole = found.join(again, ["key", "content"]).filter("struct(doc, place) != first")
-    start = F.shiftright("place", 32)
-    ranges = whole.select("doc", start.alias("lo"), (start + F.col("place").bitwiseAND(0xFFFFFFFF) + (LENGTH - 1)).alias("hi"))
-    kinds = stored(contents.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "kinds")
-    several = contents.join(kinds, "key").select("key", "first.doc", "first.place", "k")
-    taken = stored(_taken(docs, several.filter(F.col("k") <= group)), "taken")
-    ranges = ranges.union(_expanded(taken))
-    if not kinds.filter(F.col("k") > group).isEmpty():
-        ranges = ranges.union(_single_windows(stored(_taken(docs, several.filter(F.col("k") > group)), "taken")))
-    return stored(ranges.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
+    return taken.select("key", "a", "h", "place", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(expand, f"a {ddl(kind)}, h bigint, lo bigint, hi bigint")
+
+
+def repeated_ranges(docs: DataFrame, group: int | None = None) -> DataFrame:
+    """Of documents (a, h, b): (a, h, ranges), the byte ranges, maybe touching, that repeat earlier bytes; only documents that have some."""
+    group = group or GROUP
+    docs = docs.filter("a is not null and b is not null")
+    with scratch(docs.sparkSession) as keep:
+        shared = stored(_occurrences(docs, contents=False).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "grams")
+        found = stored(_occurrences(docs, contents=True).join(shared, "key", "left_semi"), "pieces")
+        ranges, few, many = _collapsed(found, group)
+        ranges = ranges.union(_expanded(_taken(docs, few)))
+        turn, many = 0, stored(many, "hot")
+        if not many.isEmpty():
+            many = stored(_taken(docs, many), "hot")
+            while not many.isEmpty():
+                whole, few, many = _collapsed(stored(_split(many, turn), "parts"), group, ("bytes",))
+                ranges = ranges.union(whole).union(_expanded(few))
+                turn, many = turn + 1, stored(many, "hot")
+        return keep(stored(ranges.groupBy(*DOC).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, rest: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Documents (a, h, b) and the same with ``_row``, the other columns. h tells rows of one doc_id apart by their texts; where doc_ids are unique it is 0."""
+    a, b = col(docs, id_col), col(docs, text_col)
+    several = not docs.groupBy(a.alias("a")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and a is not null").isEmpty()
+    h = F.xxhash64(b) if several else F.lit(0).cast("bigint")
+    row = F.struct(*[col(docs, c).alias(f"c{k}") for k, c in enumerate(rest)], F.lit(0).alias("end"))
+    return docs.select(a.alias("a"), h.alias("h"), b.alias("b")), docs.select(a.alias("a"), h.alias("h"), b.alias("b"), row.alias("_row"))
 
 
 def merged(ranges, size: int) -> list[tuple[int, int]]:
@@ -354,12 +432,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     spans = merged(found, len(raw))
                     left = hashlib.sha256(remaining(raw, spans)).hexdigest() if digests else None if text is None else remaining(raw, whole_characters(raw, spans)).decode("utf-8", "surrogatepass")
                     rows.append((len(raw), sum(b - a for a, b in spans), len(spans), left))
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, ids_arrow), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", name])
+                yield _columns([ids, *zip(*rows, strict=True)], [ids_arrow, *[pa.int64()] * 3, pa.string()], ["doc_id", "n_bytes", "n_removed", "n_spans", name])
 
-    ranges = repeated_ranges(docs, id_col, text_col)
-    rows = docs.select(docs[id_col].alias("a"), docs[text_col].alias("b"))
-    return rows.join(ranges, rows.a == ranges.doc, "left").select("a", "b", "ranges").mapInArrow(cut, f"doc_id {ids_type.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, {name} string")
+    rows, _ = _keyed(docs, id_col, text_col, [])
+    return rows.join(repeated_ranges(rows), list(DOC), "left").select("a", "b", "ranges").mapInArrow(cut, f"doc_id {ddl(ids_type)}, n_bytes bigint, n_removed bigint, n_spans bigint, {name} string")
 
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
@@ -374,15 +450,17 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 for text, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     raw = (text or "").encode("utf-8", "surrogatepass")
                     texts.append(None if text is None else remaining(raw, whole_characters(raw, merged(found, len(raw)))).decode("utf-8", "surrogatepass"))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["rest", "kept"])
+                yield _columns([part.column(0), texts], [None, pa.string()], ["_row", "kept"])
 
-    ranges = repeated_ranges(docs, id_col, text_col)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("rest"), docs[text_col].alias("b"), docs[id_col].alias("a"))
-    kept = rows.join(ranges, rows.a == ranges.doc, "left").select("rest", "b", "ranges").mapInArrow(cut, f"rest {rows.schema['rest'].dataType.simpleString()}, kept string")
+    rest = [c for c in docs.columns if c != text_col]
+    rows, full = _keyed(docs, id_col, text_col, rest)
+    kept = full.join(repeated_ranges(rows), list(DOC), "left").select("_row", "b", "ranges").mapInArrow(cut, f"_row {ddl(full.schema['_row'].dataType)}, kept string")
 
     def column(c: str):
+        if c == text_col:
+            return F.col("kept").alias(c)
         if c == chars_col:
             return F.char_length("kept").cast(docs.schema[c].dataType).alias(c)
-        return (F.col("kept") if c == text_col else F.col("rest")[c]).alias(c)
+        return F.col("_row")[f"c{rest.index(c)}"].alias(c)
 
     return kept.select(*[column(c) for c in docs.columns])

@@ -7,8 +7,8 @@ how often a word occurs, then across words. Pair counts cover the whole shard, a
 documents.
 
 A shard's bytes, all little-endian:
-    4 bytes "RPG1"; uint32 count of documents d, rules r, symbols s, width of a symbol in bytes (2 or 4)
-    r * 2 uint32: the two symbols of each rule (a rule's number is BASE + its place)
+    4 bytes "RPG2"; uint32 base, count of documents d, rules r, symbols s, width of a symbol in bytes (2 or 4)
+    r * 2 uint32: the two symbols of each rule (a rule's number is the base, the vocabulary's size, + its place)
     r * uint32: how many ids each rule expands to
     (d + 1) * uint32: the symbol at which each document starts
     (d + 1) * uint64: the ids before each document in the shard
@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import batches, small, stored, tidy
+from .common import batches, col, ddl, small, stored, tidy
 
-#: First nonterminal: above all ids of the vocabulary, so that two bytes hold most shards' symbols.
-BASE, MOST_RULES, LEAST_COUNT = 49_408, 16_000, 8
+#: Nonterminals of a shard (with a vocabulary of up to 49,536 ids, two bytes hold all symbols), and how often a frequent pair occurs in it.
+MOST_RULES, LEAST_COUNT = 16_000, 8
 #: Rules a round within words, and in all such rounds; rules a round across words, which go on while there is room.
 WORD_ROUND, WORD_RULES, TEXT_ROUND = 2250, 9000, 2500
 SHARD_CHARS, REMEMBERED = 12_000_000, 600_000
@@ -61,11 +61,13 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        #: The first nonterminal: above all ids.
+        self.base = 1 + max(1, *self.library.get_vocab(with_added_tokens=True).values())
         # below U+0250: runs of letters, single numerals, English endings, runs of other signs
         letters, numerals, space = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
         self.words = re.compile(f"[{letters}]+|[{numerals}]|'(?:s|t|re|ve|m|ll|d)|[^{letters}{numerals}{space}]+").findall
         #: Which ids end a word.
-        self.last = np.array([(self.library.id_to_token(k) or "").endswith("</w>") for k in range(self.library.get_vocab_size())])
+        self.last = np.array([(self.library.id_to_token(k) or "").endswith("</w>") for k in range(self.base)])
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -79,7 +81,8 @@ class WordEncoder:
         """Strings to encode one by one; a text of other letters is one unit, marked by a leading NUL pair."""
         if not text:
             return []
-        return self.words(text.lower()) if self.plain(text) else ["\0\0" + text]
+        # small letters may lie elsewhere than their capitals: only a text that is plain in lower case is cut here
+        return self.words(small) if self.plain(small := text.lower()) else ["\0\0" + text]
 
     def ids(self, units: list[str]) -> list[bytes]:
         """The ids of each unit, as little-endian 32-bit integers. Unknown words go to the library together, parted by spaces, and are told apart by their last ids."""
@@ -125,7 +128,7 @@ def loaded(path: str) -> WordEncoder:
     return _LOADED[path]
 
 
-def replace_pairs(seq: np.ndarray, last: np.ndarray, weight: np.ndarray | None, rules: list[tuple[int, int]], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+def replace_pairs(seq: np.ndarray, last: np.ndarray, weight: np.ndarray | None, rules: list[tuple[int, int]], most: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """One round: the ``most`` most frequent pairs become rules, and their places, leftmost first, nonterminals.
 
     ``last`` marks the last symbol of a unit, which begins no pair.
@@ -160,7 +163,7 @@ def replace_pairs(seq: np.ndarray, last: np.ndarray, weight: np.ndarray | None,
     lookup[slot(table)] = np.arange(len(table))
     new = lookup[slot(codes)]
     places = np.flatnonzero((table[new] == codes) & open_pairs)
-    new = BASE + len(rules) + new[places].astype(np.int64)
+    new = base + len(rules) + new[places].astype(np.int64)
     rules += [(int(c) >> bits, int(c) & ((1 << bits) - 1)) for c in table.tolist()]
     # of places in a row every second one is taken
     begin = np.concatenate([[True], places[1:] != places[:-1] + 1])
@@ -174,8 +177,8 @@ def replace_pairs(seq: np.ndarray, last: np.ndarray, weight: np.ndarray | None,
     return seq[keep], last[keep], None if weight is None else weight[keep]
 
 
-def compress(units: list[bytes], texts: list[np.ndarray]) -> bytes:
-    """A shard from its distinct units' ids and, per document, the numbers of its units in order."""
+def compress(units: list[bytes], texts: list[np.ndarray], base: int) -> bytes:
+    """A shard from its distinct units' ids (below ``base``) and, per document, the numbers of its units in order."""
     rules: list[tuple[int, int]] = []
     sizes = np.fromiter(map(len, units), np.int64, len(units)) // 4
     whole = np.concatenate(texts) if texts else np.empty(0, np.int32)
@@ -187,7 +190,7 @@ def compress(units: list[bytes], texts: list[np.ndarray]) -> bytes:
     had = -1
     while len(seq) and had < len(rules) < WORD_RULES:
         had = len(rules)
-        seq, last, weight = replace_pairs(seq, last, weight, rules, min(WORD_ROUND, WORD_RULES - had))
+        seq, last, weight = replace_pairs(seq, last, weight, rules, min(WORD_ROUND, WORD_RULES - had), base)
     # units without ids have no symbols; the others end at their marks
     short = np.zeros(len(units), np.int64)
     ends = np.flatnonzero(last) + 1
@@ -203,15 +206,15 @@ def compress(units: list[bytes], texts: list[np.ndarray]) -> bytes:
     weight, had = None, -1
     while len(seq) > 1 and had < len(rules):
         had = len(rules)
-        seq, last, weight = replace_pairs(seq, last, weight, rules, TEXT_ROUND)
-    lengths = np.ones(BASE + len(rules), np.int64)
+        seq, last, weight = replace_pairs(seq, last, weight, rules, TEXT_ROUND, base)
+    lengths = np.ones(base + len(rules), np.int64)
     for k, (a, b) in enumerate(rules):
-        lengths[BASE + k] = lengths[a] + lengths[b]
+        lengths[base + k] = lengths[a] + lengths[b]
     begins = np.concatenate([[0], np.flatnonzero(last) + 1])
     before = np.concatenate([[0], np.cumsum(lengths[seq])])[begins]
-    width = 2 if BASE + len(rules) <= 1 << 16 and (not len(seq) or int(seq.max()) < 1 << 16) else 4
+    width = 2 if base + len(rules) <= 1 << 16 else 4
     return b"".join([
-        b"RPG1", struct.pack("<4I", len(texts), len(rules), len(seq), width), np.array(rules, "<u4").tobytes(), lengths[BASE:].astype("<u4").tobytes(),
+        b"RPG2", struct.pack("<5I", base, len(texts), len(rules), len(seq), width), np.array(rules, "<u4").tobytes(), lengths[base:].astype("<u4").tobytes(),
         begins.astype("<u4").tobytes(), before.astype("<u8").tobytes(), seq.astype(f"<u{width}").tobytes(),
     ])
 
@@ -220,10 +223,10 @@ class Shard:
     """Reads a shard's bytes."""
 
     def __init__(self, raw: bytes):
-        if raw[:4] != b"RPG1":
+        if raw[:4] != b"RPG2":
             raise ValueError("not a shard")
-        self.documents, r, s, width = struct.unpack_from("<4I", raw, 4)
-        at = 20
+        self.base, self.documents, r, s, width = struct.unpack_from("<5I", raw, 4)
+        at = 24
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -237,14 +240,15 @@ class Shard:
 
     def _expansions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self._flat is None:
-            sizes = np.concatenate([np.ones(BASE, np.int64), self.lengths.astype(np.int64)])
+            base = self.base
+            sizes = np.concatenate([np.ones(base, np.int64), self.lengths.astype(np.int64)])
             starts = np.cumsum(sizes) - sizes
             flat = np.empty(int(sizes.sum()), np.uint32)
-            flat[:BASE] = np.arange(BASE)
+            flat[:base] = np.arange(base)
             for k, (a, b) in enumerate(self.rules.tolist()):
-                x, n = int(starts[BASE + k]), int(sizes[a])
+                x, n = int(starts[base + k]), int(sizes[a])
                 flat[x : x + n] = flat[starts[a] : starts[a] + n]
-                flat[x + n : x + int(sizes[BASE + k])] = flat[starts[b] : starts[b] + sizes[b]]
+                flat[x + n : x + int(sizes[base + k])] = flat[starts[b] : starts[b] + sizes[b]]
             self._flat = flat, starts, sizes
         return self._flat
 
@@ -282,7 +286,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         doc_ids, local, texts, size = [], Numbers({"\0end": 0}), [], 0
 
         def shard():
-            raw = compress([END, *encoder.ids(list(local)[1:])], texts)
+            raw = compress([END, *encoder.ids(list(local)[1:])], texts, encoder.base)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(ids_arrow), pa.binary()]
             values = [part, number, int(Shard(raw).before[-1]), doc_ids, raw]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["part", "number", "n_ids", "doc_ids", "shard"])
@@ -300,9 +304,9 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if doc_ids:
             yield shard()
 
-    rows = docs.select(docs[id_col].alias("a"), docs[text_col].alias("b"), F.xxhash64(docs[text_col]).alias("h"))
+    rows = docs.select(col(docs, id_col).alias("a"), col(docs, text_col).alias("b"), F.xxhash64(col(docs, text_col)).alias("h"))
     rows = rows.repartitionByRange("a", "h").sortWithinPartitions("a", "h").drop("h")
-    shards = rows.mapInArrow(encode, f"part bigint, number bigint, n_ids bigint, doc_ids array<{ids_type.simpleString()}>, shard binary")
+    shards = rows.mapInArrow(encode, f"part bigint, number bigint, n_ids bigint, doc_ids array<{ddl(ids_type)}>, shard binary")
     if path is None:
         return stored(shards, "shards")
     shards.write.parquet(path)
@@ -331,4 +335,4 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 before = found.before.astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, ids_arrow), pa.array(first + before[:-1]), pa.array(np.diff(before)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.join(small(starts), ["part", "number"]).select("doc_ids", "shard", "first").mapInArrow(read, f"doc_id {ids_type.simpleString()}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return shards.join(small(starts), ["part", "number"]).select("doc_ids", "shard", "first").mapInArrow(read, f"doc_id {ddl(ids_type)}, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches, tidy
+from .common import batches, col, ddl, tidy
 
 #: host, path of a prefix, verdict. A rule fits its host and all subdomains.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -116,4 +116,4 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(page_id, ids_arrow), *(pa.array(c, pa.string()) for c in columns[:4]), pa.array(columns[4], pa.float64())], ["page_id", "host", "path", "rule", "verdict", "score"])
 
-    return pages.select(pages[id_col].alias("a"), pages[url_col].alias("b")).mapInArrow(judge, f"page_id {ids.simpleString()}, host string, path string, rule string, verdict string, score double")
+    return pages.select(col(pages, id_col).alias("a"), col(pages, url_col).alias("b")).mapInArrow(judge, f"page_id {ddl(ids)}, host string, path string, rule string, verdict string, score double")

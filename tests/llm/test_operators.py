@@ -76,6 +76,47 @@ def test_html_with_missing_ends():
     assert html_extract.main_text("<article><p>A &lt;b&gt; &#233;&eacute; &amp <p>B &am") == "A <b> éé &\nB &am"
 
 
+#: Pages that the tree was not grown on, with names that say what they are, with none, and with misleading ones.
+HELD_OUT = (
+    "nav/ul/li:2:2- nav/ul/li:2:2- div.ad:11:0- article/h1:10:0+ article/p:33:0+ article/p:61:1+ article/p:8:0+ footer:10:0-",
+    "header/h1:3:0- main/article/h2:6:0+ main/article/p:48:0+ main/article/p:29:0+ main/article/section.comments/p:22:0- main/article/section.comments/p:31:0- aside/h3:2:0- aside/ul/li:4:4- footer/p:8:1-",
+    "div.cookie-banner/p:18:0- div.navbar/a:6:6- div.entry/h1:7:0+ div.entry/p:39:0+ div.entry/p:57:2+ div.entry/p:10:0+ div.widget/p:16:0- div.replies/p:50:0- div.footer:9:2-",
+    "ul/li:1:1- ul/li:1:1- ul/li:2:2- div/h1:6:0+ div/p:58:0+ div/p:37:0+ div/p:12:0+ div/p:49:3+ ul/li:5:5- ul/li:6:6- div:7:2-",
+    "div.x1/a:4:4- div.x2/h1:8:0+ div.x2/p:63:0+ div.x2/p:27:0+ div.x2/p:71:0+ div.x3/p:9:9- div.x4:6:0-",
+    "nav.content/a:5:5- div.comments-on-life/h1:5:0+ div.comments-on-life/p:55:0+ div.comments-on-life/p:40:0+ div.comments-on-life/p:66:1+ footer.article:12:0-",
+    "form/p:9:0- article/h1:3:0+ article/p:12:0+ article/p:4:0+ article/figure/figcaption:7:0+ article/div.promo:14:0- article/p:31:0+ div:22:0- form/p:14:0-",
+    "article/p:3:0+ article/p:7:0+",
+)
+
+
+def test_html_tree_on_pages_it_has_not_seen():
+    tree, right, found, wanted = html_extract.train_tree(), 0, 0, 0
+    for page in HELD_OUT:
+        text, kept = html_extract.labelled_page(page)
+        got = [html_extract.decide(tree, x) for x in html_extract.features(html_extract.blocks(text))]
+        right, found, wanted = right + sum(a and b for a, b in zip(got, kept, strict=True)), found + sum(got), wanted + sum(kept)
+    assert 2 * right / (found + wanted) > 0.95
+
+
+def test_html_without_and_with_misleading_names():
+    import re
+
+    for page in (HELD_OUT[0], HELD_OUT[3], HELD_OUT[5], HELD_OUT[7]):
+        text, kept = html_extract.labelled_page(page)
+        for changed in (re.sub(' class="[^"]*"', "", text), re.sub(' class="[^"]*"', ' class="content"', text), text.replace("<article>", '<article class="sidebar">')):
+            assert [html_extract.decide(html_extract.train_tree(), x) for x in html_extract.features(html_extract.blocks(changed))] == kept
+
+
+def test_html_deep_and_long():
+    import time
+
+    began = time.time()
+    deep = "<div>" * 20_000 + "<p>some words in the middle of it all</p>" + "</span></b></div>" * 20_000
+    assert len(html_extract.blocks(deep)) == 1
+    long = "<article>" + "<p>" + "word " * 200_000 + "</p>" + "<p>x</p>" * 2000 + "</article>"
+    assert len(html_extract.main_text(long).split("\n")) == 2001 and time.time() - began < 20
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>x</p></article>", 3), (1, "u", "<article><p>x</p></article>", 3), (None, None, None, None)], "page_id long, url string, html string, a int")
     rows = html_extract.extract_main_text(pages).collect()
@@ -135,11 +176,40 @@ def test_token_store_matches_the_library(spark, docs, texts, nothing):
     assert token_store.read_documents(token_store.write_shards(nothing)).count() == 0
 
 
+def test_words_are_cut_as_the_library_cuts_them():
+    encoder = token_store.WordEncoder(token_store.default_vocabulary())
+    for k in range(0x3000):
+        if not 0xD800 <= k < 0xE000:
+            c = chr(k)
+            for text in (c, f"a{c}b 1{c}", f"{c}'s Ab{c}{c} x"):
+                assert b"".join(encoder.ids(encoder.units(text))) == array("I", encoder.library.encode(text, add_special_tokens=False).ids).tobytes(), (k, text)
+
+
+def test_a_vocabulary_with_larger_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(token_store.default_vocabulary())
+    library.add_tokens([f"<|added{k}|>" for k in range(20_000)])
+    library.save(str(tmp_path / "wide.json"))
+    texts = {k: f"the <|added{k * 7 % 20000}|> and the other {k % 5} thing " * 20 for k in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_store.read_documents(token_store.write_shards(docs, vocabulary=str(tmp_path / "wide.json"))).collect()}
+    for i, t in texts.items():
+        ids = [*library.encode(t, add_special_tokens=False).ids, 1]
+        assert got[i] == (len(ids), crc32(array("I", ids).tobytes()))
+
+
+def test_token_store_of_null_and_repeated_ids(spark):
+    rows = spark.createDataFrame([(None, "no id"), (1, "one"), (1, "one"), (1, "other"), (0, None)], "doc_id long, text string")
+    got = token_store.read_documents(token_store.write_shards(rows)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, 0, 1, 1, 1] and [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(5)]
+
+
 def test_grammar_shrinks_and_restores():
     units = [array("I", x).tobytes() for x in ([1], [5, 6, 7], [5, 6], [9], [9, 9, 9, 9])]
     rng = np.random.default_rng(1)
     documents = [np.append(rng.integers(1, 5, 500), 0).astype(np.int32) for _ in range(20)]
-    raw = token_store.compress(units, documents)
+    raw = token_store.compress(units, documents, 49_408)
     shard = token_store.Shard(raw)
     flat = [[int(x) for u in d for x in np.frombuffer(units[u], "<u4")] for d in documents]
     assert [shard.document(k).tolist() for k in range(20)] == flat
@@ -149,7 +219,7 @@ def test_grammar_shrinks_and_restores():
 def test_grammar_leaves_no_frequent_pair():
     units = [array("I", [k + 1]).tobytes() for k in range(100)]
     documents = [np.append(np.tile(np.arange(1, 65), 2), 0).astype(np.int32) for _ in range(60)]
-    shard = token_store.Shard(token_store.compress(units, documents))
+    shard = token_store.Shard(token_store.compress(units, documents, 49_408))
     left = {}
     for a, b in zip(shard.begins[:-1].tolist(), shard.begins[1:].tolist(), strict=True):
         for pair in zip(shard.symbols[a : b - 1].tolist(), shard.symbols[a + 1 : b].tolist(), strict=True):
@@ -184,19 +254,52 @@ def test_windows_by_brute_force():
 @pytest.mark.parametrize("group", [suffix_dedup.GROUP, 1])
 def test_repeats_of_a_corpus(docs, texts, nothing, group, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SLICE", 3000)  # long texts are cut into slices
-    suffix_dedup._tables.cache_clear()
-    monkeypatch.setattr(suffix_dedup.repeated_ranges, "__defaults__", ("doc_id", "text", group))
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, digests=True).collect()}
-    suffix_dedup._tables.cache_clear()
     assert got == brute.repeats(texts)
     assert suffix_dedup.remove_repeats(nothing, digests=True).count() == 0
 
 
+@pytest.mark.parametrize("size", [60, 85])
+def test_a_gram_in_very_many_contexts(spark, size, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP", 40)
+    rng = random.Random(size)
+    common = prose(rng, 40)[:size]
+    texts = {k: "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(40, 90))) + common + "".join(rng.choice("abcdefgh ") for _ in range(70)) for k in range(400)}
+    texts[400] = "head " + texts[17][10:] + " tail"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, digests=True).collect()}
+    assert got == brute.repeats(texts) and got[400][1] > 100
+
+
+def test_parts_of_a_piece_hold_all_its_windows():
+    rng = random.Random(8)
+    raw = np.frombuffer(bytes(rng.choice(b"abcd") for _ in range(260)), np.uint8)
+    for turn in range(3):
+        lo, n, keys, c0, c1 = suffix_dedup.parts_of(raw, -5, turn)
+        assert [x for a, m in zip(lo, n, strict=True) for x in range(a, a + m)] == list(range(161))
+        # equal windows have equal keys, wherever they are
+        other = suffix_dedup.parts_of(raw[37:], -5, turn)
+        by_window = {x - 37: k for a, m, k in zip(lo, n, keys, strict=True) for x in range(a, a + m)}
+        assert all(by_window[x] == k for a, m, k in zip(other[0], other[1], other[2], strict=True) for x in range(a, a + m))
+
+
+def test_repeats_of_rows_that_share_a_doc_id(spark):
+    rng = random.Random(21)
+    passage, unrelated = prose(rng, 60), prose(rng, 80)
+    rows = [(1, passage), (2, prose(rng, 30) + " " + passage), (2, unrelated), (2, unrelated), (None, passage), (None, passage)]
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), digests=True).collect())
+    size = len(passage.encode())
+    assert [x[2] for x in got if x[0] in (0, 1)] == [0, 0, 0]
+    assert sorted(x[2] for x in got if x[0] == 2) == [0, 0, size] or sorted(x[2] for x in got if x[0] == 2) == [0, 0, size + 1]
+
+
 def test_repeats_keep_characters_whole(spark):
     text = "é" * 120
     rows = spark.createDataFrame([(1, text, 120, "x"), (2, "z" + text, 121, "x"), (None, text, 120, "x"), (3, None, None, "x")], "doc_id long, text string, n_chars long, a string")
     got = {r.doc_id: r for r in suffix_dedup.strip_repeats(rows).collect()}
-    assert got[1].text == "é" * 50 or set(got[1].text) <= {"é"}
+    # of 240 bytes only the first 101 begin a window of their own
+    assert got[1].text == "é" * 51
     assert got[None].text == text and got[3].text is None and got[2].n_chars == len(got[2].text) and got[2].text.startswith("z")
     assert suffix_dedup.strip_repeats(rows).columns == rows.columns
 
@@ -263,15 +366,36 @@ def test_mixing(spark, docs, texts, nothing):
     sources = sorted({r.source for r in rows if r.source is not None}) + [None]
     total = {s: sum(sizes[r.doc_id] for r in rows if r.source == s) for s in sources}
     expected = dict(zip(sources, brute.fill([k % 3 + 1 for k in range(len(sources))], [total[s] for s in sources]), strict=True))
+    rates = brute.balanced([(r.doc_id, r.source, r.size) for r in rows], expected)
     taken = dict.fromkeys(sources, 0)
     for r in rows:
         assert r.size == sizes[r.doc_id] and r.source_size == total[r.source] and abs(r.target - expected[r.source]) < 1e-6
-        assert 0 <= r.taken <= 3 * r.size and again[r.doc_id] == r.taken and abs(r.rate - r.target / r.source_size) < 1e-9
+        assert 0 <= r.taken <= 3 * r.size and again[r.doc_id] == r.taken and abs(r.rate - rates[r.doc_id]) < 1e-6
+        assert r.size * int(r.rate + 1e-8) <= r.taken or r.size == 0
         taken[r.source] += r.taken
     assert all(abs(taken[s] - expected[s]) <= 1 for s in sources)
+    assert max(len({round(r.rate, 3) for r in rows if r.source == s and r.size}) for s in sources) > 1  # rates differ by size within a source
     assert mixing.mix(nothing).count() == 0
 
 
+def test_mixing_follows_the_multipliers(docs, monkeypatch):
+    taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    solve = mixing.multipliers
+    monkeypatch.setattr(mixing, "multipliers", lambda *a: solve(*a).withColumn("slope", F.lit(0.0)))
+    flat = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    assert taken != flat
+
+
+def test_mixing_keeps_document_sizes(spark):
+    rng = random.Random(9)
+    rows = [(k, "w " * (rng.randrange(5, 40) if k % 3 else rng.randrange(100, 400)), "short" if k % 3 else "tall") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, weights=(3, 1)).collect()
+    mean = lambda w: sum(w(r) * np.log(r.size) for r in got) / sum(w(r) for r in got)
+    plain = lambda r: r.size * r.target / r.source_size
+    assert abs(mean(lambda r: r.taken) - mean(lambda r: r.size)) < 0.9 * abs(mean(plain) - mean(lambda r: r.size))
+
+
 def test_mixing_stops_and_shares_again(spark):
     rows = [(k, "w " * 10, "a") for k in range(50)] + [(100, "w", "b"), (101, None, "c"), (102, "w w", None)]
     got = {r.source: r.target for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
@@ -364,6 +488,38 @@ def test_each_statistic_alone_rejects(spark):
     assert {r.doc_id for r in got if not r.kept} == set(odd)
 
 
+def points(rng, spark):
+    """Correlated statistics of three groups, one of them of five rows, with some rows far off against the correlation only."""
+    rows = []
+    for g, n in (("a", 160), ("b", 70), (None, 5)):
+        for k in range(n):
+            x = rng.normal(5600, 800)
+            y = 0.2 * (x - 5600) + rng.normal(1600, 30) if k % 10 or g is None else 1600 - 0.2 * (x - 5600) + rng.choice([-330, 330])
+            rows.append((len(rows), "l", g, round(x), round(y), max(0, round(rng.normal(-20, 60))), 0, round(abs(rng.normal(0, 30)))))
+    return rows, spark.createDataFrame(rows, "i int, g0 string, g1 string, x0 long, x1 long, x2 long, x3 long, x4 long")
+
+
+def test_distances_match_an_independent_estimate(spark):
+    floors = [f for _, f in quality.STATISTICS]
+    rows, table = points(np.random.default_rng(2), spark)
+    got = {r.i: r.d2 for r in quality.robust_distances(table, floors).collect()}
+    expected = brute.robust_distances([(r[1], r[2]) for r in rows], np.array([r[3:] for r in rows], float), floors)
+    assert max(abs(got[i] - d) / (1 + d) for i, d in enumerate(expected)) < 0.02
+    again = {r.i: r.d2 for r in quality.robust_distances(table.repartition(7), floors).collect()}
+    assert again == got
+
+
+def test_the_covariance_decides(spark, monkeypatch):
+    rows, table = points(np.random.default_rng(2), spark)
+    floors = [f for _, f in quality.STATISTICS]
+    with_it = {r.i for r in quality.robust_distances(table, floors).filter(f"d2 > {quality.CUTOFF}").collect()}
+    fitted = quality._factored
+    cleared = lambda e, p: fitted(e.withColumns({f"s{i}_{j}": F.lit(0.0) for i, j in quality._lower(p) if i != j}), p)
+    monkeypatch.setattr(quality, "_factored", cleared)
+    without = {r.i for r in quality.robust_distances(table, floors).filter(f"d2 > {quality.CUTOFF}").collect()}
+    assert with_it > without
+
+
 # -- near copies ----------------------------------------------------------------------------------------------------
 
 
@@ -383,6 +539,31 @@ def test_near_copies_of_null_ids_and_repeated_rows(spark):
     assert near_dedup.keep_one(rows, k=4).columns == rows.columns
 
 
+def test_a_large_group_of_near_copies_grows_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 20)
+    rng = random.Random(12)
+    base = prose(rng, 160).split()
+    texts = {}
+    for k in range(500):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"x{k}"
+        texts[k] = " ".join(w)
+    for k in range(500, 520):  # strangers that share most of it
+        w = base[: 150 - k % 5] + [f"y{k}_{j}" for j in range(30)]
+        texts[k] = " ".join(w)
+    dealt, forests = [], near_dedup._forests
+
+    def counted(rows, percent, exact):
+        dealt.append(rows.groupBy("g").count().agg(F.max("count")).first()[0] or 0)
+        return forests(rows, percent, exact)
+
+    monkeypatch.setattr(near_dedup, "_forests", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), k=4).collect()}
+    assert got == brute.near(texts)
+    # all pairs of its 25 blocks would be 13,000 rows of a group
+    assert max(dealt) < 3500
+
+
 def test_forest_reaches_what_links_reach():
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 1 << 62, 200, dtype=np.uint64))
