@@ -39,7 +39,7 @@ from .common import col, ddl, scratch, stored, tidy
 LENGTH, GRAM = 100, 32
 #: Bytes hashed at once, bytes joined for one transform, and different pieces under one gram that go to one transform.
 SLICE, JOINED, GROUP = 1 << 18, 1 << 18, 3000
-#: Other hashes that split the pieces of a hot gram, at each turn.
+#: Other hashes that split the pieces of a hot gram at the first turn; each turn has twice as many as the one before, up to a window's grams.
 SPLIT = 4
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 LOW = np.uint64(0xFFFFFFFF)
@@ -115,15 +115,15 @@ def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int =
     return (lo, hi - lo, key, *(_contents(data, lo, hi, length) if contents else (key, key)))
 
 
-def parts_of(data: np.ndarray, key: int, turn: int, length: int = LENGTH, gram: int = GRAM, split: int = SPLIT):
+def parts_of(data: np.ndarray, key: int, turn: int, length: int = LENGTH, gram: int = GRAM):
     """A piece cut where the smallest gram of its windows changes under any of a turn's hashes: first window, number of windows, key, content hashes."""
     h = _gram_hashes(data, gram)
     n = len(data) - length + 1
     change = np.zeros(n + 1, bool)
     change[0] = change[-1] = True
     places = []
-    for k in range(split):
-        other = (h ^ np.uint64((split * turn + k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) * B
+    for k in range(min(length - gram + 1, SPLIT << min(turn, 16))):
+        other = (h ^ np.uint64((1000 * turn + k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) * B
         other ^= other >> np.uint64(29)
         other *= A
         places.append((at := _least_places(other, length - gram + 1)))

@@ -39,6 +39,8 @@ MOST_RULES, LEAST_COUNT = 16_000, 8
 #: Rules a round within words, and in all such rounds; rules a round across words, which go on while there is room.
 WORD_ROUND, WORD_RULES, TEXT_ROUND = 2250, 9000, 2500
 SHARD_CHARS, REMEMBERED = 12_000_000, 600_000
+#: Begins a unit that is a whole text; no word of a plain text has it.
+WHOLE = "\uffff"
 #: The id that ends a document, as bytes.
 END = (1).to_bytes(4, "little")
 
@@ -78,11 +80,11 @@ class WordEncoder:
         return text.isascii() or int(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").max()) < 0x250
 
     def units(self, text: str | None) -> list[str]:
-        """Strings to encode one by one; a text of other letters is one unit, marked by a leading NUL pair."""
+        """Strings to encode one by one; a text of other letters is one unit, marked as whole."""
         if not text:
             return []
         # small letters may lie elsewhere than their capitals: only a text that is plain in lower case is cut here
-        return self.words(small) if self.plain(small := text.lower()) else ["\0\0" + text]
+        return self.words(small) if self.plain(small := text.lower()) else [WHOLE + text]
 
     def ids(self, units: list[str]) -> list[bytes]:
         """The ids of each unit, as little-endian 32-bit integers. Unknown words go to the library together, parted by spaces, and are told apart by their last ids."""
@@ -90,8 +92,8 @@ class WordEncoder:
         found = [x if (x := known.get(u)) is not None else older.get(u) for u in units]
         missing = [k for k, x in enumerate(found) if x is None]
         for k in missing:
-            if units[k].startswith("\0\0"):
-                found[k] = array("I", self.library.encode(units[k][2:], add_special_tokens=False).ids).tobytes()
+            if units[k].startswith(WHOLE):
+                found[k] = array("I", self.library.encode(units[k][1:], add_special_tokens=False).ids).tobytes()
         words = [k for k in missing if found[k] is None]
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
@@ -283,7 +285,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         from pyspark import TaskContext
 
         encoder, part, number = loaded(file), TaskContext.get().partitionId(), 0
-        doc_ids, local, texts, size = [], Numbers({"\0end": 0}), [], 0
+        doc_ids, local, texts, size = [], Numbers({WHOLE: 0}), [], 0
 
         def shard():
             raw = compress([END, *encoder.ids(list(local)[1:])], texts, encoder.base)
@@ -300,7 +302,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if size >= SHARD_CHARS:
                     yield shard()
                     number += 1
-                    doc_ids, local, texts, size = [], Numbers({"\0end": 0}), [], 0
+                    doc_ids, local, texts, size = [], Numbers({WHOLE: 0}), [], 0
         if doc_ids:
             yield shard()
 
