@@ -23,11 +23,11 @@ from __future__ import annotations
 
 import struct
 from array import array
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -52,8 +52,8 @@ def default_vocabulary() -> str:
 
 
 class WordEncoder:
-    """Units of a text and their ids. Texts in plain Latin letters are cut into the words that the library's own
-    splitter would give, so that it need encode each word once; all other texts go to the library whole."""
+    """Units of a text and their ids. Texts in plain Latin letters are cut at white space, and units into the words that the
+    library's own splitter would give, so that it need encode each word once; all other texts go to the library whole."""
 
     def __init__(self, path: str):
         import re
@@ -75,50 +75,67 @@ class WordEncoder:
 
     @staticmethod
     def plain(text: str) -> bool:
-        if "<|" in text:
-            return False
         return text.isascii() or int(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").max()) < 0x250
 
-    def units(self, text: str | None) -> list[str]:
-        """Strings to encode one by one; a text of other letters is one unit, marked as whole."""
-        if not text:
-            return []
-        # small letters may lie elsewhere than their capitals: only a text that is plain in lower case is cut here
-        return self.words(small) if self.plain(small := text.lower()) else [WHOLE + text]
-
-    def ids(self, units: list[str]) -> list[bytes]:
-        """The ids of each unit, as little-endian 32-bit integers. Unknown words go to the library together, parted by spaces, and are told apart by their last ids."""
-        known, older = self.known, self.older
-        found = [x if (x := known.get(u)) is not None else older.get(u) for u in units]
-        missing = [k for k, x in enumerate(found) if x is None]
-        for k in missing:
-            if units[k].startswith(WHOLE):
-                found[k] = array("I", self.library.encode(units[k][1:], add_special_tokens=False).ids).tobytes()
-        words = [k for k in missing if found[k] is None]
+    def cuttable(self, text: str) -> str | None:
+        """The text in lower case if it may be cut at white space, else nothing: it has special tokens, other letters, or signs at which white space is seen differently."""
+        # small letters may lie elsewhere than their capitals: the lower case counts
+        small = text.lower()
+        return None if not self.plain(small) or any(x in small for x in ("<|", "\x1c", "\x1d", "\x1e", "\x1f")) else small
+
+    def units(self, texts: list[str | None]) -> tuple[list[pa.Array], list[int]]:
+        """Strings to encode one by one, and how many each text has; a text that isn't cut is one unit, marked as whole."""
+        found, sizes, run = [], [], []
+
+        def cut() -> None:
+            if run:
+                words = pc.utf8_split_whitespace(pa.array(run, pa.large_string()))
+                found.append(words.flatten())
+                sizes.extend(np.diff(words.offsets.to_numpy()).tolist())
+                run.clear()
+
+        for text in texts:
+            if (small := self.cuttable(text or "")) is not None:
+                run.append(small)
+            else:
+                cut()
+                found.append(pa.array([WHOLE + text], pa.large_string()))
+                sizes.append(1)
+        cut()
+        return found, sizes
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words, which go to the library together, parted by spaces, and are told apart by their last ids."""
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
-            ids = self.library.encode(" ".join([units[k] for k in part]), add_special_tokens=False).ids
+            ids = self.library.encode(" ".join(part), add_special_tokens=False).ids
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):  # an id at which no word can end: one by one
-                split = [array("I", self.library.encode(units[k], add_special_tokens=False).ids).tobytes() for k in part]
+                split = [array("I", self.library.encode(w, add_special_tokens=False).ids).tobytes() for w in part]
             else:
                 raw = array("I", ids).tobytes()
                 split = [raw[4 * x : 4 * y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-            for k, x in zip(part, split, strict=True):
-                found[k] = x
-                if len(units[k]) <= 64:
-                    known[units[k]] = x
-        if len(known) >= REMEMBERED:
-            self.known, self.older = {}, known
-        return found
-
+            self.known.update(zip(part, split, strict=True))
 
-class Numbers(dict):
-    """Units in order of their first use; looking one up numbers it."""
-
-    def __missing__(self, unit: str) -> int:
-        self[unit] = k = len(self)
-        return k
+    def ids(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit, as little-endian 32-bit integers."""
+        if len(self.known) >= REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        cut = [[u] if u.isalpha() or u in known else None if u.startswith(WHOLE) else self.words(u) for u in units]
+        new = {w for words in cut if words for w in words if w not in known}
+        known.update((w, older[w]) for w in new if w in older)
+        self._learn(sorted(w for w in new if w not in known))
+        found = []
+        for u, words in zip(units, cut, strict=True):
+            if words is None:
+                found.append(array("I", self.library.encode(u[1:], add_special_tokens=False).ids).tobytes())
+            else:
+                found.append(known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words]))
+        for w in new:  # long words are not remembered
+            if len(w) > 64:
+                del known[w]
+        return found
 
 
 _LOADED: dict[str, WordEncoder] = {}
@@ -285,24 +302,28 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         from pyspark import TaskContext
 
         encoder, part, number = loaded(file), TaskContext.get().partitionId(), 0
-        doc_ids, local, texts, size = [], Numbers({WHOLE: 0}), [], 0
+        doc_ids, strings, sizes, size = [], [], [], 0
 
         def shard():
-            raw = compress([END, *encoder.ids(list(local)[1:])], texts, encoder.base)
+            coded = pa.chunked_array(strings, pa.large_string()).combine_chunks().dictionary_encode()
+            units = [END, *encoder.ids(coded.dictionary.to_pylist())]
+            ends = np.cumsum(sizes)
+            whole = np.insert(coded.indices.to_numpy() + 1, ends, 0).astype(np.int32)  # number 0 ends a document
+            raw = compress(units, np.split(whole, (ends + np.arange(1, len(ends) + 1))[:-1]), encoder.base)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(ids_arrow), pa.binary()]
             values = [part, number, int(Shard(raw).before[-1]), doc_ids, raw]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["part", "number", "n_ids", "doc_ids", "shard"])
 
-        for ids, found in batches(arrow, ["a", "b"], 128):
-            for doc_id, text in zip(ids, found, strict=True):
-                units = encoder.units(text)
-                texts.append(np.fromiter(chain(map(local.__getitem__, units), (0,)), np.int32, len(units) + 1))
-                doc_ids.append(doc_id)
-                size += len(text or "") + 64
-                if size >= SHARD_CHARS:
-                    yield shard()
-                    number += 1
-                    doc_ids, local, texts, size = [], Numbers({WHOLE: 0}), [], 0
+        for ids, texts in batches(arrow, ["a", "b"], 128):
+            found, n = encoder.units(texts)
+            strings += found
+            sizes += n
+            doc_ids += ids
+            size += sum(len(x or "") + 64 for x in texts)
+            if size >= SHARD_CHARS:
+                yield shard()
+                number += 1
+                doc_ids, strings, sizes, size = [], [], [], 0
         if doc_ids:
             yield shard()
 
