@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields, replace
 
 
@@ -42,6 +43,17 @@ class SessionOptions(_Options):
 
 
 MATCH_TYPES = ("hard", "hard_propertyless", "multiview", "soft", "hard_soft", "mixed")
+#: Kernels that users add: name to (a, b, d, r, hashed) -> key of a pair, from the codes of both neighbourhoods, distance and radius as Columns.
+PAIR_KEYS: dict[str, Callable] = {}
+
+
+def register_kernel(name: str, pair_key: Callable) -> None:
+    """Adds a member of the kernel family, then named by ``KernelOptions(variant=name)``; ``hashed`` hashes a list of numbers and Columns."""
+    if name in VARIANTS or name in PAIR_KEYS:
+        raise ValueError(f"kernel {name} exists")
+    PAIR_KEYS[name] = pair_key
+
+
 VARIANTS = ("nspdk", "mnspdk", "rnspdk", "anspdk", "alnspdk", "nspdk3d", "gnspdk")
 
 
@@ -49,7 +61,7 @@ VARIANTS = ("nspdk", "mnspdk", "rnspdk", "anspdk", "alnspdk", "nspdk3d", "gnspdk
 class KernelOptions(_Options):
     """Options of a graph kernel."""
 
-    variant: str = _option("nspdk", "member of the kernel family", VARIANTS)
+    variant: str = _option("nspdk", "member of the kernel family", lambda x: x in VARIANTS or x in PAIR_KEYS)
     radius: int = _option(0, "largest radius of neighbourhoods", lambda x: 0 <= x <= 8)
     distance: int = _option(0, "largest distance between centres", lambda x: 0 <= x <= 16)
     match_type: str = _option("hard", "how neighbourhoods are compared", MATCH_TYPES)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+import tempfile
+from collections.abc import Callable, Mapping
 from functools import reduce
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,24 +30,65 @@ def evaluation_order(domain: Domain) -> list[str]:
     return order
 
 
+def names_in(rule: str) -> set[str]:
+    """The tables that a rule's SQL names, in braces."""
+    return {re.match(r"\w*", name)[0] for _, name, _, _ in Formatter().parse(rule) if name}
+
+
+class _Reading(Mapping):
+    """Tables by name; remembers which were asked for."""
+
+    def __init__(self, names: list[str], find: Callable[[str], DataFrame]):
+        self.names, self.find, self.seen = names, find, set()
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.names:
+            raise KeyError(name)
+        self.seen.add(name)
+        return self.find(name)
+
+    def __iter__(self):
+        return iter(self.names)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+
 def deduce(domain: Domain, tables: dict[str, DataFrame], keep: bool = False) -> dict[str, DataFrame]:
     """All tables of the domain: the given ones with set semantics, and the derived ones.
 
-    With ``keep`` derived tables are checkpointed, so that what reads them several times (a graph, other rules) runs their joins once.
+    What a rule reads is evaluated first, declared or not, and noted in ``domain.captured``, so that nothing derived from a target is
+    overlooked. With ``keep`` derived tables are checkpointed, so that what reads them several times (a graph, other rules) runs their joins once.
     """
-    out = dict(tables)
+    out, doing = dict(tables), []
     for name in domain.extensional_signatures:
         out[name] = tables[name].dropDuplicates()
-    for name in evaluation_order(domain):
-        s = domain.signatures[name]
+    known = [*out, *(n for n in domain.intensional_signatures if n not in out)]
+    for name in domain.intensional_signatures:
+        out.pop(name, None)
+
+    def table(name: str) -> DataFrame:
+        if name in out:
+            return out[name]
+        if name in doing:
+            raise SchemaError(f"rules depend on each other: {doing[doing.index(name):]}; use a fixpoint rule")
+        doing.append(name)
+        s, reading = domain.signatures[name], _Reading(known, table)
         if isinstance(s.rule, str):
-            spark = next(iter(out.values())).sparkSession
-            found = spark.sql(s.rule, **out)
+            read = {n: reading[n] for n in sorted(names_in(s.rule))}
+            spark = next(iter([*read.values(), *out.values()])).sparkSession
+            found = spark.sql(s.rule, **read)
         else:
-            found = s.rule(out)
+            found = s.rule(reading)
+        domain.captured[name] = reading.seen
         keys = [EX, *([SLICE] if SLICE in found.columns else [])]
         found = found.select(*keys, *[c.name for c in s.columns]).dropDuplicates()
         out[name] = cut(found) if keep else found
+        doing.remove(name)
+        return out[name]
+
+    for name in evaluation_order(domain):
+        table(name)
     return out
 
 
@@ -92,12 +136,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder of spark.checkpoint.dir if the session has one; a temporary one only where it is unset."""
+    """The folder of spark.checkpoint.dir; a temporary one only for a local session, whose executors see the driver's disk."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="factloom-"))
+        found = context.getConf().get("spark.checkpoint.dir")
+        if not found:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            found = tempfile.mkdtemp(prefix="factloom-")
+        context.setCheckpointDir(found)
 
 
 def ground_violations(rows: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import KernelOptions
+from ..config import PAIR_KEYS, KernelOptions
 from ..functions.hashing import hash_list, hash_string
 from .deduce import EX, cut
 from .graph import Graph
@@ -187,6 +187,8 @@ class Kernel:
             cosine = dot / F.sqrt(pp * qq)
             turn = F.when((pp == 0) & (qq == 0), 1).when((pp == 0) | (qq == 0), 2).when(cosine > 0.5, 3).when(cosine < -0.5, 4).otherwise(5)
             key = h(a, b, turn)
+        elif o.variant in PAIR_KEYS:
+            key = PAIR_KEYS[o.variant](a, b, d, r, h)
         elif o.variant == "alnspdk":
             key = F.when(d == 0, h(a)).otherwise(h(a, b))
         elif o.variant == "mnspdk":

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Domain, SchemaError
-from .deduce import SLICE
+from .deduce import SLICE, names_in
 
 
 def calls(domain: Domain) -> dict[str, set[str]]:
-    """Which tables each rule reads; helpers are named in ``domain.helpers``."""
-    found = {s.name: set(s.depends_on) for s in domain.signatures.values()}
+    """Which tables each rule reads: those its SQL names, those it was seen to read, and those declared; helpers are named in ``domain.helpers``."""
+    found = {s.name: set(s.depends_on) | domain.captured.get(s.name, set()) | (names_in(s.rule) if isinstance(s.rule, str) else set()) for s in domain.signatures.values()}
     for name, reads in domain.helpers.items():
         found.setdefault(name, set()).update(reads)
     return found

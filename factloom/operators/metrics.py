@@ -101,9 +101,11 @@ def auc_pr(preds: DataFrame) -> DataFrame:
 
 
 def curves(preds: DataFrame) -> DataFrame:
-    """Points of the ROC and precision-recall curves."""
-    at, everything = threshold_counts(preds), Window.partitionBy()
-    return at.select("prediction", (F.col("fp") / F.sum("neg").over(everything)).alias("fpr"), (F.col("tp") / F.sum("pos").over(everything)).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    """Points of the ROC and precision-recall curves; the two totals come from an aggregate, so no task sees all margins."""
+    at = threshold_counts(preds)
+    totals = preds.agg(F.sum((F.col("label") > 0).cast("bigint")).alias("_pos"), F.sum((F.col("label") <= 0).cast("bigint")).alias("_neg")).withColumn("_one", F.lit(1))
+    points = at.withColumn("_one", (F.col("tp") >= 0).cast("int")).join(F.broadcast(totals), "_one")  # one row
+    return points.select("prediction", (F.col("fp") / F.col("_neg")).alias("fpr"), (F.col("tp") / F.col("_pos")).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
 def fold_summary(reports: DataFrame, by: list[str]) -> DataFrame:

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from ..config import KernelOptions, SessionOptions
 from ..operators import cases as case_ops
 from ..operators import integrity, liveness, metrics, splits
-from ..operators.deduce import deduce, signature_counts
+from ..operators.deduce import cut, deduce, signature_counts
 from ..operators.graph import Graph, build_graph
 from ..operators.kernels import Kernel, ghost_features, remap
-from ..operators.models import cross_validate
+from ..operators.models import check_ability, cross_validate
 from ..schema import Domain
 from ..sources import sinks
 from ..sources.facts import read_facts, tables_of
@@ -116,7 +116,8 @@ class Dataset:
 
     def kfold(self, target: str, k: int, kernel: KernelOptions, model: str, reject=None, folds: DataFrame | None = None, **options) -> DataFrame:
         """Predictions of a k-fold cross-validation over interpretations."""
-        cases = self.cases(target, reject).persist()
+        check_ability(model, "binary", **options)  # the cases of a target say whether its tuple exists
+        cases = cut(self.cases(target, reject))
         features = self.features(target, cases, kernel)
         folds = folds if folds is not None else splits.kfold(self.interpretations(), k, self.options.kfold_random_seed)
         return cross_validate(features, cases, folds, model, **options)

@@ -120,13 +120,8 @@ def set_of(spark, sf_dir):
     return relational.set_of(n, "n_name", ["region"], "names").join(n.groupBy("region").agg(F.count(F.lit(1)).alias("n")), "region")
 
 
-@query("SELECT o_custkey AS customer, list_sort(list(o_orderpriority)) AS bag FROM orders WHERE o_totalprice > 200000 GROUP BY 1")
-def bag_of(spark, sf_dir):
-    return relational.bag_of(load(spark, sf_dir, "orders").filter("o_totalprice > 200000").withColumnRenamed("o_custkey", "customer"), "o_orderpriority", ["customer"], "bag")
-
-
 @query("SELECT o_custkey AS customer, list_sort(list(o_orderpriority)) AS bag FROM orders GROUP BY 1")
-def bag_of_all(spark, sf_dir):
+def bag_of(spark, sf_dir):
     return relational.bag_of(load(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "customer"), "o_orderpriority", ["customer"], "bag")
 
 
@@ -366,14 +361,8 @@ def ap_hash_string(spark, sf_dir):
     return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), hash_string(F.col("p_name")).alias("h"))
 
 
-@query(f"SELECT l_orderkey AS order_id, l_linenumber AS line, {sql_hash_list('[l_orderkey, l_partkey, l_suppkey, l_linenumber::BIGINT]')} AS h FROM lineitem WHERE l_returnflag = 'R'")
-def ap_hash_vector(spark, sf_dir):
-    rows = load(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")
-    return rows.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), hash_list(F.array("l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("bigint"))).alias("h"))
-
-
 @query(f"SELECT l_orderkey AS order_id, l_linenumber AS line, {sql_hash_list('[l_orderkey, l_partkey, l_suppkey, l_linenumber::BIGINT]')} AS h FROM lineitem")
-def ap_hash_vector_all(spark, sf_dir):
+def ap_hash_vector(spark, sf_dir):
     rows = load(spark, sf_dir, "lineitem")
     return rows.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), hash_list(F.array("l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("bigint"))).alias("h"))
 
@@ -502,12 +491,12 @@ def libsvm_rows(spark, sf_dir):
 
 # -- kernel algebra ----------------------------------------------------------------------------------------------
 
-VECTORS = "q AS (SELECT l_suppkey::VARCHAR AS case_id, l_linenumber::BIGINT AS feature, sum(l_discount) AS value FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey <= 60 GROUP BY 1, 2)"
+VECTORS = "q AS (SELECT l_suppkey::VARCHAR AS case_id, l_linenumber::BIGINT AS feature, sum(l_discount) AS value FROM lineitem GROUP BY 1, 2)"
 DOTS = f"{VECTORS}, d AS (SELECT a.case_id AS case_a, b.case_id AS case_b, sum(a.value * b.value) AS dot FROM q a JOIN q b ON a.feature = b.feature AND a.case_id <= b.case_id GROUP BY 1, 2), n AS (SELECT case_id, sum(value * value) AS norm2 FROM q GROUP BY 1)"
 
 
 def _vectors(spark, sf_dir):
-    rows = load(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_suppkey <= 60")
+    rows = load(spark, sf_dir, "lineitem")
     return rows.groupBy(F.col("l_suppkey").cast("string").alias("case_id"), F.col("l_linenumber").cast("bigint").alias("feature")).agg(F.sum("l_discount").alias("value"))
 
 
@@ -529,33 +518,6 @@ _gram_query("poly", "pow(0.01 * dot + 1, 2)", gamma=0.01, coef0=1.0, degree=2)
 _gram_query("rbf", "exp(-0.05 * (x.norm2 + y.norm2 - 2 * dot))", gamma=0.05)
 _gram_query("sigmoid", "tanh(0.001 * dot - 0.5)", gamma=0.001, coef0=-0.5)
 
-#: The five queries above are stated over a sample of suppliers and lines; these are the same over every supplier and line.
-ALL_VECTORS = "q AS (SELECT l_suppkey::VARCHAR AS case_id, l_linenumber::BIGINT AS feature, sum(l_discount) AS value FROM lineitem GROUP BY 1, 2)"
-ALL_DOTS = DOTS.replace(VECTORS, ALL_VECTORS)
-
-
-def _all_vectors(spark, sf_dir):
-    rows = load(spark, sf_dir, "lineitem")
-    return rows.groupBy(F.col("l_suppkey").cast("string").alias("case_id"), F.col("l_linenumber").cast("bigint").alias("feature")).agg(F.sum("l_discount").alias("value"))
-
-
-@query(f"WITH {ALL_DOTS} SELECT case_a, case_b, round(dot, 5) AS dot FROM d")
-def dot_product_all(spark, sf_dir):
-    return algebra.dot_products(_all_vectors(spark, sf_dir)).withColumn("dot", F.round("dot", 5))
-
-
-def _gram_all_query(kernel: str, sql: str, **options) -> None:
-    def run(spark, sf_dir):
-        return algebra.gram(_all_vectors(spark, sf_dir), kernel, **options).withColumn("k", F.round("k", 5))
-
-    run.__name__ = f"gram_{kernel}_all"
-    query(f"WITH {ALL_DOTS} SELECT case_a, case_b, round({sql}, 5) AS k FROM d JOIN n x ON x.case_id = case_a JOIN n y ON y.case_id = case_b")(run)
-
-
-_gram_all_query("linear", "dot")
-_gram_all_query("poly", "pow(0.01 * dot + 1, 2)", gamma=0.01, coef0=1.0, degree=2)
-_gram_all_query("rbf", "exp(-0.05 * (x.norm2 + y.norm2 - 2 * dot))", gamma=0.05)
-_gram_all_query("sigmoid", "tanh(0.001 * dot - 0.5)", gamma=0.001, coef0=-0.5)
 
 # -- cases ---------------------------------------------------------------------------------------------------------------
 

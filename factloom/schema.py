@@ -85,6 +85,8 @@ class Domain:
     kernel_points: frozenset[str] = frozenset()
     safe: frozenset[str] = frozenset()
     helpers: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    #: The tables that each rule was seen to read when it was evaluated.
+    captured: dict[str, set[str]] = field(default_factory=dict)
     closed: bool = False
 
     def add(self, signature: Signature) -> Domain:

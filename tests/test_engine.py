@@ -1,4 +1,5 @@
 import gzip
+import sys
 
 import numpy as np
 import pytest
@@ -386,3 +387,94 @@ def test_dual_solver_raises_when_it_stops_early():
     score = -s * grad
     up, down = np.where(s > 0, a < 5, a > 0), np.where(s > 0, a > 0, a < 5)
     assert score[up].max() - score[down].min() < 1e-3
+
+
+def sparse_cases(n=300, seed=4):
+    rng = np.random.default_rng(seed)
+    dense = rng.normal(size=(n, 6)) * (rng.random((n, 6)) < 0.7)
+    truth = np.array([2.0, -1.0, 0.5, 0.0, 1.5, -0.7])
+    return [(np.flatnonzero(r), r[np.flatnonzero(r)]) for r in dense], dense, dense @ truth
+
+
+def test_gradients_reach_the_closed_form():
+    x, dense, y = sparse_cases()
+    y = y + np.random.default_rng(1).normal(size=len(y)) * 0.1
+    model = models.MODELS.new("ols_sgd", lambda_=0.01, epochs=40)
+    model.fit(x, y)
+    exact = np.linalg.solve(dense.T @ dense / len(y) + 0.01 * np.eye(6), dense.T @ y / len(y))
+    assert np.allclose([model.weights.get(k, 0.0) for k in range(6)], exact, atol=0.03)
+
+
+def test_gradients_reach_the_dual_optimum():
+    x, _, y = sparse_cases()
+    y = np.where(y + np.random.default_rng(2).normal(size=len(y)) > 0, 1.0, -1.0)
+    model = models.MODELS.new("svm_sgd", lambda_=0.01, epochs=60)
+    model.fit(x, y)
+    # the same problem as a dual: c = 1 / (n * lambda), without an offset
+    k = models.gram_matrix(x, x, models.SvmOptions()) * np.outer(y, y)
+    a = np.zeros(len(y))
+    for _ in range(400):
+        for i in range(len(y)):
+            a[i] = min(100 / len(y), max(0.0, a[i] + (1 - k[i] @ a) / max(k[i, i], 1e-12)))
+    best = np.mean(np.maximum(0, 1 - k @ a)) + 0.005 * a @ k @ a
+    assert best - 1e-6 <= model.cost(x, y) < best * 1.03
+
+
+def test_models_outlive_their_session():
+    x, _, y = sparse_cases(60)
+    signs, kinds = np.where(y > 0, 1.0, -1.0), np.digitize(y, [-1.0, 1.0]).astype(float)
+    for name, labels in (("svm_sgd", signs), ("ols_sgd", y), ("dual_c_svc", signs), ("dual_nu_svc", signs), ("dual_eps_svr", y), ("dual_nu_svr", y), ("dual_c_svc_mc", kinds)):
+        model = models.MODELS.new(name, **({"kernel": "rbf", "gamma": 0.3} if name.startswith("dual") else {}))
+        model.fit(x, labels)
+        assert np.allclose(models.load(models.dump(model)).margin(x), model.margin(x)), name
+
+
+def test_a_model_must_be_able_to_do_the_task(spark):
+    with pytest.raises(ValueError, match="regression"):
+        models.check_ability("svm_sgd", "regression")
+    models.check_ability("svm_sgd", "binary")
+    nothing = spark.createDataFrame([], "case_id string, feature long, value double")
+    with pytest.raises(ValueError, match="binary"):
+        models.cross_validate(nothing, nothing, nothing, "ols_sgd", task="binary")
+
+
+def test_an_outside_program(tmp_path):
+    script = tmp_path / "learn.py"
+    script.write_text("import sys\nn = sum(float(x.split()[0]) for x in open(sys.argv[1]))\nopen(sys.argv[3], 'w').writelines(f'{n + len(x.split())}\\n' for x in open(sys.argv[2]))\n")
+    model = models.MODELS.new("external", command=[sys.executable, str(script)])
+    x = [(np.array([1, 4]), np.array([0.5, 2.0])), (np.array([2]), np.array([1.0]))]
+    model.fit(x, np.array([1.0, 2.0]))
+    assert model.margin(x).tolist() == [6.0, 5.0]
+
+
+def test_what_a_rule_reads_is_found_without_being_declared(spark):
+    domain = Domain().entity("person", "id:self").relationship("knows", "a:person", "b:person@other")
+    domain.intensional("friend", "a:person", "b:person@other", rule="SELECT ex, a, b FROM {knows}")
+    domain.intensional("far", "a:person", "b:person@other", rule=lambda t: t["friend"].join(t["person"].select("ex", "id").withColumnRenamed("id", "a"), ["ex", "a"])).close()
+    people = spark.createDataFrame([("x", 1), ("x", 2)], "ex string, id long")
+    knows = spark.createDataFrame([("x", 1, 2)], "ex string, a long, b long")
+    assert deduce.deduce(domain, {"person": people, "knows": knows})["far"].count() == 1
+    assert liveness.calls(domain)["far"] == {"friend", "person"} and liveness.calls(domain)["friend"] == {"knows"}
+    assert {"friend", "far", "knows"} <= liveness.dependents(domain, "knows")
+    loop = Domain().entity("person", "id:self").relationship("knows", "a:person", "b:person@other")
+    loop.intensional("p", "a:person", "b:person@other", rule="SELECT * FROM {q}").intensional("q", "a:person", "b:person@other", rule="SELECT * FROM {p}").close()
+    with pytest.raises(Exception, match="depend on each other"):
+        deduce.deduce(loop, {"person": people, "knows": knows})
+
+
+def test_users_add_kernels():
+    config.register_kernel("far_end", lambda a, b, d, r, hashed: hashed(b, d))
+    try:
+        assert config.KernelOptions(variant="far_end").variant == "far_end"
+        with pytest.raises(ValueError):
+            config.register_kernel("nspdk", None)
+    finally:
+        del config.PAIR_KEYS["far_end"]
+    with pytest.raises(ValueError):
+        config.KernelOptions(variant="far_end")
+
+
+def test_curves_end_at_one(spark):
+    rows = spark.createDataFrame([(0.1 * k, 1.0 if k % 3 else -1.0) for k in range(30)], "prediction double, label double")
+    points = metrics.curves(rows).orderBy("prediction").collect()
+    assert points[0].fpr == points[0].recall == 1.0 and len(points) == 30 and 0 < points[-1].precision <= 1
