@@ -3,8 +3,8 @@
 The pieces of a public vocabulary have a probability per language. A word's probability is the sum over
 all its segmentations into pieces, by the forward algorithm; a text's is the product over its words
 (lower-cased runs of letters). Probabilities are learned by expectation-maximisation on words of a
-bounded sample of labelled documents: at most SAMPLE a language, drawn by a hash. What leaves the
-executors is one number a language and piece, bounded by the vocabulary.
+bounded sample of labelled documents: at most SAMPLE of each of the LANGUAGES most frequent labels, drawn by
+a hash. What leaves the executors is one number a language and piece, bounded by the vocabulary.
 
 Defined cases: null texts and texts without a letter give ``und`` with score 0; without any labelled
 document every text gives ``und``; equal likelihoods fall to the language first by code point; words of
@@ -27,6 +27,8 @@ from .common import batches, col, ddl, stored, tidy
 
 #: Bound of the training sample in documents a language; EM rounds after the first count.
 SAMPLE, ROUNDS = 600, 2
+#: Labels that are learned at most, the most frequent ones: what leaves the executors is bounded whatever a lang column holds.
+LANGUAGES = 200
 LONGEST, UNKNOWN, SMOOTHING = 40, 1e-7, 0.02
 #: Words whose scores a worker remembers at most.
 REMEMBERED = 1_000_000
@@ -122,8 +124,8 @@ def sample(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_
     """Labelled training documents, about ``per_language`` of each language, and the languages by code point."""
     held_out = F.pmod(F.crc32(F.coalesce(col(docs, id_col).cast("string"), F.lit(""))), 5) == 0
     rows = docs.select(col(docs, id_col).cast("string").alias("a"), col(docs, text_col).alias("b"), col(docs, lang_col).alias("c"), held_out.alias("h")).filter("not h and b is not null and c is not null")
-    # one row a label; labels are few by their nature
-    sizes = {r.c: r.n for r in rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # one row a label, of a bounded number of them
+    sizes = {r.c: r.n for r in rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c").limit(LANGUAGES).collect()}
     share = F.lit(0.0)
     for language, n in sorted(sizes.items()):
         share = F.when(F.col("c") == language, F.lit(min(1.0, per_language / n))).otherwise(share)

@@ -23,7 +23,7 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN smallest s ON s.a
 """
 
 OP7_MIXING = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents
 ), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, sum(source_size) OVER ()::DOUBLE AS total FROM s),
@@ -35,14 +35,39 @@ l AS (
   FROM o WINDOW up AS (ORDER BY stop, source NULLS LAST)
 ), t AS (
   SELECT source, source_size, least(3 * source_size::DOUBLE, weight * (SELECT min_by(level, rank) FROM l WHERE stop >= level)) AS target FROM l
-), n AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(floor(target + 0.5) / source_size) ELSE 0 END::BIGINT AS whole FROM t
-), c AS (
-  SELECT d.doc_id, d.size, n.source_size, n.target, n.whole, floor(n.target + 0.5)::BIGINT - n.whole * n.source_size AS need,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-  FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source
+), c AS (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY 1, 2),
+m AS (SELECT sum(size * n)::DOUBLE AS whole, round(sum(size * n * ln(size)) / sum(size * n), 9) AS mean FROM c),
+p AS (SELECT source, (size * n)::DOUBLE AS w, ln(size) - mean AS x, whole FROM c, m),
+newton AS (
+  SELECT 0 AS i, source, source_size, target, 0.0::DOUBLE AS slope,
+    CASE WHEN target < 3 * source_size * (1 - 1e-9) THEN ln(2 * (target / source_size) / (3 - target / source_size)) END AS a
+  FROM t WHERE source_size > 0
+  UNION ALL
+  SELECT i + 1, source, source_size, target, slope + step, a - (e + hx * step) / h FROM (
+    SELECT *, -(sum(gx) OVER () + 0.3 * whole * slope - coalesce(sum(CASE WHEN a IS NOT NULL THEN hx * e / h END) OVER (), 0))
+      / (coalesce(sum(CASE WHEN a IS NOT NULL THEN hxx - hx * hx / h END) OVER (), 0) + 0.3 * whole) AS step
+    FROM (
+      SELECT i, source, source_size, target, slope, a, whole, sum(w * r) - target AS e, sum(w * r * x) AS gx, sum(w * r * (1 - r / 3)) + 1e-12 * source_size AS h,
+        sum(w * r * (1 - r / 3) * x) AS hx, sum(w * r * (1 - r / 3) * x * x) AS hxx
+      FROM (
+        SELECT n.*, p.w, p.x, p.whole, CASE WHEN n.a IS NULL THEN 3 ELSE 3 / (1 + 2 * exp(-(n.a + n.slope * p.x))) END::DOUBLE AS r
+        FROM newton n JOIN p ON n.source IS NOT DISTINCT FROM p.source WHERE n.i < 20
+      ) GROUP BY i, source, source_size, target, slope, a, whole
+    )
+  )
+), f AS (SELECT source, round(a, 9) AS a, round(slope, 9) AS slope FROM newton WHERE i = 20),
+r AS (
+  SELECT d.*, t.source_size, t.target,
+    CASE WHEN d.size = 0 THEN 0 WHEN f.a IS NULL THEN 3 ELSE round(3 / (1 + 2 * exp(-(f.a + f.slope * (ln(greatest(d.size, 1)) - m.mean)))), 9) END::DOUBLE AS rate
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN f ON d.source IS NOT DISTINCT FROM f.source, m
+), q AS (
+  SELECT *, floor(rate)::BIGINT AS parts, (('0x' || substr(h, 1, 13))::BIGINT + 0.5) / 4503599627370496.0 / nullif(rate - floor(rate), 0) AS place FROM r
+), u AS (
+  SELECT *, floor(target + 0.5)::BIGINT - sum(parts * size) OVER (PARTITION BY source) AS need,
+    coalesce(sum(CASE WHEN rate > parts THEN size END) OVER (PARTITION BY source ORDER BY place NULLS LAST, h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM q
 )
-SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, need - before)))::BIGINT AS taken FROM c
+SELECT doc_id, size, source_size, target, (parts * size + CASE WHEN rate > parts THEN greatest(0, least(size, need - before)) ELSE 0 END)::BIGINT AS taken FROM u
 """
 
 QUERIES = {"op7_mixing": OP7_MIXING, "op10_near_dedup": OP10_NEAR_DEDUP}
