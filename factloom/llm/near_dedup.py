@@ -123,7 +123,7 @@ def band_keys(values: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.nd
 
 def sketches(values: np.ndarray) -> np.ndarray:
     """(number of sets, values / 2) bytes of two four-bit values."""
-    x = (mixed(values.reshape(len(values), -1)) & np.uint64(15)).astype(np.uint8)
+    x = (mixed(values.reshape(len(values), 2 * values.shape[1])) & np.uint64(15)).astype(np.uint8)
     return x[:, ::2] << 4 | x[:, 1::2]
 
 
