@@ -28,7 +28,7 @@ def canonical(text: str | None) -> str:
     if not text.isascii():
         # folding can undo NFKC and composing can undo folding: repeat until nothing changes
         folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
-        if not folded.isascii() and folded != (again := unicodedata.normalize("NFKC", folded.casefold())):
+        while not folded.isascii() and folded != (again := unicodedata.normalize("NFKC", folded.casefold())):
             folded = again
     else:
         folded = text.lower()

@@ -77,9 +77,10 @@ def grams(host: str, path: str) -> np.ndarray:
     return np.fromiter(sorted(found), dtype=np.int64, count=len(found))
 
 
-@lru_cache(maxsize=1)
-def train() -> tuple[np.ndarray, float]:
-    rows = [(grams(*parse(u)), y) for y, urls in ((1.0, BLOCK), (0.0, ALLOW)) for u in urls]
+@lru_cache(maxsize=8)
+def train(block: tuple[str, ...] = BLOCK, allow: tuple[str, ...] = ALLOW) -> tuple[np.ndarray, float]:
+    """Weights of the hashed n-grams, and the bias."""
+    rows = [(grams(*parse(u)), y) for y, urls in ((1.0, block), (0.0, allow)) for u in urls]
     weights, bias = np.zeros(1 << BITS), 0.0
     for _ in range(STEPS):
         slope, lean = PENALTY * weights, 0.0

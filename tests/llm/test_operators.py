@@ -143,6 +143,32 @@ def test_url_rules(url, host, path, rule, verdict):
     assert (found[1] if found else "block" if url_filter.probability(host, path, url_filter.train()) >= 0.5 else "allow") == verdict or url in (None, "nothing")
 
 
+def test_url_model_on_urls_it_has_not_seen():
+    right = wrong = 0
+    for turn in range(4):
+        block, allow = (tuple(u for k, u in enumerate(urls) if k % 4 != turn) for urls in (url_filter.BLOCK, url_filter.ALLOW))
+        model = url_filter.train(block, allow)
+        for urls, bad in ((url_filter.BLOCK, True), (url_filter.ALLOW, False)):
+            for u in urls[turn::4]:
+                said = url_filter.probability(*url_filter.parse(u), model) >= 0.5
+                right, wrong = right + (said == bad), wrong + (said != bad)
+    assert right / (right + wrong) >= 0.75
+
+
+def test_url_rules_by_brute_force():
+    rng = random.Random(6)
+    hosts, paths = ["org", "example.org", "a.example.org", "com", "x.com", "badexample.org", "org.net", ""], ["", "/", "/es/", "/es", "/en/1", "/en/12", "/fr/1", "/de/"]
+    for _ in range(300):
+        host, path, tail = rng.choice(hosts), rng.choice(paths), rng.choice(["", "?x=/es/", "#/de/"])
+        fitting = []
+        for h, p, v in url_filter.RULES:
+            labels, wanted = host.split("."), h.split(".")
+            if labels[-len(wanted) :] == wanted and path[: len(p)] == p:
+                fitting.append((len(h + p), h + p, v))
+        assert url_filter.parse(f"http://{host}{path}{tail}") == (host, path)
+        assert url_filter.rule_of(host, path) == (max(fitting)[1:] if fitting else None)
+
+
 def test_url_model_separates_its_table_and_variants(spark):
     model = url_filter.train()
     assert all(url_filter.probability(*url_filter.parse(u), model) > 0.5 for u in url_filter.BLOCK)
