@@ -3,6 +3,10 @@
 Each stage takes what its predecessor kept and returns whole rows of ``documents``; the last returns
 token ids. Every stage is written as Parquet to the shared folder and read again, so a lost executor
 costs at most the stage it was in.
+
+Defined cases: an empty table gives an empty result; rows with a null doc_id pass the near-duplicate and passage
+stages whole and are judged and mixed like others; repeated rows that one stage keeps are kept as often as they
+come; columns of any other name go along up to the last stage.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import bpe, mixing, near_dedup, quality, suffix_dedup
-from factloom.llm.common import stored
+from factloom.llm.common import scratch, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the table of documents; what they leave in the shared folder goes, but for the result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return docs
+    with scratch(spark) as keep:
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), name)
+        return keep(docs)
