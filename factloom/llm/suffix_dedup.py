@@ -40,7 +40,8 @@ LENGTH, GRAM = 100, 32
 #: Bytes hashed at once, bytes joined for one transform, and different pieces under one gram that go to one transform.
 SLICE, JOINED, GROUP = 1 << 18, 1 << 18, 3000
 #: Other hashes that split the pieces of a hot gram at the first turn; each turn has twice as many as the one before, up to a window's grams.
-SPLIT = 4
+#: From turn LAST on, windows that no smallest gram tells apart (those of periodic texts have the same grams) are parts of their own, under their contents.
+SPLIT, LAST = 4, 5
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 LOW = np.uint64(0xFFFFFFFF)
 
@@ -128,13 +129,18 @@ def parts_of(data: np.ndarray, key: int, turn: int, length: int = LENGTH, gram:
         other *= A
         places.append((at := _least_places(other, length - gram + 1)))
         change[1:-1] |= at[1:] != at[:-1]
+    if turn >= LAST:
+        change[:] = True
     cut = np.flatnonzero(change)
     lo, hi = cut[:-1], cut[1:]
+    contents = _contents(data, lo, hi, length)
     keys = np.full(len(lo), np.uint64(key & (1 << 64) - 1))
     for at in places:
         keys = (keys ^ h[at[lo]]) * A
         keys ^= keys >> np.uint64(32)
-    return lo, hi - lo, keys, *_contents(data, lo, hi, length)
+    if turn >= LAST:
+        keys = (keys ^ contents[0]) * A ^ contents[1]
+    return lo, hi - lo, keys, *contents
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
