@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 from functools import wraps
 
 import pyarrow as pa
@@ -39,8 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
 #: Rows of a batch between Spark and Python. Texts are long: at the usual 10,000 a batch takes tens of megabytes on both sides.
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
-#: Folders that the open scratch() blocks have written, innermost last.
-_SCRATCH: list[list[str]] = []
+#: Folders that the innermost open scratch() block of this thread (or task of an event loop) has written.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -49,9 +50,9 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     if spark.conf.get(BATCH) == "10000":  # the default; a setting of the user's own stays
         spark.conf.set(BATCH, BATCH_ROWS)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if (open_block := _SCRATCH.get()) is not None:
+        open_block.append(path)  # before the write: what a failed one leaves goes as well
     df.write.parquet(path)
-    if _SCRATCH:
-        _SCRATCH[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -67,18 +68,19 @@ def scratch(spark: SparkSession):
         kept.add(df._stored_at)
         return df
 
-    _SCRATCH.append(own)
+    outer = _SCRATCH.get()
+    token = _SCRATCH.set(own)
     try:
         yield keep
     finally:
-        _SCRATCH.pop()
+        _SCRATCH.reset(token)
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for path in own:
             if path not in kept:
                 where = jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(conf).delete(where, True)
-        if _SCRATCH:
-            _SCRATCH[-1].extend(x for x in own if x in kept)
+        if outer is not None:
+            outer.extend(x for x in own if x in kept)
 
 
 def _width(kind: DataType) -> int:

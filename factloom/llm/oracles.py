@@ -70,4 +70,26 @@ r AS (
 SELECT doc_id, size, source_size, target, (parts * size + CASE WHEN rate > parts THEN greatest(0, least(size, need - before)) ELSE 0 END)::BIGINT AS taken FROM u
 """
 
-QUERIES = {"op7_mixing": OP7_MIXING, "op10_near_dedup": OP10_NEAR_DEDUP}
+#: The checksum is worked out byte by byte from a table that the query makes; near words meet where they agree with a letter left out.
+OP11_SPELLING = """WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{00C0}-\\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), counted AS (SELECT doc_id, run, count(*) AS c FROM runs WHERE length(run) >= 6 GROUP BY 1, 2),
+summed AS (
+  SELECT run, c, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, unicode(x) - 64] END))),
+    lambda s, b: xor(s >> 8, t[1 + xor(s, b) % 256])), 4294967295) END AS h FROM counted, crc
+), spelt AS (SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, c FROM summed),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM spelt WHERE length(word) >= 6 GROUP BY 1 HAVING sum(c) >= 5),
+less AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN w b ON a.rest = b.word
+), best AS (SELECT word, count(*) AS n_near, max(m) AS m, min_by(other, (-m, other)) AS other FROM near GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * w.n THEN other END AS form, CASE WHEN m >= 5 * w.n THEN m END AS form_n FROM w LEFT JOIN best USING (word)),
+steps AS (SELECT word, word AS root FROM f UNION ALL SELECT s.word, f.form FROM steps s JOIN f ON s.root = f.word WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(s.root, g.n) AS root FROM steps s JOIN (SELECT word AS root, n FROM w) g USING (root) GROUP BY 1) USING (word)
+"""
+
+QUERIES = {"op7_mixing": OP7_MIXING, "op10_near_dedup": OP10_NEAR_DEDUP, "op11_spelling": OP11_SPELLING}

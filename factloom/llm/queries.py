@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, html_extract, language_id, mixing, near_dedup, oracles, quality, suffix_dedup, token_store, url_filter
+from . import bpe, fingerprint, html_extract, language_id, mixing, near_dedup, oracles, quality, spelling, suffix_dedup, token_store, url_filter
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
