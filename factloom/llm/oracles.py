@@ -92,4 +92,7 @@ steps AS (SELECT word, word AS root FROM f UNION ALL SELECT s.word, f.form FROM
 SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(s.root, g.n) AS root FROM steps s JOIN (SELECT word AS root, n FROM w) g USING (root) GROUP BY 1) USING (word)
 """
 
-QUERIES = {"op7_mixing": OP7_MIXING, "op10_near_dedup": OP10_NEAR_DEDUP, "op11_spelling": OP11_SPELLING}
+OP13_JACCARD_JOIN = OP10_NEAR_DEDUP.replace("len(w) - 3", "len(w) - 2").replace("w[i:i+3]", "w[i:i+2]").replace(">= 80 *", ">= 90 *").replace(""" AS component_id,
+  d.doc_id = coalesce(s.component_id, d.doc_id) AS kept""", " AS component_id")
+
+QUERIES = {"op7_mixing": OP7_MIXING, "op10_near_dedup": OP10_NEAR_DEDUP, "op11_spelling": OP11_SPELLING, "op13_jaccard_join": OP13_JACCARD_JOIN}

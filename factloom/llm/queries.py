@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, html_extract, language_id, mixing, near_dedup, oracles, periods, quality, spelling, suffix_dedup, token_store, url_filter
+from . import bpe, fingerprint, html_extract, language_id, metric_join, mixing, near_dedup, oracles, periods, quality, spelling, suffix_dedup, token_store, url_filter
 from .common import table
 
 
@@ -64,6 +64,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.similar_classes(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
