@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from factloom.llm import bpe, fingerprint, html_extract, language_id, mixing, near_dedup, quality, suffix_dedup, token_store, url_filter
+from factloom.llm import bpe, fingerprint, html_extract, language_id, metric_join, mixing, near_dedup, periods, quality, suffix_dedup, token_store, url_filter
 
 from .test_operators import prose
 
@@ -23,7 +23,7 @@ def odd(spark):
 
 ROWS = {
     "op3": lambda d: token_store.read_documents(token_store.write_shards(d)), "op4": lambda d: suffix_dedup.remove_repeats(d, digests=True), "op5": bpe.digest_documents, "op6": fingerprint.edited_fingerprints,
-    "op7": mixing.mix, "op8": language_id.identify, "op9": quality.quality_verdicts, "op10": near_dedup.near_duplicates,
+    "op7": mixing.mix, "op8": language_id.identify, "op9": quality.quality_verdicts, "op10": near_dedup.near_duplicates, "op12": periods.collapse_runs, "op13": metric_join.similar_classes,
 }
 
 

@@ -40,4 +40,4 @@ def test_stages_keep_whole_rows(spark):
 
 
 def test_registered_queries():
-    assert [int(n[2:].split("_")[0]) for n in sorted(queries(), key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in sorted(queries(), key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 14))
