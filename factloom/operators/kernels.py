@@ -32,8 +32,9 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 class Kernel:
     """Feature generator over one graph."""
 
-    def __init__(self, graph: Graph, options: KernelOptions):
-        self.options, self.mask = options, options.hash_bit_mask
+    def __init__(self, graph: Graph, options: KernelOptions, traced: bool = False):
+        """With ``traced``, codes and attributes keep the texts that were hashed (columns text, pred_text and bin_text)."""
+        self.options, self.mask, self.traced = options, options.hash_bit_mask, traced
         self.graph = graph.living()
 
     # -- labels ---------------------------------------------------------------------------------------------
@@ -64,12 +65,13 @@ class Kernel:
 
     def _hard(self, v: DataFrame, e: DataFrame, dist: DataFrame, r: int) -> DataFrame:
         """(g, vid, code) of radius r."""
+        kept = lambda text: [text.alias("text")] if self.traced else []
         if r == 0:
-            return v.select(G, V, hash_string(F.col("label"), self.mask).alias("code"))
+            return v.select(G, V, hash_string(F.col("label"), self.mask).alias("code"), *kept(F.col("label")))
         if r == 1:
             child = e.join(v.select(G, F.col(V).alias("dst"), F.col("label").alias("child")), [G, "dst"]).groupBy(G, F.col("src").alias(V)).agg(F.sort_array(F.collect_list(F.concat_ws("-", "child", "role"))).alias("children"))
             text = F.concat(F.col("label"), F.lit(":"), F.concat_ws(".", F.coalesce("children", F.array().cast("array<string>"))))
-            return v.join(child, [G, V], "left").select(G, V, hash_string(text, self.mask).alias("code"))
+            return v.join(child, [G, V], "left").select(G, V, hash_string(text, self.mask).alias("code"), *kept(text))
         return self._hard_ball(v, e, dist, r)
 
     def _hard_ball(self, v: DataFrame, e: DataFrame, dist: DataFrame, r: int) -> DataFrame:
@@ -88,20 +90,32 @@ class Kernel:
             for d in range(1, 2 * r + 1):
                 more = far.filter(F.col("d") == d - 1).join(step, [G, "root", "j"]).select(G, "root", "i", F.col("next").alias("j"), F.lit(d).alias("d"))
                 far = cut(far.unionByName(more).groupBy(G, "root", "i", "j").agg(F.min("d").alias("d")))
-        seen = far.join(label, [G, "j"]).select(G, "root", "i", hash_string(F.concat(F.col("d").cast("string"), F.col("text")), self.mask).alias("h"))
-        code = cut(seen.groupBy(G, "root", "i").agg(hash_list(F.sort_array(F.collect_list("h")), self.mask).alias("c")))
-        pair = inner.join(code.withColumnRenamed("c", "a"), [G, "root", "i"]).join(code.select(G, "root", F.col("i").alias("j"), F.col("c").alias("b")), [G, "root", "j"])
-        edge = pair.select(G, "root", hash_list(F.array(F.least("a", "b"), F.greatest("a", "b"), hash_string(F.col("role"), self.mask)), self.mask).alias("h"))
-        found = edge.groupBy(G, F.col("root").alias(V)).agg(F.sort_array(F.collect_list("h")).alias("hs"))
-        return root.withColumnRenamed("root", V).join(found, [G, V], "left").select(G, V, hash_list(F.coalesce("hs", F.array().cast("array<bigint>")), self.mask).alias("code"))
+        far_text = F.concat(F.col("d").cast("string"), F.col("text"))
+        seen = far.join(label, [G, "j"]).select(G, "root", "i", hash_string(far_text, self.mask).alias("h"), far_text.alias("x"))
+        # what was hashed, in the order of its hashes; kept only on demand, as it repeats the ball's labels
+        kept = [F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("h", "x"))), lambda e: e["x"])).alias("cx")] if self.traced else []
+        code = cut(seen.groupBy(G, "root", "i").agg(hash_list(F.sort_array(F.collect_list("h")), self.mask).alias("c"), *kept))
+        ends = [[F.col("c").alias(n), *([F.col("cx").alias(f"{n}x")] if self.traced else [])] for n in "ab"]
+        pair = inner.join(code.select(G, "root", "i", *ends[0]), [G, "root", "i"]).join(code.select(G, "root", F.col("i").alias("j"), *ends[1]), [G, "root", "j"])
+        h = hash_list(F.array(F.least("a", "b"), F.greatest("a", "b"), hash_string(F.col("role"), self.mask)), self.mask).alias("h")
+        way = [F.concat(F.lit("("), F.when(F.col("a") <= F.col("b"), F.concat_ws(" | ", "ax", "bx")).otherwise(F.concat_ws(" | ", "bx", "ax")), F.lit(" | "), "role", F.lit(")")).alias("x")] if self.traced else []
+        kept = [F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("h", "x"))), lambda e: e["x"])).alias("text")] if self.traced else []
+        found = pair.select(G, "root", h, *way).groupBy(G, F.col("root").alias(V)).agg(F.sort_array(F.collect_list("h")).alias("hs"), *kept)
+        kept = [F.coalesce("text", F.lit("")).alias("text")] if self.traced else []
+        return root.withColumnRenamed("root", V).join(found, [G, V], "left").select(G, V, hash_list(F.coalesce("hs", F.array().cast("array<bigint>")), self.mask).alias("code"), *kept)
 
     # -- histograms -------------------------------------------------------------------------------------------
 
     def _attributes(self, rows: DataFrame, label: Column) -> DataFrame:
         """Each row's attributes as (pred, bin, w): symbols count, numbers weigh; the signature name is symbol 0."""
         h = lambda text: hash_string(text, self.mask)
-        symbols = rows.select("*", F.posexplode("syms").alias("k", "x")).select(G, V, h(F.concat(F.lit("pred:"), label)).alias("pred"), h(F.concat(F.lit("bin:"), F.col("k").cast("string"), F.lit("_v:"), F.col("x"))).alias("bin"), F.lit(1.0).alias("w"))
-        numbers = rows.select("*", F.posexplode("nums").alias("k", "x")).filter("x is not null").select(G, V, h(F.concat(F.lit("f:"), label)).alias("pred"), h(F.concat(F.lit("bn:"), F.col("k").cast("string"))).alias("bin"), F.col("x").alias("w"))
+
+        def named(pred: Column, bin_: Column, w: Column) -> list[Column]:
+            return [G, V, h(pred).alias("pred"), h(bin_).alias("bin"), w.alias("w"), *([pred.alias("pred_text"), bin_.alias("bin_text")] if self.traced else [])]
+
+        k = F.col("k").cast("string")
+        symbols = rows.select("*", F.posexplode("syms").alias("k", "x")).select(*named(F.concat(F.lit("pred:"), label), F.concat(F.lit("bin:"), k, F.lit("_v:"), F.col("x")), F.lit(1.0)))
+        numbers = rows.select("*", F.posexplode("nums").alias("k", "x")).filter("x is not null").select(*named(F.concat(F.lit("f:"), label), F.concat(F.lit("bn:"), k), F.col("x")))
         return symbols.unionByName(numbers)
 
     def _soft(self, v: DataFrame, e: DataFrame, dist: DataFrame, r: int) -> DataFrame:
@@ -123,7 +137,7 @@ class Kernel:
             # other than soft: the label tells how far a vertex is from the root
             label = F.col("label") if self.options.match_type == "soft" else F.concat(F.col("d").cast("string"), F.col("label"))
             found = self._attributes(members.drop(V).withColumnRenamed("root", V), label)
-        return found.groupBy(G, V, "pred", "bin").agg(F.sum("w").alias("w"))
+        return found.groupBy(G, V, "pred", "bin", *(["pred_text", "bin_text"] if self.traced else [])).agg(F.sum("w").alias("w"))
 
     def encodings(self, v: DataFrame, e: DataFrame, dist: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Codes (g, vid, r, code) and histograms (g, vid, r, pred, bin, w) for every radius."""
@@ -135,7 +149,8 @@ class Kernel:
                 soft.append(self._soft(v, e, dist, top if kind == "mixed" else r).withColumn("r", F.lit(r)))
         code = _union(codes)
         if not soft:
-            return code, code.select(G, V, "r", F.lit(1).cast("bigint").alias("pred"), F.lit(1).cast("bigint").alias("bin"), F.lit(1.0).alias("w"))
+            none = [F.lit(None).cast("string").alias(c) for c in ("pred_text", "bin_text")] if self.traced else []
+            return code, code.select(G, V, "r", F.lit(1).cast("bigint").alias("pred"), F.lit(1).cast("bigint").alias("bin"), F.lit(1.0).alias("w"), *none)
         return code, _union(soft)
 
     # -- directions, for vertices with coordinates ------------------------------------------------------
@@ -157,8 +172,8 @@ class Kernel:
 
     # -- pairs and vectors ------------------------------------------------------------------------------------
 
-    def histogram(self, cases: DataFrame) -> DataFrame:
-        """(case_id, rd, key, pred, bin, w); ``cases`` has ex, case_id and viewpoints (null: every vertex)."""
+    def _ends(self, cases: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The ends of all pairs (case_id, g, rd, key, r, vid, and what tells of the key if traced), and the vertices' histograms."""
         o = self.options
         # self-joins over lazy parts would multiply the plan: each table that is read more than once is cut first
         v, e = (cut(x) for x in self._labelled(cases))
@@ -174,7 +189,7 @@ class Kernel:
         free = cases.filter("viewpoints is null").select("case_id", own.alias(G)).join(v.select(G, V), G)
         centre = given.unionByName(free).join(points, [G, V], "left_semi").dropDuplicates().withColumnRenamed(V, "s")
         pairs = centre.join(dist.filter(F.col("d") <= o.distance).withColumnsRenamed({"src": "s", "dst": "t"}), [G, "s"]).join(points.withColumnRenamed(V, "t"), [G, "t"], "left_semi")
-        cs, ct = code.select(G, F.col(V).alias("s"), "r", F.col("code").alias("a")), code.select(G, F.col(V).alias("t"), "r", F.col("code").alias("b"))
+        cs, ct = (code.select(G, F.col(V).alias(end), "r", F.col("code").alias(c), *([F.col("text").alias(f"{c}_text")] if self.traced else [])) for end, c in (("s", "a"), ("t", "b")))
         rows = pairs.join(cs, [G, "s"]).join(ct, [G, "t", "r"])
         h = lambda *x: hash_list(F.array(*[c.cast("bigint") if isinstance(c, Column) else F.lit(c).cast("bigint") for c in x]), self.mask)
         a, b, d, r = F.col("a"), F.col("b"), F.col("d"), F.col("r")
@@ -201,17 +216,53 @@ class Kernel:
             rows = rows.withColumn("top", F.max("d").over(Window.partitionBy("case_id", "r"))).filter("d = top").drop("top")
         both = ["s", "t"] if o.variant in ("mnspdk", "nspdk3d") else None
         ends = F.array("s", "t") if both else F.when(d == 0, F.array("s")).otherwise(F.array("s", "t"))
-        parts = [rows.select("case_id", G, "rd", "key", "r", F.explode(ends).alias(V))]
+        told = [F.col("d"), F.col("a_text").alias("near"), F.col("b_text").alias("far")] if self.traced else []
+        parts = [rows.select("case_id", G, "rd", "key", "r", F.explode(ends).alias(V), *told)]
         if o.variant == "alnspdk":  # a second set, of the far ends alone
-            parts.append(rows.filter("d > 0").select("case_id", G, h(F.lit(1), d, r).alias("rd"), h(b).alias("key"), "r", F.col("t").alias(V)))
+            told = [F.col("d"), F.lit(None).cast("string").alias("near"), F.col("b_text").alias("far")] if self.traced else []
+            parts.append(rows.filter("d > 0").select("case_id", G, h(F.lit(1), d, r).alias("rd"), h(b).alias("key"), "r", F.col("t").alias(V), *told))
         parts = [cut(x) for x in parts] if len(parts) > 1 else parts
-        counted = _union(parts).groupBy("case_id", G, "rd", "key", "r", V).agg(F.count(F.lit(1)).alias("times"))
+        return _union(parts), soft
+
+    def histogram(self, cases: DataFrame) -> DataFrame:
+        """(case_id, rd, key, pred, bin, w); ``cases`` has ex, case_id and viewpoints (null: every vertex)."""
+        ends, soft = self._ends(cases)
+        counted = ends.groupBy("case_id", G, "rd", "key", "r", V).agg(F.count(F.lit(1)).alias("times"))
         return counted.join(soft, [G, V, "r"]).groupBy("case_id", "rd", "key", "pred", "bin").agg(F.sum(F.col("w") * F.col("times")).alias("w"))
 
     def features(self, cases: DataFrame) -> DataFrame:
         """(case_id, feature, value): the sparse vectors."""
         return vectors(self.histogram(cases), self.options)
 
+    def explain(self, cases: DataFrame) -> DataFrame:
+        """(feature, text): every feature of the cases with all that was hashed to it, as distinct pairs.
+
+        The text names distance and radius, the near and the far neighbourhood, and the attribute, each as it was before hashing. It is made
+        where the hash is, so two texts of one feature are a collision. Not for the unary features of the minimum kernel,
+        whose number is that of the values.
+        """
+        if self.options.min_kernel:
+            raise ValueError("the features of the minimum kernel number its values; explain the histogram instead")
+        traced = self if self.traced else Kernel(self.graph, self.options, traced=True)
+        ends, soft = traced._ends(cases)
+        # vertices of one text and attribute are many: pairs shrink before texts are put together
+        pairs = ends.select(G, "rd", "key", "r", V, "d", "near", "far").distinct().join(soft.drop("w"), [G, V, "r"])
+        pairs = pairs.select("rd", "key", "r", "d", "near", "far", "pred", "bin", "pred_text", "bin_text").distinct()
+        feature = hash_list(F.array("rd", "key", "pred", "bin", F.lit(0).cast("bigint")), self.mask)
+        # keys that don't tell the ends of a pair apart name them in order; a centre with itself is named once
+        either = self.options.variant not in ("alnspdk", "nspdk3d", *PAIR_KEYS)
+        sides = F.array_sort(F.array("near", "far")) if either else F.array("near", "far")
+        alone = F.col("near") if self.options.variant != "mnspdk" else F.concat_ws(" ~ ", "near", "near")
+        nodes = F.when(F.col("near").isNull(), F.concat(F.lit("~ "), F.col("far"))).when(F.col("d") == 0, alone).otherwise(F.concat_ws(" ~ ", sides))
+        step = F.lit("") if self.options.variant == "gnspdk" else F.concat(F.lit("d"), F.col("d").cast("string"), F.lit(" "))
+        text = F.concat(step, F.lit("r"), F.col("r").cast("string"), F.lit(" "), nodes, F.coalesce(F.concat(F.lit(" ; "), F.col("pred_text"), F.lit(" ; "), F.col("bin_text")), F.lit("")))
+        return pairs.select(feature.alias("feature"), text.alias("text")).distinct()
+
+
+def collisions(texts: DataFrame) -> DataFrame:
+    """(feature, n, first, last): features that several texts share, from pairs (feature, text)."""
+    return texts.groupBy("feature").agg(F.count_distinct("text").alias("n"), F.min("text").alias("first"), F.max("text").alias("last")).filter("n > 1")
+
 
 def vectors(hist: DataFrame, options: KernelOptions) -> DataFrame:
     """Histograms to sparse vectors: normalised, raw, or unary for the minimum kernel.

@@ -13,6 +13,7 @@ from ..functions.hashing import hash_list, hash_string, sql_hash_list, sql_hash_
 from ..operators import cases as case_ops
 from ..operators import deduce, integrity, liveness, metrics, models, paths, relational, splits
 from ..operators import graph as graph_ops
+from ..operators.goals import Rule, Var, absent, goal, holds, let, member, solve
 from ..operators.graph import Graph, build_graph
 from ..operators.kernels import Kernel, ghost_features, remap
 from ..schema import Domain
@@ -137,6 +138,71 @@ def histogram2(spark, sf_dir):
     return relational.histogram(rows, ["a", "b"], F.col("l_quantity"))
 
 
+# -- rules as lists of goals -----------------------------------------------------------------------------------
+
+A, B, C, D, L, N, O, P, Q, S, W = map(Var, "ABCDLNOPQSW")
+
+
+def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {n: load(spark, sf_dir, n) for n in ("region", "nation", "supplier", "customer", "part", "orders", "lineitem")}
+
+
+@query(f"WITH {BASE} SELECT ex, customer, supplier FROM sends_back")
+def goals_rule(spark, sf_dir):
+    """The derived relation of the trade domain, its rule given as goals."""
+    rule = Rule({"customer": C, "supplier": S}, (goal("returned", customer=C, supplier=S), goal("customer", customer_id=C), goal("supplier", supplier_id=S)))
+    d = trade_domain(rule)
+    return deduce.deduce(d, base_tables(spark, sf_dir))["sends_back"]
+
+
+@query("""SELECT DISTINCT o_custkey AS customer, l_suppkey AS supplier FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey = c_nationkey AND o_orderstatus = 'F'""")
+def goals_chain(spark, sf_dir):
+    body = (goal("supplier", s_suppkey=S, s_nationkey=N), goal("lineitem", l_orderkey=O, l_suppkey=S), goal("customer", c_custkey=C, c_nationkey=N), goal("orders", o_orderkey=O, o_custkey=C, o_orderstatus="F"))
+    return solve(body, star_tables(spark, sf_dir), {"customer": C, "supplier": S})
+
+
+@query("""SELECT c_custkey AS customer, c_mktsegment AS segment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+WHERE o_custkey = c_custkey AND l_returnflag = 'R' AND l_quantity > 25)""")
+def goals_negation(spark, sf_dir):
+    """A negated conjunction, with variables of its own and a comparison inside; it is written before the fact that binds its variable."""
+    body = (absent(goal("orders", o_orderkey=O, o_custkey=C), goal("lineitem", l_orderkey=O, l_returnflag="R", l_quantity=Q), holds(lambda q: q > 25, Q)), goal("customer", c_custkey=C, c_mktsegment=S))
+    return solve(body, star_tables(spark, sf_dir), {"customer": C, "segment": S})
+
+
+@query("SELECT DISTINCT a.l_suppkey AS supplier_a, b.l_suppkey AS supplier_b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey")
+def goals_selfjoin(spark, sf_dir):
+    body = (holds(lambda a, b: a < b, A, B), goal("lineitem", l_orderkey=O, l_suppkey=A), goal("lineitem", l_orderkey=O, l_suppkey=B))
+    return solve(body, star_tables(spark, sf_dir), {"supplier_a": A, "supplier_b": B})
+
+
+@query("""SELECT DISTINCT s_suppkey AS supplier, 'late' AS kind FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+WHERE l_suppkey = s_suppkey AND o_orderpriority = '1-URGENT' AND date_diff('day', o_orderdate::DATE, l_shipdate::DATE) > 100)""")
+def goals_computed(spark, sf_dir):
+    """A computed value and a constant in the head."""
+    body = (let(D, lambda a, b: F.datediff(b, a), A, B), holds(lambda d: d > 100, D), goal("orders", o_orderkey=O, o_orderpriority="1-URGENT", o_orderdate=A), goal("lineitem", l_orderkey=O, l_suppkey=S, l_shipdate=B), goal("supplier", s_suppkey=S))
+    return solve(body, star_tables(spark, sf_dir), {"supplier": S, "kind": "late"})
+
+
+@query("""WITH w AS (SELECT DISTINCT p_partkey AS part, p_brand AS brand, unnest(string_split(p_name, ' ')) AS word FROM part)
+SELECT DISTINCT a.part, a.word FROM w a JOIN w b ON a.brand = b.brand AND a.word = b.word AND a.part <> b.part""")
+def goals_member(spark, sf_dir):
+    """Words that a part's name shares with another part of its brand: elements of computed lists."""
+    words = lambda name: F.split(name, " ")
+    body = (goal("part", p_partkey=A, p_brand=D, p_name=N), goal("part", p_partkey=B, p_brand=D, p_name=P), holds(lambda a, b: a != b, A, B), let(L, words, N), let(Q, words, P), member(W, L), holds(F.array_contains, Q, W))
+    return solve(body, star_tables(spark, sf_dir), {"part": A, "word": W})
+
+
+@query("""SELECT 'supplier' AS kind, s_suppkey AS id FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal < 0 AND n_regionkey = 1
+UNION SELECT 'customer', c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal < 0 AND n_regionkey = 1""")
+def goals_clauses(spark, sf_dir):
+    """Two clauses of one head."""
+    home, debt = goal("nation", n_nationkey=N, n_regionkey=1), holds(lambda a: a < 0, A)
+    tables = star_tables(spark, sf_dir)
+    parts = [solve((goal(t, **{f"{t[0]}_{k}": S, f"{t[0]}_nationkey": N, f"{t[0]}_acctbal": A}), home, debt), tables, {"kind": t, "id": S}) for t, k in (("supplier", "suppkey"), ("customer", "custkey"))]
+    return deduce.union_of(*parts)
+
+
 # -- catalogue and integrity -------------------------------------------------------------------------------
 
 

@@ -56,9 +56,9 @@ def suppliers_domain() -> Domain:
     return d.close(["nation", "supplier"])
 
 
-def trade_domain() -> Domain:
+def trade_domain(rule=sends_back) -> Domain:
     d = Domain("trade").entity("nation", "nation_id:self", "name:property").entity("supplier", "supplier_id:self", "band:property", "balance:property").entity("customer", "customer_id:self", "segment:property")
     d.relationship("supp_in", "supplier:supplier", "nation:nation").relationship("cust_in", "customer:customer", "nation:nation")
-    d.intensional("sends_back", "customer:customer@buyer", "supplier:supplier@seller", rule=sends_back, depends_on=("returned", "customer", "supplier"))
+    d.intensional("sends_back", "customer:customer@buyer", "supplier:supplier@seller", rule=rule, depends_on=("returned", "customer", "supplier"))
     d.helpers["returned"] = ()
     return d.close(["nation", "supplier", "customer"])
