@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import KernelOptions, SessionOptions
 from ..operators import cases as case_ops
 from ..operators import integrity, liveness, metrics, splits
+from ..operators.cache import VectorCache
 from ..operators.deduce import cut, deduce, signature_counts
 from ..operators.graph import Graph, build_graph
 from ..operators.kernels import Kernel, ghost_features, remap
@@ -44,7 +45,9 @@ class Timers:
 class Dataset:
     """Attach tables or fact files to a domain; everything after is lazy until asked for."""
 
-    def __init__(self, domain: Domain, tables: dict[str, DataFrame], options: SessionOptions | None = None):
+    def __init__(self, domain: Domain, tables: dict[str, DataFrame], options: SessionOptions | None = None, cache: str | None = None):
+        """``cache`` is a shared folder: vectors of cases whose part of the graph has not changed are taken from there."""
+        self.cache = cache
         self.domain, self.given, self.options, self.timers = domain, tables, options or SessionOptions(), Timers()
         with self.timers.time("plan"):
             repaired = integrity.check_and_repair(domain, deduce(domain, tables, keep=True), self.options.referential_integrity_repair)
@@ -87,7 +90,8 @@ class Dataset:
         liveness.check_target(self.domain, target)
         killed = sorted(liveness.dependents(self.domain, target) - set(self.domain.entities))
         log.info("dead for %s: %s", target, killed)
-        found = Kernel(self.graph.kill(killed), options).features(cases)
+        graph = self.graph.kill(killed)
+        found = VectorCache(cases.sparkSession, f"{self.cache}/{target}").features(graph, cases, options) if self.cache else Kernel(graph, options).features(cases)
         for name in sorted(self.domain.signatures):
             s = self.domain.signatures[name]
             if s.ghost and s.property_columns and s.references == self.domain.signatures[target].references:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,10 @@ from ..functions.hashing import hash_list, hash_string, sql_hash_list, sql_hash_
 from ..operators import cases as case_ops
 from ..operators import deduce, integrity, liveness, metrics, models, paths, relational, splits
 from ..operators import graph as graph_ops
+from ..operators.cache import VectorCache, graph_fingerprints
 from ..operators.goals import Rule, Var, absent, goal, holds, let, member, solve
 from ..operators.graph import Graph, build_graph
-from ..operators.kernels import Kernel, ghost_features, remap
+from ..operators.kernels import Kernel, collisions, ghost_features, remap
 from ..schema import Domain
 from ..sources import facts as fact_ops
 from ..sources import sinks
@@ -541,6 +543,47 @@ def remap_indices(spark, sf_dir):
     return remap(Kernel(g, KernelOptions(radius=1, distance=2)).features(_supplier_cases(g))).withColumn("value", F.round("value", 6))
 
 
+@query(f"""WITH {hist_sql(match_type='hard', radius=1, distance=2)}, child AS (SELECT le.g, le.src AS vid, list_sort(list(c.label || '-' || le.role)) AS k FROM le JOIN lv c ON c.g = le.g AND c.vid = le.dst GROUP BY 1, 2),
+t AS (SELECT g, vid, 0 AS r, label AS text FROM lv UNION ALL SELECT lv.g, lv.vid, 1, label || ':' || array_to_string(coalesce(k, []), '.') FROM lv LEFT JOIN child ON child.g = lv.g AND child.vid = lv.vid)
+SELECT DISTINCT {sql_hash_list('[rd, key, 1, 1, 0]')} AS feature, 'd' || d || ' r' || p.r || ' ' || CASE WHEN d = 0 THEN a.text ELSE least(a.text, b.text) || ' ~ ' || greatest(a.text, b.text) END AS text
+FROM (SELECT DISTINCT g, s AS near, t AS far, d, r, rd, key FROM pairs) p JOIN t a ON a.g = p.g AND a.vid = p.near AND a.r = p.r JOIN t b ON b.g = p.g AND b.vid = p.far AND b.r = p.r""")
+def feature_texts(spark, sf_dir):
+    """What every feature of nspdk_hard_r1 stands for."""
+    g = _suppliers(spark, sf_dir)
+    return Kernel(g, KernelOptions(match_type="hard", radius=1, distance=2)).explain(_supplier_cases(g))
+
+
+@query(f"""WITH {hist_sql(match_type='hard', radius=1, distance=2)}, child AS (SELECT le.g, le.src AS vid, list_sort(list(c.label || '-' || le.role)) AS k FROM le JOIN lv c ON c.g = le.g AND c.vid = le.dst GROUP BY 1, 2),
+t AS (SELECT g, vid, 0 AS r, label AS text FROM lv UNION ALL SELECT lv.g, lv.vid, 1, label || ':' || array_to_string(coalesce(k, []), '.') FROM lv LEFT JOIN child ON child.g = lv.g AND child.vid = lv.vid),
+m AS (SELECT *, {sql_hash_string("text", 63)} AS code FROM t), q AS (SELECT DISTINCT p.d, p.r, a.text AS x, b.text AS y, a.code AS u, b.code AS w FROM pairs p JOIN m a ON a.g = p.g AND a.vid = p.s AND a.r = p.r JOIN m b ON b.g = p.g AND b.vid = p.t AND b.r = p.r),
+o AS (SELECT {sql_hash_list(f"[{sql_hash_list('[d, r]', 63)}, CASE WHEN d = 0 THEN {sql_hash_list('[u]', 63)} ELSE {sql_hash_list('[least(u, w), greatest(u, w)]', 63)} END, 1, 1, 0]", 63)} AS feature,
+'d' || d || ' r' || r || ' ' || CASE WHEN d = 0 THEN x ELSE least(x, y) || ' ~ ' || greatest(x, y) END AS text FROM q)
+SELECT feature, count(DISTINCT text) AS n, min(text) AS first, max(text) AS last FROM o GROUP BY 1 HAVING count(DISTINCT text) > 1""")
+def feature_collisions(spark, sf_dir):
+    """The features of a space of 64 that several neighbourhoods share."""
+    g = _suppliers(spark, sf_dir)
+    return collisions(Kernel(g, KernelOptions(match_type="hard", radius=1, distance=2, hash_bit_mask=63)).explain(_supplier_cases(g)))
+
+
+@query(features_sql(match_type="hard", radius=1, distance=2))
+def cached_vectors(spark, sf_dir):
+    """Vectors stored for a graph without the edges of one region, then asked for of the whole one: only that region's cases are computed again."""
+    g = _suppliers(spark, sf_dir)
+    deduce.ensure_checkpoint_dir(spark)
+    cache = VectorCache(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/vectors-{uuid.uuid4().hex}")
+    options = KernelOptions(match_type="hard", radius=1, distance=2)
+    cache.features(Graph(g.vertices, g.edges.filter("ex != '1'")), _supplier_cases(g), options)
+    return cache.features(g, _supplier_cases(g), options).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {graph_sql()}, texts AS (SELECT ex, concat_ws(chr(31), vid, sig, kind, is_kp, array_to_string(syms, ','), coalesce(array_to_string(list_transform(nums, lambda x: x::VARCHAR), ','), '')) AS text FROM v
+UNION ALL SELECT ex, concat_ws(chr(31), src, dst, role) FROM e),
+p AS (SELECT ex, count(*) AS n, sum(('0x' || substr(md5(text), 1, 13))::BIGINT) AS low, sum(('0x' || substr(md5(text), 14, 13))::BIGINT) AS high FROM texts GROUP BY ex)
+SELECT ex, n, md5(n || chr(31) || low || chr(31) || high) AS fingerprint FROM p""")
+def fingerprints(spark, sf_dir):
+    return graph_fingerprints(_suppliers(spark, sf_dir))
+
+
 @query(f"WITH {hist_sql(match_type='soft', radius=1, distance=1)} SELECT case_id, rd, key, pred, bin, round(w, 4) AS w FROM h")
 def kernel_histogram(spark, sf_dir):
     g = _suppliers(spark, sf_dir)
