@@ -75,10 +75,11 @@ class SgdOptions(_Options):
     """Options of the stochastic-gradient models."""
 
     loss: str = _option("hinge", "loss function", ("hinge", "log", "exponential", "squared", "epsilon"))
-    epochs: int = _option(5, "passes over the training cases", lambda x: x > 0)
+    epochs: int = _option(5, "passes over the training cases; of a block in a round where folds train together", lambda x: x > 0)
     lambda_: float = _option(0.001, "weight of the regulariser", lambda x: x > 0)
     lossratio: float = _option(1.0, "factor on the gradients of negative cases", lambda x: x > 0)
     seed: int = _option(1, "seed of the one shuffle")
+    tolerance: float = _option(0.01, "gap to the optimum, relative to the cost, at which folds that train together end", lambda x: x > 0)
 
 
 @dataclass(frozen=True)
