@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import Domain, SchemaError
+from .lineage import Lineage
 
 EX, SLICE = "ex", "slice"
 
@@ -57,8 +58,8 @@ class _Reading(Mapping):
 def deduce(domain: Domain, tables: dict[str, DataFrame], keep: bool = False) -> dict[str, DataFrame]:
     """All tables of the domain: the given ones with set semantics, and the derived ones.
 
-    What a rule reads is evaluated first, declared or not, and noted in ``domain.captured``, so that nothing derived from a target is
-    overlooked. With ``keep`` derived tables are checkpointed, so that what reads them several times (a graph, other rules) runs their joins once.
+    What a rule reads is evaluated first, declared or not, and noted in ``domain.captured``, as are the tables that its plan shows to take
+    part, so that nothing derived from a target is overlooked. With ``keep`` derived tables are checkpointed, so that what reads them several times (a graph, other rules) runs their joins once.
     """
     out, doing = dict(tables), []
     for name in domain.extensional_signatures:
@@ -66,6 +67,7 @@ def deduce(domain: Domain, tables: dict[str, DataFrame], keep: bool = False) ->
     known = [*out, *(n for n in domain.intensional_signatures if n not in out)]
     for name in domain.intensional_signatures:
         out.pop(name, None)
+    plans: dict[str, DataFrame] = {}
 
     def table(name: str) -> DataFrame:
         if name in out:
@@ -83,12 +85,21 @@ def deduce(domain: Domain, tables: dict[str, DataFrame], keep: bool = False) ->
         domain.captured[name] = reading.seen
         keys = [EX, *([SLICE] if SLICE in found.columns else [])]
         found = found.select(*keys, *[c.name for c in s.columns]).dropDuplicates()
+        plans[name] = found
         out[name] = cut(found) if keep else found
         doing.remove(name)
         return out[name]
 
     for name in evaluation_order(domain):
         table(name)
+    # plans are compared when all are known: a rule may hold what another one derives, whichever comes first
+    lineage = Lineage(tables)
+    for name, df in (out | plans).items():
+        lineage.add(name, df)
+        if keep and name in plans:
+            lineage.add(name, out[name])
+    for name, df in plans.items():
+        domain.captured[name] |= lineage.reads(df, name)
     return out
 
 

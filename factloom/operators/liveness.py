@@ -10,7 +10,7 @@ from .deduce import SLICE, names_in
 
 
 def calls(domain: Domain) -> dict[str, set[str]]:
-    """Which tables each rule reads: those its SQL or its goals name, those it was seen to read, and those declared; helpers are named in ``domain.helpers``."""
+    """Which tables each rule reads: those its SQL or its goals name, those it was seen to read or its plan shows, and those declared; helpers are named in ``domain.helpers``."""
     found = {s.name: set(s.depends_on) | domain.captured.get(s.name, set()) | (names_in(s.rule) if isinstance(s.rule, str) else getattr(s.rule, "reads", set())) for s in domain.signatures.values()}
     for name, reads in domain.helpers.items():
         found.setdefault(name, set()).update(reads)

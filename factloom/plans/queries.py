@@ -285,6 +285,25 @@ def _suppliers(spark, sf_dir) -> Graph:
     return build_graph(suppliers_domain(), base_tables(spark, sf_dir))
 
 
+@query(f"WITH {graph_sql(trade=True)} SELECT ex, sig, count(*) AS n FROM v WHERE sig NOT IN ('sends_back', 'customer', 'supplier') GROUP BY ALL")
+def leak_killed(spark, sf_dir):
+    """The living vertices when sends_back is the target, beside a rule whose function holds that relation and names no table.
+
+    What it is derived from is dead (customers and suppliers that no declaration calls safe), and so is what the rule derives.
+    """
+    tables = base_tables(spark, sf_dir)
+    held = deduce.deduce(trade_domain(), tables)["sends_back"]
+    d = Domain("leaky")
+    for s in trade_domain().signatures.values():
+        d.add(s)
+    d.intensional("partner", "customer:customer", "supplier:supplier", rule=lambda _: held.select("ex", "customer", "supplier"))
+    d.helpers["returned"] = ()
+    d.close(["nation", "supplier", "customer"])
+    found = deduce.deduce(d, tables, keep=True)
+    dead = liveness.dependents(d, "sends_back")
+    return build_graph(d, found).kill(sorted(dead)).living().vertices.groupBy("ex", "sig").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH {graph_sql(trade=True)} SELECT ex, vid, sig, kind, sym_id, syms, nums, is_kp, true AS alive FROM v")
 def vertices(spark, sf_dir):
     return _trade(spark, sf_dir).vertices.drop("slice")
