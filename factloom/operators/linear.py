@@ -261,3 +261,18 @@ def cross_validated(features: DataFrame, cases: DataFrame, options: SgdOptions,
     weights, _ = train_folds(features, cases, options, folds)
     found = margins(features, cases, weights)
     return cases.join(found, "case_id").select(F.col("fold").cast("int").alias("fold"), "case_id", "prediction", F.col("label").cast("double").alias("label"))
+
+
+def one_versus_rest(features: DataFrame, cases: DataFrame, options: SgdOptions, folds: list[int], most: int = 1000) -> DataFrame:
+    """(fold, case_id, prediction, label): the class whose model against all others has the largest margin; ties go to the smaller label."""
+    classes = [r.label for r in cases.select("label").distinct().orderBy("label").limit(most + 1).collect()]
+    if len(classes) > most:
+        raise ValueError(f"more than {most} classes")
+    found = None
+    for c in classes:
+        own = cross_validated(features, cases.withColumn("label", F.when(F.col("label") == c, 1.0).otherwise(-1.0)), options, folds).select("fold", "case_id", "prediction", F.lit(c).alias("class"))
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        return cross_validated(features, cases, options, folds)
+    said = found.groupBy("case_id").agg(F.max_by("class", F.struct("prediction", (-F.col("class")).alias("_c"))).alias("prediction"))
+    return cases.join(said, "case_id").select(F.col("fold").cast("int").alias("fold"), "case_id", "prediction", F.col("label").cast("double").alias("label"))

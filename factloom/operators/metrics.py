@@ -27,25 +27,26 @@ def confusion(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
     return preds.groupBy(*(by or []), "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_report(preds: DataFrame) -> DataFrame:
+def class_report(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
     """label, n, tp, fp, fn, tn, accuracy, precision, recall, f1 of every class; a class that is never predicted has no precision."""
-    cells = confusion(preds)
-    everything = Window.partitionBy()
-    both = cells.select(F.col("label").alias("c"), F.col("n").alias("true"), F.lit(0).cast("bigint").alias("said"), F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0).alias("tp")).unionByName(
-        cells.select(F.col("prediction").alias("c"), F.lit(0).cast("bigint").alias("true"), F.col("n").alias("said"), F.lit(0).cast("bigint").alias("tp"))
+    by = by or []
+    cells = confusion(preds, by)
+    everything = Window.partitionBy(*by)
+    both = cells.select(*by, F.col("label").alias("c"), F.col("n").alias("true"), F.lit(0).cast("bigint").alias("said"), F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0).alias("tp")).unionByName(
+        cells.select(*by, F.col("prediction").alias("c"), F.lit(0).cast("bigint").alias("true"), F.col("n").alias("said"), F.lit(0).cast("bigint").alias("tp"))
     )
-    rows = both.groupBy(F.col("c").alias("label")).agg(F.sum("true").alias("n"), F.sum("said").alias("_said"), F.sum("tp").alias("tp")).withColumn("_all", F.sum("n").over(everything))
+    rows = both.groupBy(*by, F.col("c").alias("label")).agg(F.sum("true").alias("n"), F.sum("said").alias("_said"), F.sum("tp").alias("tp")).withColumn("_all", F.sum("n").over(everything))
     rows = rows.withColumns({"fp": F.col("_said") - F.col("tp"), "fn": F.col("n") - F.col("tp")}).withColumn("tn", F.col("_all") - F.col("tp") - F.col("fp") - F.col("fn"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return rows.select("label", "n", "tp", "fp", "fn", "tn", ((tp + F.col("tn")) / F.col("_all")).alias("accuracy"), _share(tp, tp + fp).alias("precision"), _share(tp, tp + fn).alias("recall"), _share(2 * tp, 2 * tp + fp + fn).alias("f1"))
+    return rows.select(*by, "label", "n", "tp", "fp", "fn", "tn", ((tp + F.col("tn")) / F.col("_all")).alias("accuracy"), _share(tp, tp + fp).alias("precision"), _share(tp, tp + fn).alias("recall"), _share(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-def multiclass_report(preds: DataFrame) -> DataFrame:
+def multiclass_report(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
     """error (percent), and precision, recall and f1 as averages over classes: macro, and weighted by class size."""
-    rows = class_report(preds)
+    rows = class_report(preds, by)
     known = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     names = ("precision", "recall", "f1")
-    return rows.agg(
+    return rows.groupBy(*(by or [])).agg(
         (100 * (1 - F.sum("tp") / F.sum("n"))).alias("error"), *[F.avg(known(c)).alias(f"macro_{c}") for c in names], *[(F.sum(known(c) * F.col("n")) / F.sum("n")).alias(f"weighted_{c}") for c in names]
     )
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 import logging
 import time
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import KernelOptions, SessionOptions
 from ..operators import cases as case_ops
-from ..operators import integrity, liveness, metrics, splits
+from ..operators import integrity, liveness, metrics, splits, tasks
 from ..operators.cache import VectorCache
 from ..operators.deduce import cut, deduce, signature_counts
 from ..operators.graph import Graph, build_graph
@@ -118,10 +119,35 @@ class Dataset:
         """Writes the facts that predictions above the threshold induce, ready to be attached again."""
         sinks.induced_lines(metrics.induced(preds, self.options.pthreshold)).write.text(path)
 
-    def kfold(self, target: str, k: int, kernel: KernelOptions, model: str, reject=None, folds: DataFrame | None = None, **options) -> DataFrame:
-        """Predictions of a k-fold cross-validation over interpretations."""
-        check_ability(model, "binary", **options)  # the cases of a target say whether its tuple exists
-        cases = cut(self.cases(target, reject))
-        features = self.features(target, cases, kernel)
-        folds = folds if folds is not None else splits.kfold(self.interpretations(), k, self.options.kfold_random_seed)
-        return cross_validate(features, cases, folds, model, **options)
+    def tasks(self, target: str) -> list[tasks.Task]:
+        """What there is to learn of a target: each of its properties, or whether its tuples exist."""
+        return tasks.tasks(self.domain, self.tables, target)
+
+    def kfold(self, target: str, k: int, kernel: KernelOptions, model: str | None = None, reject=None, folds: DataFrame | None = None, column: str | None = None, **options) -> DataFrame:
+        """Predictions of a k-fold cross-validation over interpretations; ``column`` names the property where a target has several."""
+        found = [t for t in self.tasks(target) if column in (None, t.column)]
+        if len(found) != 1:
+            raise ValueError(f"{target} has the tasks {[t.column for t in self.tasks(target)]}; column={column!r} names {'none' if not found else 'several'}")
+        return self.kfold_tasks(target, k, kernel, {found[0].kind: model} if model else None, reject, folds, found, **options)[found[0].column]
+
+    def kfold_tasks(self, target: str, k: int, kernel: KernelOptions, models: dict[str, str] | None = None, reject=None, folds: DataFrame | None = None, chosen: list[tasks.Task] | None = None, **options) -> dict[str, DataFrame]:
+        """Predictions for each task of a target by its column; ``models`` names the model of a kind. All tasks share one table of features."""
+        chosen = chosen if chosen is not None else self.tasks(target)
+        named = {t.column: (models or {}).get(t.kind, tasks.MODELS[t.kind]) for t in chosen}
+        for t in chosen:
+            check_ability(named[t.column], t.kind, **options)
+        cases = cut(case_ops.candidates(self.domain, self.tables, target))
+        labels = {t.column: cut(case_ops.reject(tasks.labelled(self.domain, self.tables, t, cases), reject)) for t in chosen}
+        # features of cases that have a label in some task
+        wanted = cases if not all(t.column for t in chosen) else cases.join(reduce(DataFrame.union, [rows.select("case_id") for rows in labels.values()]).distinct(), "case_id", "left_semi")
+        features = self.features(target, wanted, kernel)
+        features = cut(features) if len(chosen) > 1 else features
+        folds = folds if folds is not None else self.folds(k)
+        return {t.column: cross_validate(features, labels[t.column], folds, named[t.column], **options) for t in chosen}
+
+    def folds(self, k: int) -> DataFrame:
+        return splits.kfold(self.interpretations(), k, self.options.kfold_random_seed)
+
+    def write_results(self, preds: DataFrame, task: tasks.Task, folds: DataFrame, path: str) -> None:
+        """Predictions with class names, target lists and evaluations as files a fold."""
+        tasks.write_results(preds, task, folds, path)

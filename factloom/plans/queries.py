@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import KernelOptions
+from ..config import KernelOptions, SgdOptions
 from ..functions import algebra, strings
 from ..functions.hashing import hash_list, hash_string, sql_hash_list, sql_hash_string
 from ..operators import cases as case_ops
-from ..operators import deduce, integrity, liveness, metrics, models, paths, relational, splits
+from ..operators import deduce, integrity, linear, liveness, metrics, models, paths, relational, splits
 from ..operators import graph as graph_ops
 from ..operators.cache import VectorCache, graph_fingerprints
 from ..operators.goals import Rule, Var, absent, goal, holds, let, member, solve
@@ -22,6 +23,7 @@ from ..schema import Domain
 from ..sources import facts as fact_ops
 from ..sources import sinks
 from ..sources.trade import base_tables, load, suppliers_domain, trade_domain
+from .dataset import Dataset
 from .sql import BASE, features_sql, graph_sql, hist_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -859,6 +861,31 @@ def sgd_svm_cv(spark, sf_dir):
     return _learn(spark, sf_dir, "svm_sgd", epochs=12, lambda_=1e-4, lossratio=0.2)
 
 
+@query("""WITH x AS (SELECT o_orderkey % 5 AS fold, o_totalprice / 1e5 AS a, year(o_orderdate) - 1995.0 AS b, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS y FROM orders),
+s AS (SELECT f.fold, count(*) AS n, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS byy FROM x JOIN (SELECT DISTINCT fold FROM x) f ON f.fold <> x.fold GROUP BY 1),
+r AS (SELECT fold, aa + 0.5 * n AS p, ab AS q, bb + 0.5 * n AS r, ay, byy FROM s)
+SELECT fold::INTEGER AS fold, unnest([1, 2])::BIGINT AS feature, round(unnest([(r * ay - q * byy) / (p * r - q * q), (p * byy - q * ay) / (p * r - q * q)]), 4) AS weight FROM r""")
+def ridge_folds(spark, sf_dir):
+    """Least squares with a regulariser on every order, a model a fold, all folds trained together; SQL solves the normal equations."""
+    rows = load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("case_id"), (F.col("o_orderkey") % 5).cast("int").alias("fold"), (F.col("o_totalprice") / 1e5).alias("a"), (F.year("o_orderdate") - 1995).cast("double").alias("b"), F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("label"))
+    cells = rows.select("case_id", F.posexplode(F.array("a", "b")).alias("k", "value")).select("case_id", (F.col("k") + 1).cast("bigint").alias("feature"), "value")
+    cases = rows.select("case_id", "label", "fold", F.lit(False).alias("rejected"))
+    weights, _ = linear.train_folds(cells, cases, SgdOptions(loss="squared", lambda_=0.5, tolerance=1e-11, epochs=2), list(range(5)))
+    return weights.withColumn("weight", F.round("weight", 4))
+
+
+@query(None)
+def property_cv(spark, sf_dir):
+    """Both properties of suppliers' homes, a three-class one and a number, cross-validated over regions on one table of features."""
+    tables = base_tables(spark, sf_dir)
+    suppliers = tables["supplier"].select("ex", "supplier_id", F.when(F.col("balance") < 2000, "low").when(F.col("balance") < 6000, "fair").otherwise("high").alias("band"), "balance")
+    home = tables["supp_in"].join(suppliers.withColumnRenamed("supplier_id", "supplier"), ["ex", "supplier"]).select("ex", "supplier", "nation", F.col("band").alias("standing"), (F.col("balance") / 10000).alias("score"))
+    d = Domain("homes").entity("nation", "nation_id:self").entity("supplier", "supplier_id:self", "band:property").relationship("home", "supplier:supplier", "nation:nation", "standing:property", "score:property")
+    data = Dataset(d.close(["nation", "supplier"]), {"nation": tables["nation"].select("ex", "nation_id"), "supplier": suppliers.select("ex", "supplier_id", "band"), "home": home})
+    found = data.kfold_tasks("home", 5, KernelOptions(match_type="soft", radius=1, distance=2), lambda_=0.01)
+    return reduce(DataFrame.unionByName, [preds.withColumn("column", F.lit(c)) for c, preds in sorted(found.items())])
+
+
 @query(None)
 def lr_sgd_cv(spark, sf_dir):
     return _learn(spark, sf_dir, "lr_sgd")

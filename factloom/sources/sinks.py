@@ -68,8 +68,9 @@ def viewpoint_ball(graph: Graph, viewpoints: DataFrame, radius: int) -> Graph:
 
 def fold_lists(folds: DataFrame, column: str = EX) -> DataFrame:
     """(fold, part, id): the test ids of each fold, and all others as its training ids."""
-    turns = folds.select(F.col("fold").alias("turn")).distinct()
-    rows = folds.join(F.broadcast(turns), F.lit(True))  # folds are few
+    from ..operators.models import turns_of
+
+    rows = folds.withColumn("turn", F.explode(F.array(*[F.lit(t) for t in turns_of(folds)])))
     return rows.select(F.col("turn").alias("fold"), F.when(F.col("fold") == F.col("turn"), "test").otherwise("train").alias("part"), F.col(column).alias("id"))
 
 
