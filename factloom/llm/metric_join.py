@@ -12,9 +12,10 @@ in their distance from p.
 * First every set is measured against its home, the pivot most of its shingles elect; what lies within EPS of it is linked. A region whose
   members are of one component then has nothing more to tell, and is not looked at again.
 * In the others, distances from the pivot make windows: a set is compared with sets of the window that the triangle inequality
-  leaves, and with those of other components only. A region too large for a task is cut into Voronoi cells of further pivots drawn from its
+  leaves, and with those of other components only; sets that share too few members with other components leave first. A region too large for a task is cut into Voronoi cells of further pivots drawn from its
   members: a set goes to the cell of its nearest pivot, and to all others whose distance is at most 2 EPS larger; cells are cut again until
-  they fit. Cells of sets that lie equally far from all pivots don't shrink; such a region meets block by block.
+  they fit. Sets that lie equally far from all pivots would go to every cell; such a region stays whole and meets block by block.
+* Before each of these steps a region loses the sets that share too few of their shown shingles with other components there.
 
 The order of rarity comes from the counts of a hashed share of the documents; it changes the cost alone, as any order that all documents use
 gives the same links.
@@ -41,7 +42,7 @@ SHARE, COMMON, KNOWN = 16, 4, 1 << 19
 #: How many shown shingles two linked sets share at least: VOTES, and one more for every EACH shingles of the smaller.
 VOTES, EACH = 4, 50
 #: Sets and bytes of sets that a task compares at once; pivots that cut a larger region; how often it is cut before its blocks meet.
-BLOCK, BLOCK_BYTES, PIVOTS, CUTS = 1000, 16_000_000, 24, 3
+BLOCK, BLOCK_BYTES, PIVOTS, CUTS = 1000, 16_000_000, 24, 2
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -96,7 +97,7 @@ def signed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     @tidy
     def sign(arrow):
         known, levels = shared.value
-        for doc_id, text in batches(arrow, ["a", "b"], 256):
+        for doc_id, text in batches(arrow, ["a", "b"], 64):
             sets = [shingle_set(t, k) for t in text]
             rare = []
             for s in sets:
@@ -119,9 +120,7 @@ def signed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
 def elected(classes: DataFrame, percent: int) -> DataFrame:
     """(pivot, node, votes): the regions that each class (node, n, rare) lies in. Stored; what can have no link is left out."""
     least = F.expr(f"least(n, n - int((2L * {percent} * n + {99 + percent}) / {100 + percent}) + {VOTES} + int(n / {EACH}))")
-    partner = F.ceil(percent * F.col("n") / 100)  # no set that links with one of n is smaller
-    share = F.least(VOTES + F.floor(partner / EACH), partner).cast("int").alias("share")
-    entries = classes.filter("rare is not null").select("node", F.posexplode("rare").alias("at", "s"), least.alias("_least"), share).select("node", "s", (F.col("at") < F.col("_least")).cast("int").alias("lesser"), "share")
+    entries = classes.filter("rare is not null").select("node", F.posexplode("rare").alias("at", "s"), least.alias("_least"), _share(percent)).select("node", "s", (F.col("at") < F.col("_least")).cast("int").alias("lesser"), "share")
     before = None
     while True:
         # a shingle that one set shows, or none as the smaller of two, links nothing
@@ -156,34 +155,83 @@ def linked(both: np.ndarray, sizes: np.ndarray, n: int, percent: int) -> np.ndar
     return 100 * both >= percent * (sizes + n - both)
 
 
+def peeled(sets: list[np.ndarray], own: np.ndarray, percent: int) -> np.ndarray:
+    """The sets that may link with one of another component here: most of their members occur in several components, again after the others have left."""
+    left = np.arange(len(sets))
+    while len(left):
+        sizes = np.array([len(sets[i]) for i in left])
+        of = np.repeat(own[left], sizes)
+        flat = np.concatenate([sets[i] for i in left])
+        order = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.append(True, flat[order][1:] != flat[order][:-1]))
+        several = np.minimum.reduceat(of[order], first) != np.maximum.reduceat(of[order], first)
+        useful = np.empty(len(flat), np.int64)
+        useful[order] = np.repeat(several, np.diff(np.append(first, len(flat))))
+        stay = 100 * np.add.reduceat(useful, np.cumsum(sizes) - sizes) >= percent * sizes
+        if stay.all():
+            return left
+        left = left[stay]
+    return left
+
+
 def joined(sets: list[np.ndarray], classes: list[int], percent: int, pivots: int = 3) -> list[tuple[int, int]]:
     """Links that connect what links connect among the sets, where they are of different classes (components known so far).
 
-    Distances from a few pivots leave windows of EPS; in these the sets are compared, each with those of other components only.
+    Distances from a few pivots leave windows of EPS, and in these the sets that show enough of each other's rarest members are
+    compared, each with those of other components only.
     """
-    m = len(sets)
-    if m < 2 or len(set(classes)) < 2:
+    if len(sets) < 2 or len(set(classes)) < 2:
         return []
-    sizes, own = np.array([len(s) for s in sets]), np.unique(np.array(classes), return_inverse=True)[1]
+    own = np.unique(np.array(classes), return_inverse=True)[1]
+    left = peeled(sets, own, percent)
+    if len(left) < len(sets):
+        return [(int(left[a]), int(left[b])) for a, b in joined([sets[i] for i in left], [classes[i] for i in left], percent, pivots)]
+    m = len(sets)
+    sizes = np.array([len(s) for s in sets])
     eps = 1 - percent / 100 + 1e-9
     away = np.array([distance(sets, sets[p])[0] for p in range(0, m, max(1, m // pivots))[:pivots]])
-    order = np.lexsort((np.arange(m), away[0]))
-    sizes, own, away = sizes[order], own[order], away[:, order]
+    shown = _Shown(sets, sizes, percent)
     out: list[tuple[int, int]] = []
-    ends = np.searchsorted(away[0], away[0] + eps, side="right")
     for i in range(m):
-        window = slice(i + 1, ends[i])
-        fits = (own[window] != own[i]) & (100 * np.minimum(sizes[window], sizes[i]) >= percent * np.maximum(sizes[window], sizes[i])) & (np.abs(away[1:, window] - away[1:, i : i + 1]) <= eps).all(axis=0)
-        found = np.flatnonzero(fits) + i + 1
+        fits = (own != own[i]) & (sizes <= sizes[i]) & (100 * sizes >= percent * sizes[i]) & (np.abs(away - away[:, i : i + 1]) <= eps).all(axis=0)
+        found = np.flatnonzero(fits)
         if len(found):
-            both = shared_count([sets[order[j]] for j in found], sets[order[i]])
+            found = found[shown.votes(i)[found] >= np.minimum(VOTES + sizes[found] // EACH, -(-percent * int(sizes[i]) // 100))]
+        if len(found):
+            both = shared_count([sets[j] for j in found], sets[i])
             for j in found[linked(both, sizes[found], int(sizes[i]), percent)]:
                 if own[j] != own[i]:
-                    out.append((int(order[i]), int(order[j])))
+                    out.append((i, int(j)))
                     own[own == own[j]] = own[i]
     return out
 
 
+class _Shown:
+    """The rarest members that sets show, by their counts among these sets: those of the larger of two against those of the smaller."""
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, percent: int):
+        flat, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+        rank = np.empty(len(times), np.int64)
+        rank[np.lexsort((np.arange(len(times)), times))] = np.arange(len(times))
+        of = np.repeat(np.arange(len(sets)), sizes)
+        ranks = rank[flat]
+        ranks = ranks[np.lexsort((ranks, of))]
+        place = np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of]
+        most, least = np.array([prefix_sizes(int(n), percent) for n in sizes]).T
+        larger, smaller = place < most[of], place < least[of]
+        self.own = np.split(ranks[larger], np.cumsum(most)[:-1])
+        order = np.argsort(ranks[smaller], kind="stable")
+        self.holders, held = of[smaller][order], ranks[smaller][order]
+        self.starts = np.searchsorted(held, np.arange(len(times) + 1))
+        self.m = len(sets)
+
+    def votes(self, i: int) -> np.ndarray:
+        """How many of the members that set i shows each set shows as well."""
+        start, number = self.starts[self.own[i]], self.starts[self.own[i] + 1] - self.starts[self.own[i]]
+        at = np.repeat(start - np.cumsum(number) + number, number) + np.arange(number.sum())
+        return np.bincount(self.holders[at], minlength=self.m)
+
+
 def _grouped(rows: DataFrame, keys: list[str], k: int, run, schema: str, arrow_schema: pa.Schema) -> DataFrame:
     """Runs ``run(group key, rows of (node, set, tag))``, which yields result rows, over groups in the order of ``tag``; rows have node, text and tag.
 
@@ -290,7 +338,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str
     # regions that hold several components, cut into cells until they fit a task
     rest = regions.select(F.col("pivot").alias("g"), "node")
     for turn in range(CUTS + 1):
-        rest = _parted(rest, edges, sizes)
+        rest = _parted(rest, edges, classes, percent)
         large = (F.col("m") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)
         one = rest.filter(~large).select("g", zero.alias("i"), zero.alias("j"), F.col("component").alias("tag"), "node")
         if turn == CUTS:  # what doesn't shrink meets block by block
@@ -309,17 +357,41 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str
         pivots = rest.filter(chosen).select("g", F.explode(F.sequence(zero, salts - 1)).alias("salt"), F.lit(0).alias("tag"), "node")
         cells = stored(_cells(with_texts(members.union(pivots)), k, percent), "cells")
         edges = stored(edges.union(cells.filter("near and cell != node").select(F.col("cell").alias("u"), F.col("node").alias("v"))), "links")
-        missed = rest.select("g", "node").join(cells.select("g").distinct(), "g", "left_anti")  # no pivot was drawn
-        rest = cells.select(F.unhex(F.sha2(F.concat("g", "cell"), 256)).alias("g"), "node").union(missed)
+        # cells that hold most of their region each, as sets equally far from all pivots make them, are no gain: such a region stays whole
+        per_cell = cells.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("k"))
+        gain = per_cell.groupBy("g").agg(F.sum(F.col("k") * F.col("k")).alias("_work")).join(rest.select("g", "m").distinct(), "g").filter("2 * _work < m * m").select("g")
+        gain = small(stored(gain, "gain"))
+        smaller = cells.join(gain, "g", "left_semi").select(F.unhex(F.sha2(F.concat("g", "cell"), 256)).alias("g"), "node")
+        stays = rest.select("g", "node").join(gain, "g", "left_anti")
+        rest = smaller.union(stays)
     raise AssertionError("not reached")
 
 
-def _parted(rest: DataFrame, edges: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(g, node, component, m, bytes): members of regions that hold several components, with the regions' sizes. Stored."""
+def _parted(rest: DataFrame, edges: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(g, node, component, m, bytes): members of regions that may link with another component there, with the regions' sizes. Stored."""
     known = rest.join(components(edges), "node", "left").select("g", "node", F.coalesce("component", "node").alias("component"))
-    known = stored(known.join(sizes.select("node", "n"), "node"), "known")
-    several = known.groupBy("g").agg(F.count(F.lit(1)).alias("m"), (8 * F.sum("n")).alias("bytes"), F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low != _high").select("g", "m", "bytes")
-    return stored(known.drop("n").join(small(stored(several, "several")), "g"), "parted")
+    known = _several(stored(known, "known"))
+    # within its region too, a set shares enough of what it shows with sets of other components
+    shown = known.join(classes.select("node", "rare", _share(percent)), "node").select(F.xxhash64("g", "node").alias("member"), F.xxhash64("component").alias("c"), "share", "g", F.explode("rare").alias("s"))
+    shown = shown.select(F.xxhash64("g", "s").alias("k"), "member", "c", "share")
+    useful = shown.groupBy("k").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).filter("_low != _high").select("k")
+    votes = shown.join(useful, "k").groupBy("member").agg(F.count(F.lit(1)).alias("votes"), F.max("share").alias("share")).filter("votes >= share").select("member")
+    known = known.withColumn("member", F.xxhash64("g", "node")).join(small(stored(votes, "voters")), "member", "left_semi").drop("member")
+    known = stored(known.join(classes.select("node", "n"), "node"), "known")
+    sizes = known.groupBy("g").agg(F.count(F.lit(1)).alias("m"), (8 * F.sum("n")).alias("bytes"))
+    return stored(_several(known).drop("n").join(small(stored(sizes, "sizes")), "g"), "parted")
+
+
+def _several(known: DataFrame) -> DataFrame:
+    """The members of regions with more than one component."""
+    mixed = known.groupBy("g").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low != _high").select("g")
+    return known.join(small(stored(mixed, "mixed")), "g", "left_semi")
+
+
+def _share(percent: int) -> Column:
+    """How many shown members a set shares with any that it links with; none that links with a set of n is smaller than ``partner``."""
+    partner = F.ceil(percent * F.col("n") / 100)
+    return F.least(VOTES + F.floor(partner / EACH), partner).cast("int").alias("share")
 
 
 def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
