@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import col, let, scratch, small, stored, without, words
 
-#: Transformed statistics, and the deviation in thousandths that a statistic has where it varies less (most documents have no symbols and repeat nothing).
-STATISTICS = (("log_words", 100), ("log_word_length", 20), ("symbols", 40), ("repeated_lines", 80), ("repeated_words", 60))
+#: Transformed statistics, and the deviation in thousandths that a statistic has where it varies less (most documents have no symbols and repeat nothing;
+#: lengths a factor of e apart are no oddity in any corpus, so length alone rejects nothing within a factor of 245).
+STATISTICS = (("log_words", 1000), ("log_word_length", 20), ("symbols", 40), ("repeated_lines", 80), ("repeated_words", 60))
 #: What trimming takes from the variance of normal data with five statistics: 0.5 / P(chi-squared of 7 < median of chi-squared of 5), and so for 0.975.
 HALF, MOST_OF = 1.9122, 1.0556
 #: The 0.975 and 0.99999 quantiles of chi-squared with five degrees of freedom.
