@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,17 +35,48 @@ def dot_products(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
     return pairs.groupBy("case_a", "case_b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
 
 
+def _kernel(kernel: str, gamma: float, coef0: float, degree: int) -> Column:
+    """A kernel's value from ``dot`` and, for rbf, the squared norms ``xx`` and ``yy``."""
+    dot = F.col("dot")
+    made: dict[str, Column] = {"linear": dot, "poly": F.pow(gamma * dot + coef0, F.lit(degree)), "sigmoid": F.tanh(gamma * dot + coef0)}
+    return F.exp(-gamma * (F.col("xx") + F.col("yy") - 2 * dot)) if kernel == "rbf" else made[kernel]
+
+
+def _with_norms(pairs: DataFrame, vectors: DataFrame, how: str = "inner") -> DataFrame:
+    """Pairs with the squared norms of both; a case without features has none, which counts as 0."""
+    norms = squared_norms(vectors)
+    for case, name in (("case_a", "xx"), ("case_b", "yy")):
+        pairs = pairs.join(norms.select(F.col("case_id").alias(case), F.col("norm2").alias(name)), case, how).withColumn(name, F.coalesce(name, F.lit(0.0)))
+    return pairs
+
+
 def gram(vectors: DataFrame, kernel: str = "linear", gamma: float = 1.0, coef0: float = 0.0, degree: int = 3) -> DataFrame:
-    """Kernel values for pairs that share a feature; ``kernel`` is linear, poly, rbf or sigmoid."""
+    """Kernel values for pairs that share a feature; ``kernel`` is linear, poly, rbf or sigmoid.
+
+    All other pairs have the value of a zero dot product, which ``unshared`` gives without listing them; ``gram_of`` has it for chosen pairs.
+    """
     dots = dot_products(vectors)
-    dot = F.col("dot")
+    dots = _with_norms(dots, vectors) if kernel == "rbf" else dots
+    return dots.select("case_a", "case_b", _kernel(kernel, gamma, coef0, degree).alias("k"))
+
+
+def unshared(vectors: DataFrame, kernel: str = "linear", gamma: float = 1.0, coef0: float = 0.0, degree: int = 3) -> DataFrame:
+    """(case_id, factor): the kernel of two cases without a common feature is the product of their factors, up to the sign of ``unshared_sign``."""
+    constant = {"linear": 0.0, "poly": float(coef0) ** degree, "sigmoid": math.tanh(coef0)}
     if kernel == "rbf":
-        norms = squared_norms(vectors)
-        dots = dots.join(norms.select(F.col("case_id").alias("case_a"), F.col("norm2").alias("xx")), "case_a").join(norms.select(F.col("case_id").alias("case_b"), F.col("norm2").alias("yy")), "case_b")
-    value: dict[str, Column] = {
-        "linear": dot,
-        "poly": F.pow(gamma * dot + coef0, F.lit(degree)),
-        "sigmoid": F.tanh(gamma * dot + coef0),
-        "rbf": F.exp(-gamma * (F.col("xx") + F.col("yy") - 2 * dot)) if kernel == "rbf" else dot,
-    }
-    return dots.select("case_a", "case_b", value[kernel].alias("k"))
+        return squared_norms(vectors).select("case_id", F.exp(-gamma * F.col("norm2")).alias("factor"))
+    return vectors.select("case_id").distinct().withColumn("factor", F.lit(math.sqrt(abs(constant[kernel]))))
+
+
+def unshared_sign(kernel: str, coef0: float = 0.0, degree: int = 3) -> int:
+    """The sign of the values of pairs without a common feature."""
+    return -1 if coef0 < 0 and (kernel == "sigmoid" or kernel == "poly" and degree % 2) else 1
+
+
+def gram_of(pairs: DataFrame, vectors: DataFrame, kernel: str = "linear", gamma: float = 1.0, coef0: float = 0.0, degree: int = 3) -> DataFrame:
+    """Kernel values (case_a, case_b, k) of the given pairs, whether they share a feature or not."""
+    one = pairs.select("case_a", "case_b").join(vectors.select(F.col("case_id").alias("case_a"), "feature", F.col("value").alias("x")), "case_a")
+    dots = one.join(vectors.select(F.col("case_id").alias("case_b"), "feature", F.col("value").alias("y")), ["case_b", "feature"]).groupBy("case_a", "case_b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    found = pairs.select("case_a", "case_b").join(dots, ["case_a", "case_b"], "left").withColumn("dot", F.coalesce("dot", F.lit(0.0)))
+    found = _with_norms(found, vectors, "left") if kernel == "rbf" else found
+    return found.select("case_a", "case_b", _kernel(kernel, gamma, coef0, degree).alias("k"))

@@ -643,6 +643,18 @@ def _gram_query(kernel: str, sql: str, **options) -> None:
     query(f"WITH {DOTS} SELECT case_a, case_b, round({sql}, 5) AS k FROM d JOIN n x ON x.case_id = case_a JOIN n y ON y.case_id = case_b")(run)
 
 
+@query("""WITH x AS (SELECT l_suppkey::VARCHAR AS case_id, l_quantity::BIGINT AS feature, count(*)::DOUBLE AS value FROM lineitem GROUP BY 1, 2), w AS (SELECT case_id, sum(value * value) AS norm2 FROM x GROUP BY 1),
+p AS (SELECT DISTINCT s.l_suppkey::VARCHAR AS a, t.l_suppkey::VARCHAR AS b FROM lineitem s JOIN lineitem t ON s.l_orderkey = t.l_orderkey AND t.l_linenumber = s.l_linenumber + 1 WHERE s.l_suppkey <> t.l_suppkey), d AS (SELECT a, b, sum(x.value * y.value) AS dot FROM p JOIN x ON x.case_id = a JOIN x y ON y.case_id = b AND y.feature = x.feature GROUP BY 1, 2)
+SELECT p.a AS case_a, p.b AS case_b, round(exp(-0.0005 * (coalesce(v.norm2, 0) + coalesce(w.norm2, 0) - 2 * coalesce(dot, 0))), 5) AS k FROM p LEFT JOIN d ON d.a = p.a AND d.b = p.b LEFT JOIN w v ON v.case_id = p.a LEFT JOIN w ON w.case_id = p.b""")
+def gram_of_pairs(spark, sf_dir):
+    """The rbf kernel of suppliers of neighbouring lines of an order, by the quantities of all their lines, whether they share one or not."""
+    lines = load(spark, sf_dir, "lineitem")
+    rows = lines.groupBy(F.col("l_suppkey").cast("string").alias("case_id"), F.col("l_quantity").cast("bigint").alias("feature")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    next_one = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").cast("string").alias("case_b"))
+    pairs = lines.select("l_orderkey", "l_linenumber", F.col("l_suppkey").cast("string").alias("case_a")).join(next_one, ["l_orderkey", "l_linenumber"]).filter("case_a != case_b").select("case_a", "case_b").distinct()
+    return algebra.gram_of(pairs, rows, "rbf", gamma=0.0005).withColumn("k", F.round("k", 5))
+
+
 _gram_query("linear", "dot")
 _gram_query("poly", "pow(0.01 * dot + 1, 2)", gamma=0.01, coef0=1.0, degree=2)
 _gram_query("rbf", "exp(-0.05 * (x.norm2 + y.norm2 - 2 * dot))", gamma=0.05)

@@ -361,6 +361,19 @@ def test_gram_matches_numpy(spark):
 # -- streams ---------------------------------------------------------------------------------------------------------
 
 
+def test_kernels_of_pairs_without_a_common_feature(spark):
+    rows = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("b", 2, 1.0), ("c", 9, 3.0)], "case_id string, feature long, value double")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "bare")], "case_a string, case_b string")
+    for kernel, options in (("rbf", {"gamma": 0.1}), ("poly", {"coef0": -2.0, "degree": 3}), ("sigmoid", {"coef0": -0.5}), ("linear", {})):
+        dot, xx, yy = np.array([2.0, 0.0, 0.0]), np.array([5.0, 5.0, 1.0]), np.array([1.0, 9.0, 0.0])
+        by_hand = {"rbf": np.exp(-0.1 * (xx + yy - 2 * dot)), "poly": (dot - 2) ** 3, "sigmoid": np.tanh(dot - 0.5), "linear": dot}[kernel]
+        got = {(r.case_a, r.case_b): r.k for r in algebra.gram_of(pairs, rows, kernel, **options).collect()}
+        assert [got[p] for p in (("a", "b"), ("a", "c"), ("b", "bare"))] == pytest.approx(by_hand.tolist())
+        factor = {r.case_id: r.factor for r in algebra.unshared(rows, kernel, **options).collect()}
+        sign = algebra.unshared_sign(kernel, options.get("coef0", 0.0), options.get("degree", 3))
+        assert sign * factor["a"] * factor["c"] == pytest.approx(by_hand[1])
+
+
 def test_slices_are_appended_once(spark, tmp_path):
     from factloom.streaming.slices import append_slices, read_slices, windowed_counts
 
