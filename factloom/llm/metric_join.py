@@ -6,7 +6,7 @@ in their distance from p.
 * Equal sets collapse into one class first; its smallest doc_id stands for it.
 * Pivots are members of the data. Sets that share no shingle are at distance 1, from pivots too, so each set only
   has to know pivots that share one of its rarest shingles: two sets within EPS share one of them (of n shingles, the first tenth of the
-  larger, and of the smaller the first n - 2t / (1 + t) n). The sets of one such shingle elect the least of them as pivot,
+  larger, and of the smaller the first n - 2t / (1 + t) n). The sets of one such shingle and a range of sizes elect the least of them as pivot,
   so sets within EPS always have a pivot in common, in whose region both lie. With some more shingles shown, two such sets share as many more
   of them, so sets that share fewer with all others leave, and again while many do.
 * First every set is measured against its home, the pivot most of its shingles elect; what lies within EPS of it is linked. A region whose
@@ -27,6 +27,8 @@ empty result; other columns are ignored; texts of any length are taken whole.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,6 +41,8 @@ from .near_dedup import shingle_set
 
 #: One in so many documents is counted for the order of rarity; counts from COMMON on tell, of at most KNOWN shingles (12 bytes each in every worker).
 SHARE, COMMON, KNOWN = 16, 4, 1 << 19
+#: A range of sizes, in links: how often a set may be smaller than another by the most that a link allows.
+RING = 4
 #: How many shown shingles two linked sets share at least: VOTES, and one more for every EACH shingles of the smaller.
 VOTES, EACH = 4, 50
 #: Sets and bytes of sets that a task compares at once; pivots that cut a larger region; how often it is cut before its blocks meet.
@@ -117,22 +121,33 @@ def signed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     return docs.select(col(docs, id_col).alias("a"), col(docs, text_col).alias("b")).mapInArrow(sign, f"doc_id {ddl(kind)}, n bigint, node binary, rare array<bigint>")
 
 
+def _ring(n: Column, percent: int) -> Column:
+    """Sizes in ranges a few links wide: a set links with sets of its own range and of one neighbour at most."""
+    return F.floor(F.log(n.cast("double")) / (RING * -math.log(percent / 100))).cast("int")
+
+
 def elected(classes: DataFrame, percent: int) -> DataFrame:
-    """(pivot, node, votes): the regions that each class (node, n, rare) lies in. Stored; what can have no link is left out."""
+    """(pivot, ring, node, votes): the regions that each class (node, n, rare) lies in. Stored; what can have no link is left out.
+
+    A shingle elects a pivot for each range of sizes; sets near the lower end of their range show theirs in the range below, too, as the larger of two.
+    """
     least = F.expr(f"least(n, n - int((2L * {percent} * n + {99 + percent}) / {100 + percent}) + {VOTES} + int(n / {EACH}))")
-    entries = classes.filter("rare is not null").select("node", F.posexplode("rare").alias("at", "s"), least.alias("_least"), _share(percent)).select("node", "s", (F.col("at") < F.col("_least")).cast("int").alias("lesser"), "share")
+    own, below = _ring(F.col("n"), percent), _ring(F.ceil(percent * F.col("n") / 100), percent)
+    rows = classes.filter("rare is not null").select("node", "rare", least.alias("_least"), _share(percent), own.alias("_own"), F.explode(F.array_distinct(F.array(own, below))).alias("ring"))
+    rows = rows.select("node", "ring", "share", F.when(F.col("ring") == F.col("_own"), F.col("_least")).otherwise(0).alias("_least"), F.posexplode("rare").alias("at", "s"))
+    entries = rows.select("node", "ring", F.xxhash64("s", "ring").alias("s"), (F.col("at") < F.col("_least")).cast("int").alias("lesser"), "share")
     before = None
     while True:
         # a shingle that one set shows, or none as the smaller of two, links nothing
         pivots = entries.groupBy("s").agg(F.min("node").alias("pivot"), F.max("node").alias("_last"), F.max("lesser").alias("_some")).filter("pivot != _last and _some = 1").select("s", "pivot")
-        entries = stored(entries.join(stored(pivots, "pivots"), "s").select("node", "s", "lesser", "share", "pivot"), "entries")
-        few = stored(entries.groupBy("node").agg(F.count(F.lit(1)).alias("votes"), F.max("share").alias("share")).filter("votes < share").select("node"), "few")
+        entries = stored(entries.join(stored(pivots, "pivots"), "s").select("node", "ring", "s", "lesser", "share", "pivot"), "entries")
+        few = stored(entries.groupBy("node", "ring").agg(F.count(F.lit(1)).alias("votes"), F.max("share").alias("share")).filter("votes < share").select("node", "ring"), "few")
         now = few.count()
         if not now or before is not None and 20 * now > before:
             break
         before = now if before is None else before
-        entries = entries.join(small(few), "node", "left_anti").select("node", "s", "lesser", "share")
-    return stored(entries.groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("votes")), "regions")
+        entries = entries.join(small(few), ["node", "ring"], "left_anti").select("node", "ring", "s", "lesser", "share")
+    return stored(entries.groupBy("pivot", "ring", "node").agg(F.count(F.lit(1)).alias("votes")), "regions")
 
 
 def shared_count(sets: list[np.ndarray], x: np.ndarray) -> np.ndarray:
@@ -327,7 +342,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str
         return rows.join(texts.join(small(stored(wanted, "wanted")), "rep").select("node", "text"), "node")
 
     # each set against its home
-    home = regions.filter("pivot != node").groupBy("node").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("g"))
+    home = regions.filter("pivot != node").groupBy("pivot", "node").agg(F.sum("votes").alias("votes")).groupBy("node").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("g"))
     home = stored(home, "homes")
     salts = stored(home.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("salts")), "salts")
     zero = F.lit(0).cast("bigint")
@@ -336,7 +351,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str
     edges = stored(_measured(with_texts(members.union(pivots)), k, percent), "links")
 
     # regions that hold several components, cut into cells until they fit a task
-    rest = regions.select(F.col("pivot").alias("g"), "node")
+    rest = regions.select(F.concat("pivot", F.encode(F.col("ring").cast("string"), "utf-8")).alias("g"), "node")
     for turn in range(CUTS + 1):
         rest = _parted(rest, edges, classes, percent)
         large = (F.col("m") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)
