@@ -34,11 +34,11 @@ def alone(kind, options, rows, y, folds):
 KINDS = [("c_svc", {"c": 5.0, "wn": 0.5}), ("nu_svc", {"nu": 0.3}), ("eps_svr", {"c": 3.0, "epsilon_tube": 0.05}), ("nu_svr", {"c": 3.0, "nu": 0.4})]
 
 
-@pytest.mark.parametrize("working", [500, 9])
+@pytest.mark.parametrize("working", [500, 20])
 @pytest.mark.parametrize(("kind", "options"), KINDS)
 def test_decomposed_dual_meets_the_whole_one(spark, monkeypatch, kind, options, working):
     monkeypatch.setattr(kernel_dual, "WORKING", working)
-    monkeypatch.setattr(kernel_dual, "CELLS", 40 if working == 9 else 4_000_000)
+    monkeypatch.setattr(kernel_dual, "CELLS", 40 if working == 20 else 4_000_000)
     options = options | {"kernel": "rbf", "gamma": 0.4, "tolerance": 1e-5}
     features, cases, rows, y = data(spark, real=kind.endswith("svr"))
     found = kernel_dual.cross_validated(features, cases, kind, SvmOptions(**options), [0, 1, 2]).collect()
@@ -50,7 +50,7 @@ def test_decomposed_dual_meets_the_whole_one(spark, monkeypatch, kind, options,
 
 @pytest.mark.parametrize("kind", ["c_svc", "nu_svc"])
 def test_precomputed_kernel_equals_the_same_kernel(spark, monkeypatch, kind):
-    monkeypatch.setattr(kernel_dual, "WORKING", 12)
+    monkeypatch.setattr(kernel_dual, "WORKING", 30)
     features, cases, rows, y = data(spark)
     o = {"c": 2.0, "nu": 0.3, "tolerance": 1e-5, "gamma": 0.4}
     gram = models.gram_matrix(rows, rows, SvmOptions(kernel="rbf", gamma=0.4))
