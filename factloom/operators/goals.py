@@ -1,7 +1,7 @@
 """Rule bodies as lists of goals with shared variables, turned into one join plan.
 
 A body is a tuple of goals: ``goal(table, column=term, ...)`` for a fact, ``absent(...)`` for the failure of one or several goals, ``holds`` for a
-comparison, ``let`` for a computed value, and ``member`` for an element of a list. Terms are variables (``Var``) or constants. Bodies are plain tuples, so
+comparison, ``let`` for a computed value, ``member`` for an element of a list, and ``another`` for a second fact that only has to be there. Terms are variables (``Var``) or constants. Bodies are plain tuples, so
 they are joined with ``+``; ``occurs`` and ``missing`` look goals up by unification.
 
 The order in which goals are written doesn't matter. Facts join along their shared variables (never as a product), a fact that binds
@@ -82,7 +82,20 @@ class Let:
         return {self.output.name} | {v.name for v in self.inputs}
 
 
-Literal = Goal | Absent | Holds | Let
+@dataclass(frozen=True)
+class Another:
+    """A conjunction has an answer in which ``other`` is another value than the bound ``one``."""
+
+    one: Var
+    other: Var
+    body: tuple
+
+    @property
+    def variables(self) -> set[str]:
+        return {self.one.name}.union(*(g.variables for g in self.body)) - {self.other.name}
+
+
+Literal = Goal | Absent | Holds | Let | Another
 
 
 def goal(table: str, **terms: object) -> Goal:
@@ -101,6 +114,11 @@ def let(output: Var, value: Callable[..., Column], *inputs: Var) -> Let:
     return Let(output, value, inputs)
 
 
+def another(one: Var, other: Var, *body: Literal) -> Another:
+    """Facts that differ from a bound one: ``other`` is a variable of the body alone, with values that have an order."""
+    return Another(one, other, body)
+
+
 def member(element: Var, items: Var) -> Let:
     return Let(element, lambda x: x, (items,), each=True)
 
@@ -166,6 +184,8 @@ def substitute(body: Iterable[Literal], known: Mapping[str, object]) -> tuple[Li
             out.append(Absent(substitute(g.body, known)))
         elif isinstance(g, Holds):
             out.append(Holds(g.test, tuple(map(variable, g.inputs))))
+        elif isinstance(g, Another):
+            out.append(Another(variable(g.one), variable(g.other), substitute(g.body, known)))
         else:
             out.append(Let(variable(g.output), g.value, tuple(map(variable, g.inputs)), g.each))
     return tuple(out)
@@ -173,7 +193,7 @@ def substitute(body: Iterable[Literal], known: Mapping[str, object]) -> tuple[Li
 
 def tables_in(body: Iterable[Literal]) -> set[str]:
     """The tables that a body reads, those of its negations as well."""
-    return set().union(*(tables_in(g.body) if isinstance(g, Absent) else {g.table} if isinstance(g, Goal) else set() for g in body))
+    return set().union(*(tables_in(g.body) if isinstance(g, Absent | Another) else {g.table} if isinstance(g, Goal) else set() for g in body))
 
 
 # -- plans ---------------------------------------------------------------------------------------------------------------
@@ -216,13 +236,15 @@ class _Plan:
     def run(self, tables: Mapping[str, DataFrame]) -> DataFrame:
         facts = {id(g): _rows(g, tables) for g in self.todo if isinstance(g, Goal)}
         scoped = any(EX in f.columns for f in facts.values())
-        self.scoped = {id(g) for g in self.todo if isinstance(g, Absent) and scoped and any(EX in tables[t].columns for t in tables_in(g.body))}
+        self.scoped = {id(g) for g in self.todo if isinstance(g, Absent | Another) and scoped and any(EX in tables[t].columns for t in tables_in(g.body))}
         while self.todo:
             g = self._next(facts)
             if isinstance(g, Goal):
                 self._join(g, facts[id(g)])
             elif isinstance(g, Absent):
                 self._without(g, tables)
+            elif isinstance(g, Another):
+                self._besides(g, tables)
             elif isinstance(g, Holds):
                 self.df = self.df.filter(g.test(*[F.col(v.name) for v in g.inputs]))
             else:
@@ -258,6 +280,8 @@ class _Plan:
         if isinstance(g, Absent):
             # variables that others have as well must be bound first; the rest are its own
             return g.variables & self._wanted_later(g) <= self.bound and (id(g) not in self.scoped or EX in self.bound)
+        if isinstance(g, Another):
+            return g.one.name in self.bound and g.variables & self._wanted_later(g) <= self.bound and (id(g) not in self.scoped or EX in self.bound)
         return {v.name for v in g.inputs} <= self.bound
 
     def _join(self, g: Goal, rows: DataFrame) -> None:
@@ -278,6 +302,21 @@ class _Plan:
         keys = sorted(on) + ([EX] if EX in found.columns and EX in self.bound and EX not in on else [])
         self.df = self.df.join(found.select(*keys), keys, "left_anti")
 
+    def _besides(self, g: Another, tables: Mapping[str, DataFrame]) -> None:
+        """Some answer differs if the smallest or the largest does: answers are never paired with rows, but for these two."""
+        if g.other.name in self.bound:
+            raise UnsafeRule(f"{g.other.name} is bound outside its conjunction")
+        own = set().union(*(x.variables for x in g.body))
+        on = own & self.bound - {g.one.name}
+        if not on:
+            raise UnsafeRule("a conjunction shares no variable with the facts beside it")
+        found = _Plan(g.body, on | {g.other.name}).run(tables)
+        keys = sorted(on) + ([EX] if EX in found.columns and EX in self.bound and EX not in on else [])
+        ends = found.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(g.other.name).alias("_least"), F.max(g.other.name).alias("_most"))
+        one = F.col(g.one.name)
+        same = reduce(Column.__and__, [F.col(k) == F.col(f"_{k}") for k in keys])
+        self.df = self.df.join(ends, same & ((F.col("_least") != one) | (F.col("_most") != one)), "left_semi")
+
     def _compute(self, g: Let) -> None:
         value = g.value(*[F.col(v.name) for v in g.inputs])
         value = F.explode(value) if g.each else value

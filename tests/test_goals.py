@@ -93,3 +93,19 @@ def test_a_rule_of_a_domain(tables, spark):
     found = deduce(d, {"edge": tables["edge"].filter("u is not null"), "node": spark.createDataFrame([("a", 1)], "ex string, node int")})
     assert rows(found["two"].select("ex", "u", "v")) == [("a", 1, 3), ("a", 2, 1), ("a", 3, 2), ("b", 1, 9), ("b", 2, 1), ("b", 9, 2)]
     assert d.captured["two"] == {"edge"} and dependents(d, "two") == {"two", "edge"}
+
+
+def test_another_fact_is_never_paired(spark):
+    from factloom.operators.goals import another
+
+    rows = [(1, "x", "p q"), (2, "x", "q"), (2, "x", "r"), (3, "y", "q"), (4, "y", "r r"), (5, None, "p"), (6, None, "p")]
+    tables = {"part": spark.createDataFrame(rows, "id int, brand string, name string")}
+    a, b, d, n, p, w, l, q = map(Var, "abdnpwlq")
+    split = lambda name: F.split(name, " ")
+    first = (goal("part", id=a, brand=d, name=n), let(l, split, n), member(w, l))
+    rest = (goal("part", id=b, brand=d, name=p), let(q, split, p))
+    found = solve((*first, another(a, b, *rest, member(w, q))), tables, {"a": a, "w": w})
+    paired = solve((*first, *rest, holds(lambda x, y: x != y, a, b), holds(F.array_contains, q, w)), tables, {"a": a, "w": w})
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, paired.collect())) == [(1, "q"), (2, "q")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan and "Join Inner" not in plan
