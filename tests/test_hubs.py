@@ -33,3 +33,9 @@ def largest_cut(spark, monkeypatch, n, **options):
 @pytest.mark.parametrize("options", [{"match_type": "hard", "radius": 1, "distance": 2}, {"match_type": "soft", "radius": 2, "distance": 2}])
 def test_tables_grow_with_the_vertices(spark, monkeypatch, options):
     assert largest_cut(spark, monkeypatch, 120, **options) <= 3.2 * largest_cut(spark, monkeypatch, 40, **options)
+
+
+@pytest.mark.parametrize("match_type", ["hard", "soft"])
+def test_viewpoints_are_marked_near_them_only(spark, monkeypatch, match_type):
+    options = {"variant": "rnspdk", "match_type": match_type, "radius": 1, "distance": 2}
+    assert largest_cut(spark, monkeypatch, 120, **options) <= 3.2 * largest_cut(spark, monkeypatch, 40, **options)
