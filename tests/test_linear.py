@@ -105,3 +105,17 @@ def test_cross_validation_takes_the_distributed_path(spark, monkeypatch):
     assert len(found) == 90 and sum((r.prediction > 0) == (r.label > 0) for r in found) > 75
     with pytest.raises(ValueError):
         models.cross_validate(features, rows, folds, "svm_sgd", task="regression")
+
+
+def test_few_features_need_no_rounds(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("a round")
+
+    monkeypatch.setattr(linear, "_round", none)
+    features, cases, x, y, names = data(spark, loss="squared")
+    weights, costs = train_folds(features, cases, SgdOptions(loss="squared", lambda_=0.05, tolerance=1e-11), [0, 1, 2])
+    for fold, w in table(weights, names).items():
+        chosen = np.arange(len(y)) % 3 != fold
+        xs, ys = x[chosen], y[chosen]
+        assert w == pytest.approx(np.linalg.solve(xs.T @ xs / len(ys) + 0.05 * np.eye(6), xs.T @ ys / len(ys)))
+    assert all(0 <= r.primal - r.dual <= 1e-11 * r.primal and r.n == 60 for r in costs.collect())
