@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import KernelOptions
-from .deduce import EX
+from .deduce import EX, cut
 from .graph import Graph
-from .kernels import Kernel
+from .kernels import Kernel, inside
 from .paths import distances
 from .workspace import Workspace, delete, exists, workspace
 
@@ -64,16 +64,23 @@ def reach(options: KernelOptions) -> int:
 
 
 def case_fingerprints(graph: Graph, cases: DataFrame, options: KernelOptions) -> DataFrame:
-    """(case_id, fingerprint) of cases (ex, case_id, viewpoints): the part of the graph that each sees; without viewpoints that is all of it."""
+    """(case_id, fingerprint) of cases (ex, case_id, viewpoints): the part of the graph that each sees; without viewpoints that is all of it.
+
+    A case sees vertices within the kernel's distance, and the ball of each as far as its radius reaches.
+    """
     g = graph.living()
     views = cases.filter("viewpoints is not null").select(EX, "case_id", F.explode("viewpoints").alias("view"))
-    near = distances(g, reach(options), views.select(EX, F.col("view").alias("vid")).distinct())
-    seen = views.join(near.select(EX, F.col("src").alias("view"), F.col("dst").alias("vid")), [EX, "view"]).select(EX, "case_id", "vid").distinct()
-    vertices = seen.join(g.vertices, [EX, "vid"])
-    ends = seen.withColumnRenamed("vid", "src").join(g.edges, [EX, "src"]).join(seen.withColumnRenamed("vid", "dst"), [EX, "case_id", "dst"])
+    near = cut(views.join(distances(g, options.distance, views.select(EX, F.col("view").alias("vid")).distinct()).withColumnsRenamed({"src": "view", "dst": "at"}), [EX, "view"]))
+    # the ball of a vertex is read once, for all cases that see it
+    balls = distances(g, reach(options) - options.distance, near.select(EX, F.col("at").alias("vid")).distinct()).select(EX, F.col("src").alias("at"), F.col("dst").alias("vid"))
+    balls = cut(balls)
+    vertices = balls.join(g.vertices, [EX, "vid"])
+    ends = inside(g.edges.withColumnRenamed(EX, "g"), balls.withColumnRenamed(EX, "g"), "at").select(F.col("g").alias(EX), "at", F.col("i").alias("src"), F.col("j").alias("dst"), "role")
+    held = _summed(vertices.select(EX, "at", vertex_text(vertices).alias("text")).union(ends.select(EX, "at", edge_text(ends).alias("text"))), [EX, "at"])
+    held = held.select(EX, "at", _text(F.col("n"), F.col("low"), F.col("high")).alias("held"))
+    seen = near.join(held, [EX, "at"]).select("case_id", _text(F.lit("at"), F.col("view"), F.col("at"), F.col("d"), F.col("held")).alias("text"))
     marks = views.select("case_id", _text(F.lit("view"), F.col("view")).alias("text"))  # what the case looks from counts as well
-    texts = vertices.select("case_id", vertex_text(vertices).alias("text")).union(ends.select("case_id", edge_text(ends).alias("text"))).union(marks)
-    own = _summed(texts, ["case_id"]).select("case_id", _text(F.col("n"), F.col("low"), F.col("high")).alias("_t"))
+    own = _summed(seen.union(marks), ["case_id"]).select("case_id", _text(F.col("n"), F.col("low"), F.col("high")).alias("_t"))
     whole = cases.filter("viewpoints is null").select("case_id", EX).join(graph_fingerprints(g).select(EX, "fingerprint"), EX, "left").select("case_id", _text(F.lit("all"), F.col("fingerprint")).alias("_t"))
     every = cases.select("case_id").distinct().join(own.union(whole), "case_id", "left")
     return every.select("case_id", F.md5(F.concat_ws(FIELD, F.lit(json.dumps(asdict(options), sort_keys=True)), F.coalesce("_t", F.lit(NULL)))).alias("fingerprint"))

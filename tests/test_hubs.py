@@ -39,3 +39,18 @@ def test_tables_grow_with_the_vertices(spark, monkeypatch, options):
 def test_viewpoints_are_marked_near_them_only(spark, monkeypatch, match_type):
     options = {"variant": "rnspdk", "match_type": match_type, "radius": 1, "distance": 2}
     assert largest_cut(spark, monkeypatch, 120, **options) <= 3.2 * largest_cut(spark, monkeypatch, 40, **options)
+
+
+def test_fingerprints_read_a_ball_once(spark, monkeypatch):
+    from factloom.operators import cache
+
+    def most(n):
+        sizes, real = [], kernels.cut
+        monkeypatch.setattr(cache, "cut", lambda df: sizes.append((out := real(df)).count()) or out)
+        g = star(spark, n)
+        prints = cache.case_fingerprints(g, cases_of(g), KernelOptions(match_type="hard", radius=1, distance=2)).collect()
+        assert len({r.fingerprint for r in prints}) == n
+        monkeypatch.setattr(cache, "cut", real)
+        return max(sizes)
+
+    assert most(120) <= 3.2 * most(40)
