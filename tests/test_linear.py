@@ -119,3 +119,16 @@ def test_few_features_need_no_rounds(spark, monkeypatch):
         xs, ys = x[chosen], y[chosen]
         assert w == pytest.approx(np.linalg.solve(xs.T @ xs / len(ys) + 0.05 * np.eye(6), xs.T @ ys / len(ys)))
     assert all(0 <= r.primal - r.dual <= 1e-11 * r.primal and r.n == 60 for r in costs.collect())
+
+
+@pytest.mark.parametrize("loss", ["log", "exponential"])
+def test_smooth_losses_over_few_features_need_no_rounds(spark, monkeypatch, loss):
+    features, cases, x, y, names = data(spark, loss=loss)
+    o = SgdOptions(loss=loss, lambda_=0.01, lossratio=0.5, tolerance=1e-3)
+    found = table(train_folds(features, cases, o, [0, 1, 2], rounds=0)[0], names)
+    monkeypatch.setattr(linear, "DIRECT", 5)
+    rounds = table(train_folds(features, cases, o, [0, 1, 2])[0], names)
+    for fold, w in found.items():
+        chosen = np.arange(len(y)) % 3 != fold
+        best, other = (cost(loss, v, x[chosen], y[chosen], o) for v in (w, rounds[fold]))
+        assert best <= other + 1e-9 and other - best <= 1e-3 * other
