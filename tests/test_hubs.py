@@ -54,3 +54,8 @@ def test_fingerprints_read_a_ball_once(spark, monkeypatch):
         return max(sizes)
 
     assert most(120) <= 3.2 * most(40)
+
+
+def test_hard_balls_of_radius_two_are_counted(spark, monkeypatch):
+    options = {"match_type": "hard", "radius": 2, "distance": 2}
+    assert largest_cut(spark, monkeypatch, 120, **options) <= 3.2 * largest_cut(spark, monkeypatch, 40, **options)
