@@ -1,5 +1,7 @@
 """Kernels over hubs: work grows with the vertices, not with the pairs that meet at a hub."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from factloom.config import KernelOptions
 from factloom.operators import kernels
 from factloom.operators.graph import Graph
 from factloom.operators.kernels import Kernel
+from factloom.operators.paths import distances
 
 
 def star(spark, n):
@@ -59,3 +62,32 @@ def test_fingerprints_read_a_ball_once(spark, monkeypatch):
 def test_hard_balls_of_radius_two_are_counted(spark, monkeypatch):
     options = {"match_type": "hard", "radius": 2, "distance": 2}
     assert largest_cut(spark, monkeypatch, 120, **options) <= 3.2 * largest_cut(spark, monkeypatch, 40, **options)
+
+
+def test_global_distances_in_balls_are_counted(spark, monkeypatch):
+    options = {"variant": "anspdk", "match_type": "hard", "radius": 2, "distance": 2}
+    assert largest_cut(spark, monkeypatch, 120, **options) <= 3.2 * largest_cut(spark, monkeypatch, 40, **options)
+
+
+@pytest.mark.parametrize("distance", [1, 3, 4])
+def test_paths_around_a_ball_count(spark, monkeypatch, distance):
+    """Rings, whose balls are left and entered again, and random graphs, against all pairs of a ball with their global distances."""
+    rng = random.Random(distance)
+    ends = [(f"r{n}", a, (a + 1) % n) for n in range(5, 10) for a in range(n)] + [(f"x{k}", *rng.sample(range(14), 2)) for k in range(3) for _ in range(16 + 3 * k)]
+    half = [(x, str(a), str(b), rng.choice("pq")) for x, a, b in ends]
+    v = [(x, a, "item", rng.random() < 0.8, ["item", rng.choice("ab")]) for x, a in sorted({(x, a) for x, *two, _ in half for a in two})]
+    vertices = spark.createDataFrame(v, "ex string, vid string, sig string, is_kp boolean, syms array<string>").select("ex", "vid", "sig", F.lit("i").alias("kind"), "syms", F.array().cast("array<double>").alias("nums"), "is_kp", F.lit(True).alias("alive"))
+    g = Graph(vertices, spark.createDataFrame(half + [(x, b, a, r) for x, a, b, r in half], "ex string, src string, dst string, role string"))
+    cases = g.vertices.filter("is_kp").select("ex", F.concat_ws("/", "ex", "vid").alias("case_id"), F.array("vid").alias("viewpoints"))
+    options = KernelOptions(variant="anspdk", match_type="hard", radius=2, distance=distance)
+    found = lambda: {(r.case_id, r.feature): r.value for r in Kernel(g, options).features(cases).collect()}
+    got, walked = found(), []
+    dist = distances(g, max(2, distance)).select(F.concat(F.lit("0"), "ex").alias("g"), F.col("src").alias("i"), F.col("dst").alias("j"), "d")
+
+    def pairs(ball, inner, label, top, hops=None):
+        walked.append(hops)
+        both = ball.drop("d").join(ball.select("g", "root", F.col("i").alias("j")), ["g", "root"])
+        return both.join(dist, ["g", "i", "j"], "left").withColumn("d", F.coalesce("d", F.lit(-1))).join(label, ["g", "j"]).withColumn("n", F.lit(1))
+
+    monkeypatch.setattr(Kernel, "_seen", staticmethod(pairs))
+    assert got == pytest.approx(found()) and walked[0] is not None
