@@ -92,7 +92,7 @@ def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
 
 
 def signed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, node, rare): set size, 128-bit digest of the set, and its rarest shingles in order; ``node`` is null for empty sets, ``rare`` for those that link with no other."""
+    """(doc_id, n, digest, rare): set size, 128-bit digest of the set, and its rarest shingles in order; ``digest`` is null for empty sets, ``rare`` for those that link with no other."""
     known, levels = common_shingles(docs, k, text_col)
     kind = docs.schema[id_col].dataType
     ids_arrow = to_arrow_type(kind)
@@ -115,10 +115,10 @@ def signed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
                 rare.append(s[:most].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc_id, ids_arrow), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array(rare, pa.list_(pa.int64()))],
-                ["doc_id", "n", "node", "rare"],
+                ["doc_id", "n", "digest", "rare"],
             )
 
-    return docs.select(col(docs, id_col).alias("a"), col(docs, text_col).alias("b")).mapInArrow(sign, f"doc_id {ddl(kind)}, n bigint, node binary, rare array<bigint>")
+    return docs.select(col(docs, id_col).alias("a"), col(docs, text_col).alias("b")).mapInArrow(sign, f"doc_id {ddl(kind)}, n bigint, digest binary, rare array<bigint>")
 
 
 def _ring(n: Column, percent: int) -> Column:
@@ -129,25 +129,24 @@ def _ring(n: Column, percent: int) -> Column:
 def elected(classes: DataFrame, percent: int) -> DataFrame:
     """(pivot, ring, node, votes): the regions that each class (node, n, rare) lies in. Stored; what can have no link is left out.
 
-    A shingle elects a pivot for each range of sizes; sets near the lower end of their range show theirs in the range below, too, as the larger of two.
+    Nodes are numbers, as a row goes out for each shown shingle. A shingle elects a pivot for each range of sizes; sets near the lower end of their range show theirs in the range below, too, as the larger of two.
     """
-    least = F.expr(f"least(n, n - int((2L * {percent} * n + {99 + percent}) / {100 + percent}) + {VOTES} + int(n / {EACH}))")
-    own, below = _ring(F.col("n"), percent), _ring(F.ceil(percent * F.col("n") / 100), percent)
-    rows = classes.filter("rare is not null").select("node", "rare", least.alias("_least"), _share(percent), own.alias("_own"), F.explode(F.array_distinct(F.array(own, below))).alias("ring"))
-    rows = rows.select("node", "ring", "share", F.when(F.col("ring") == F.col("_own"), F.col("_least")).otherwise(0).alias("_least"), F.posexplode("rare").alias("at", "s"))
-    entries = rows.select("node", "ring", F.xxhash64("s", "ring").alias("s"), (F.col("at") < F.col("_least")).cast("int").alias("lesser"), "share")
-    before = None
-    while True:
-        # a shingle that one set shows, or none as the smaller of two, links nothing
-        pivots = entries.groupBy("s").agg(F.min("node").alias("pivot"), F.max("node").alias("_last"), F.max("lesser").alias("_some")).filter("pivot != _last and _some = 1").select("s", "pivot")
-        entries = stored(entries.join(stored(pivots, "pivots"), "s").select("node", "ring", "s", "lesser", "share", "pivot"), "entries")
-        few = stored(entries.groupBy("node", "ring").agg(F.count(F.lit(1)).alias("votes"), F.max("share").alias("share")).filter("votes < share").select("node", "ring"), "few")
-        now = few.count()
-        if not now or before is not None and 20 * now > before:
-            break
-        before = now if before is None else before
-        entries = entries.join(small(few), ["node", "ring"], "left_anti").select("node", "ring", "s", "lesser", "share")
-    return stored(entries.groupBy("pivot", "ring", "node").agg(F.count(F.lit(1)).alias("votes")), "regions")
+    with scratch(classes.sparkSession) as keep:
+        least = F.expr(f"least(n, n - int((2L * {percent} * n + {99 + percent}) / {100 + percent}) + {VOTES} + int(n / {EACH}))")
+        own, below = _ring(F.col("n"), percent), _ring(F.ceil(percent * F.col("n") / 100), percent)
+        rows = classes.filter("rare is not null").select("node", "rare", least.alias("_least"), _share(percent), own.alias("_own"), F.explode(F.array_distinct(F.array(own, below))).alias("ring"))
+        rows = rows.select("node", "ring", "share", F.when(F.col("ring") == F.col("_own"), F.col("_least")).otherwise(0).alias("_least"), F.posexplode("rare").alias("at", "s"))
+        entries = rows.select("node", "ring", F.xxhash64("s", "ring").alias("s"), (F.col("at") < F.col("_least")).cast("int").alias("lesser"), "share")
+        while True:
+            # a shingle that one set shows, or none as the smaller of two, links nothing
+            pivots = entries.groupBy("s").agg(F.min("node").alias("pivot"), F.max("node").alias("_last"), F.max("lesser").alias("_some")).filter("pivot != _last and _some = 1").select("s", "pivot")
+            entries = stored(entries.join(stored(pivots, "pivots"), "s").select("node", "ring", "s", "lesser", "share", "pivot"), "entries")
+            voters = stored(entries.groupBy("node", "ring").agg(F.count(F.lit(1)).alias("votes"), F.max("share").alias("share")), "voters")
+            few = voters.filter("votes < share").select("node", "ring")
+            if 20 * few.count() <= voters.count():  # a round costs as much as those that stay
+                break
+            entries = entries.join(small(few), ["node", "ring"], "left_anti").select("node", "ring", "s", "lesser", "share")
+        return keep(stored(entries.groupBy("pivot", "ring", "node").agg(F.count(F.lit(1)).alias("votes")), "regions"))
 
 
 def shared_count(sets: list[np.ndarray], x: np.ndarray) -> np.ndarray:
@@ -248,15 +247,15 @@ class _Shown:
 
 
 def _grouped(rows: DataFrame, keys: list[str], k: int, run, schema: str, arrow_schema: pa.Schema) -> DataFrame:
-    """Runs ``run(group key, rows of (node, set, tag))``, which yields result rows, over groups in the order of ``tag``; rows have node, text and tag.
+    """Runs ``run(group key, rows of (node, set, tag))``, which yields result rows, over groups in the order of ``tag``; rows have node, digest, text and tag.
 
-    ``run`` takes an iterator, so a group need not fit in memory. A text whose set isn't the node's, or a node's second row, is skipped.
+    ``run`` takes an iterator, so a group need not fit in memory. A text whose set isn't that of the digest, or a node's second row, is skipped.
     """
 
     @tidy
     def each(arrow):
         def lines():
-            for values in batches(arrow, [*keys, "tag", "node", "text"], 128):
+            for values in batches(arrow, [*keys, "tag", "node", "digest", "text"], 128):
                 yield from zip(*values, strict=True)
 
         from itertools import groupby
@@ -264,11 +263,12 @@ def _grouped(rows: DataFrame, keys: list[str], k: int, run, schema: str, arrow_s
         def members(group):
             last = None
             for r in group:
-                if r[-3:-1] != last:
-                    s = shingle_set(r[-1], k)
-                    if _digest(s) == r[-2]:
-                        last = r[-3:-1]
-                        yield r[-2], s, r[-3]
+                tag, node, digest, text = r[-4:]
+                if (tag, node) != last:
+                    s = shingle_set(text, k)
+                    if _digest(s) == digest:
+                        last = tag, node
+                        yield node, s, tag
 
         held: list[tuple] = []
         for key, group in groupby(lines(), lambda r: r[: len(keys)]):
@@ -279,10 +279,10 @@ def _grouped(rows: DataFrame, keys: list[str], k: int, run, schema: str, arrow_s
                     held = []
         yield pa.RecordBatch.from_pylist([dict(zip(arrow_schema.names, h, strict=True)) for h in held], arrow_schema)
 
-    return rows.select(*keys, "tag", "node", "text").repartition(*keys).sortWithinPartitions(*keys, "tag", "node").mapInArrow(each, schema)
+    return rows.select(*keys, "tag", "node", "digest", "text").repartition(*keys).sortWithinPartitions(*keys, "tag", "node").mapInArrow(each, schema)
 
 
-EDGE = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
 def _measured(rows: DataFrame, k: int, percent: int) -> DataFrame:
@@ -298,7 +298,7 @@ def _measured(rows: DataFrame, k: int, percent: int) -> DataFrame:
                 if linked(both, np.array([len(s)]), len(pivot[1]), percent)[0]:
                     yield pivot[0], node
 
-    return _grouped(rows, ["g", "salt"], k, run, "u binary, v binary", EDGE)
+    return _grouped(rows, ["g", "salt"], k, run, "u bigint, v bigint", EDGE)
 
 
 def _cells(rows: DataFrame, k: int, percent: int) -> DataFrame:
@@ -306,7 +306,7 @@ def _cells(rows: DataFrame, k: int, percent: int) -> DataFrame:
     eps = 1 - percent / 100 + 1e-9
 
     def run(key, members):
-        pivots: list[tuple[bytes, np.ndarray]] = []
+        pivots: list[tuple[int, np.ndarray]] = []
         for node, s, tag in members:
             if tag == 0:
                 pivots.append((node, s))
@@ -316,7 +316,7 @@ def _cells(rows: DataFrame, k: int, percent: int) -> DataFrame:
                 for j in np.flatnonzero(d <= d.min() + 2 * eps).tolist():
                     yield key[0], node, pivots[j][0], bool(near[j])
 
-    return _grouped(rows, ["g", "salt"], k, run, "g binary, node binary, cell binary, near boolean", pa.schema([("g", pa.binary()), ("node", pa.binary()), ("cell", pa.binary()), ("near", pa.bool_())]))
+    return _grouped(rows, ["g", "salt"], k, run, "g bigint, node bigint, cell bigint, near boolean", pa.schema([("g", pa.int64()), ("node", pa.int64()), ("cell", pa.int64()), ("near", pa.bool_())]))
 
 
 def _pairs(rows: DataFrame, k: int, percent: int) -> DataFrame:
@@ -327,19 +327,17 @@ def _pairs(rows: DataFrame, k: int, percent: int) -> DataFrame:
         for a, b in joined([s for _, s, _ in found], [c for _, _, c in found], percent):
             yield found[a][0], found[b][0]
 
-    return _grouped(rows, ["g", "i", "j"], k, run, "u binary, v binary", EDGE)
+    return _grouped(rows, ["g", "i", "j"], k, run, "u bigint, v bigint", EDGE)
 
 
 def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(u, v): links between classes (node, rep, n, rare) that connect all that links connect. Stored."""
+    """(u, v): links between classes (node, digest, rep, n, rare) that connect all that links connect. Stored."""
     regions = elected(classes, percent)
     texts = docs.select(col(docs, id_col).alias("rep"), col(docs, text_col).alias("text")).filter("rep is not null")
-    sizes = classes.select("node", "rep", "n")
-
     def with_texts(rows: DataFrame) -> DataFrame:
-        """Rows with node, beside the texts of the nodes."""
-        wanted = rows.select("node").distinct().join(sizes, "node").select("node", "rep")
-        return rows.join(texts.join(small(stored(wanted, "wanted")), "rep").select("node", "text"), "node")
+        """Rows with node, beside the digests and texts of the nodes."""
+        wanted = classes.select("node", "digest", "rep").join(rows.select("node").distinct(), "node", "left_semi")
+        return rows.join(texts.join(small(stored(wanted, "wanted")), "rep").select("node", "digest", "text"), "node")
 
     # each set against its home
     home = regions.filter("pivot != node").groupBy("pivot", "node").agg(F.sum("votes").alias("votes")).groupBy("node").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("g"))
@@ -351,7 +349,8 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str
     edges = stored(_measured(with_texts(members.union(pivots)), k, percent), "links")
 
     # regions that hold several components, cut into cells until they fit a task
-    rest = regions.select(F.concat("pivot", F.encode(F.col("ring").cast("string"), "utf-8")).alias("g"), "node")
+    # (two regions whose numbers agree would be one, in which the same links are found)
+    rest = regions.select(F.xxhash64("pivot", "ring").alias("g"), "node").distinct()
     for turn in range(CUTS + 1):
         rest = _parted(rest, edges, classes, percent)
         large = (F.col("m") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)
@@ -376,7 +375,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str
         per_cell = cells.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("k"))
         gain = per_cell.groupBy("g").agg(F.sum(F.col("k") * F.col("k")).alias("_work")).join(rest.select("g", "m").distinct(), "g").filter("2 * _work < m * m").select("g")
         gain = small(stored(gain, "gain"))
-        smaller = cells.join(gain, "g", "left_semi").select(F.unhex(F.sha2(F.concat("g", "cell"), 256)).alias("g"), "node")
+        smaller = cells.join(gain, "g", "left_semi").select(F.xxhash64("g", "cell").alias("g"), "node").distinct()
         stays = rest.select("g", "node").join(gain, "g", "left_anti")
         rest = smaller.union(stays)
     raise AssertionError("not reached")
@@ -412,15 +411,18 @@ def _share(percent: int) -> Column:
 def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id reachable over links."""
     with scratch(docs.sparkSession) as keep:
-        rows = stored(signed(docs, k, percent, id_col, text_col), "signed")
-        usable = rows.filter("node is not null and doc_id is not null")
-        classes = stored(usable.groupBy("node").agg(F.min(F.struct("doc_id", "n", "rare")).alias("x"), F.count(F.lit(1)).alias("copies")).select("node", F.col("x.doc_id").alias("rep"), "x.n", "x.rare", "copies"), "classes")
+        with scratch(docs.sparkSession) as keep_named:  # the shown shingles are kept once, beside the classes
+            found = stored(signed(docs, k, percent, id_col, text_col), "signed")
+            usable = found.filter("digest is not null and doc_id is not null")
+            least = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "rare")).alias("x"), F.count(F.lit(1)).alias("copies"))
+            classes = keep_named(stored(least.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("x.doc_id").alias("rep"), "x.n", "x.rare", "copies"), "classes"))
+            rows = keep_named(stored(found.select("doc_id", "n", "digest"), "rows"))
         labels = components(links(docs, classes, k, percent, id_col, text_col))
-        named = stored(labels.join(classes.select("node", "rep"), "node"), "named")
+        named = stored(labels.join(classes.select("node", "digest", "rep"), "node"), "named")
         first = stored(named.groupBy("component").agg(F.min("rep").alias("component_id")), "firsts")
-        linked_ones = named.join(small(first), "component").select("node", "component_id")
-        alone = classes.filter("copies > 1").select("node", "rep").join(small(labels.select("node")), "node", "left_anti").select("node", F.col("rep").alias("component_id"))
+        linked_ones = named.join(small(first), "component").select("digest", "component_id")
+        alone = classes.filter("copies > 1").select("node", "digest", "rep").join(small(labels.select("node")), "node", "left_anti").select("digest", F.col("rep").alias("component_id"))
         changed = small(stored(linked_ones.union(alone), "changed"))
-        out = rows.select("doc_id", "n", "node").join(changed, "node", "left")
+        out = rows.join(changed, "digest", "left")
         component: Column = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
         return keep(stored(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), "similar"))

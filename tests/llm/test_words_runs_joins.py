@@ -5,9 +5,11 @@ import random
 import re
 import zlib
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql.types import NumericType
 
 from factloom.llm import common, metric_join, near_dedup, periods, queries, spelling
 
@@ -220,6 +222,27 @@ def test_large_regions_are_cut_into_cells(spark, monkeypatch):
     assert cut and cut[0] > 0
 
 
+def test_rows_of_shown_shingles_hold_numbers_only(spark, monkeypatch):
+    """A row goes out for each shown shingle of each set, so it names sets, pivots and regions by numbers; the shown shingles are stored once while it does."""
+    rng = random.Random(9)
+    texts = [prose(rng, 60) for _ in range(20)]
+    rows = [(k, t) for k, t in enumerate(texts + [" ".join(t.split()[:-1]) for t in texts])]
+    tables, held, real, elect = {}, [], metric_join.stored, metric_join.elected
+    monkeypatch.setattr(metric_join, "stored", lambda df, what: tables.setdefault(what, []).append(real(df, what)) or tables[what][-1])
+
+    def elected(*a):
+        here = Path(tables["classes"][0]._stored_at)
+        held.extend(x.name for x in here.parent.iterdir() if x.name.startswith("signed-") and tables["signed"][0]._stored_at.endswith(x.name))
+        return elect(*a)
+
+    monkeypatch.setattr(metric_join, "elected", elected)
+    found = {r.doc_id: r.component_id for r in metric_join.similar_classes(spark.createDataFrame(rows, DOC), 3, 90).collect()}
+    assert found == {k: k % 20 for k in range(40)}
+    narrow = [f for what in ("pivots", "entries", "regions", "homes", "links", "known") for t in tables.get(what, []) for f in t.schema]
+    assert narrow and all(isinstance(f.dataType, NumericType) for f in narrow)
+    assert not held
+
+
 def test_windows_keep_every_link():
     rng = np.random.default_rng(5)
     base = np.unique(rng.integers(0, 1 << 62, 150, dtype=np.uint64))
