@@ -91,3 +91,14 @@ def test_paths_around_a_ball_count(spark, monkeypatch, distance):
 
     monkeypatch.setattr(Kernel, "_seen", staticmethod(pairs))
     assert got == pytest.approx(found()) and walked[0] is not None
+
+
+def test_pairs_do_not_carry_the_text_of_a_hub(spark):
+    """The text of a hub is as long as its links, and each of them has a pair with it."""
+
+    def length(n):
+        g = star(spark, n)
+        ends = Kernel(g, KernelOptions(match_type="hard", radius=1, distance=2), traced=True)._ends(cases_of(g))[0]
+        return ends.agg(F.sum(F.length("near") + F.length("far"))).first()[0]
+
+    assert length(80) <= 2.2 * length(40)
