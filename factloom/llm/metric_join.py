@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import batches, col, ddl, scratch, small, stored, tidy
-from .graph import components
+from .graph import components, merged
 from .near_dedup import shingle_set
 
 #: One in so many documents is counted for the order of rarity; counts from COMMON on tell, of at most KNOWN shingles (12 bytes each in every worker).
@@ -330,8 +330,8 @@ def _pairs(rows: DataFrame, k: int, percent: int) -> DataFrame:
     return _grouped(rows, ["g", "i", "j"], k, run, "u bigint, v bigint", EDGE)
 
 
-def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(u, v): links between classes (node, digest, rep, n, rare) that connect all that links connect. Stored."""
+def linked_classes(docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, component): what links connect of the classes (node, digest, rep, n, rare); those without links are left out. Stored."""
     regions = elected(classes, percent)
     texts = docs.select(col(docs, id_col).alias("rep"), col(docs, text_col).alias("text")).filter("rep is not null")
     def with_texts(rows: DataFrame) -> DataFrame:
@@ -346,13 +346,15 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str
     zero = F.lit(0).cast("bigint")
     members = home.join(small(salts), "g").select("g", F.pmod(F.xxhash64("node"), "salts").alias("salt"), F.lit(1).alias("tag"), "node")
     pivots = salts.select("g", F.explode(F.sequence(zero, F.col("salts") - 1)).alias("salt"), F.lit(0).alias("tag"), F.col("g").alias("node"))
-    edges = stored(_measured(with_texts(members.union(pivots)), k, percent), "links")
+    labels = components(stored(_measured(with_texts(members.union(pivots)), k, percent), "links"))
 
     # regions that hold several components, cut into cells until they fit a task
     # (two regions whose numbers agree would be one, in which the same links are found)
     rest = regions.select(F.xxhash64("pivot", "ring").alias("g"), "node").distinct()
     for turn in range(CUTS + 1):
-        rest = _parted(rest, edges, classes, percent)
+        rest = _parted(rest, labels, classes, percent)
+        if rest.isEmpty():
+            return labels
         large = (F.col("m") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)
         one = rest.filter(~large).select("g", zero.alias("i"), zero.alias("j"), F.col("component").alias("tag"), "node")
         if turn == CUTS:  # what doesn't shrink meets block by block
@@ -360,17 +362,17 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str
             own = F.pmod(F.xxhash64("node"), blocks)
             meet = F.transform(F.sequence(zero, blocks - 1), lambda b: F.struct(F.least(b, own).alias("i"), F.greatest(b, own).alias("j")))
             many = rest.filter(large).select("g", F.explode(meet).alias("p"), F.col("component").alias("tag"), "node").select("g", "p.i", "p.j", "tag", "node")
-            return stored(edges.union(_pairs(with_texts(one.union(many)), k, percent)), "links")
-        edges = stored(edges.union(_pairs(with_texts(one), k, percent)), "links")
+            return merged(labels, stored(_pairs(with_texts(one.union(many)), k, percent), "links"))
+        edges = stored(_pairs(with_texts(one), k, percent), "links")
         rest = rest.filter(large)
         if rest.isEmpty():
-            return edges
+            return merged(labels, edges)
         chosen = F.pmod(F.xxhash64("g", "node", F.lit(turn)), F.col("m")) < PIVOTS
         salts = F.ceil(F.col("m") / BLOCK)
         members = rest.select("g", F.pmod(F.xxhash64("node"), salts).alias("salt"), F.lit(1).alias("tag"), "node")
         pivots = rest.filter(chosen).select("g", F.explode(F.sequence(zero, salts - 1)).alias("salt"), F.lit(0).alias("tag"), "node")
         cells = stored(_cells(with_texts(members.union(pivots)), k, percent), "cells")
-        edges = stored(edges.union(cells.filter("near and cell != node").select(F.col("cell").alias("u"), F.col("node").alias("v"))), "links")
+        labels = merged(labels, edges.union(cells.filter("near and cell != node").select(F.col("cell").alias("u"), F.col("node").alias("v"))))
         # cells that hold most of their region each, as sets equally far from all pivots make them, are no gain: such a region stays whole
         per_cell = cells.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("k"))
         gain = per_cell.groupBy("g").agg(F.sum(F.col("k") * F.col("k")).alias("_work")).join(rest.select("g", "m").distinct(), "g").filter("2 * _work < m * m").select("g")
@@ -381,9 +383,9 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str
     raise AssertionError("not reached")
 
 
-def _parted(rest: DataFrame, edges: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _parted(rest: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(g, node, component, m, bytes): members of regions that may link with another component there, with the regions' sizes. Stored."""
-    known = rest.join(components(edges), "node", "left").select("g", "node", F.coalesce("component", "node").alias("component"))
+    known = rest.join(small(labels), "node", "left").select("g", "node", F.coalesce("component", "node").alias("component"))
     known = _several(stored(known, "known"))
     # within its region too, a set shares enough of what it shows with sets of other components
     shown = known.join(classes.select("node", "rare", _share(percent)), "node").select(F.xxhash64("g", "node").alias("member"), F.xxhash64("component").alias("c"), "share", "g", F.explode("rare").alias("s"))
@@ -392,13 +394,17 @@ def _parted(rest: DataFrame, edges: DataFrame, classes: DataFrame, percent: int)
     votes = shown.join(useful, "k").groupBy("member").agg(F.count(F.lit(1)).alias("votes"), F.max("share").alias("share")).filter("votes >= share").select("member")
     known = known.withColumn("member", F.xxhash64("g", "node")).join(small(stored(votes, "voters")), "member", "left_semi").drop("member")
     known = stored(known.join(classes.select("node", "n"), "node"), "known")
-    sizes = known.groupBy("g").agg(F.count(F.lit(1)).alias("m"), (8 * F.sum("n")).alias("bytes"))
-    return stored(_several(known).drop("n").join(small(stored(sizes, "sizes")), "g"), "parted")
+    sizes = known.groupBy("g").agg(F.count(F.lit(1)).alias("m"), (8 * F.sum("n")).alias("bytes"), *_ends()).filter("_low != _high").select("g", "m", "bytes")
+    return stored(known.drop("n").join(small(stored(sizes, "sizes")), "g"), "parted")
+
+
+def _ends() -> tuple[Column, Column]:
+    return F.min("component").alias("_low"), F.max("component").alias("_high")
 
 
 def _several(known: DataFrame) -> DataFrame:
     """The members of regions with more than one component."""
-    mixed = known.groupBy("g").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low != _high").select("g")
+    mixed = known.groupBy("g").agg(*_ends()).filter("_low != _high").select("g")
     return known.join(small(stored(mixed, "mixed")), "g", "left_semi")
 
 
@@ -417,7 +423,7 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             least = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "rare")).alias("x"), F.count(F.lit(1)).alias("copies"))
             classes = keep_named(stored(least.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("x.doc_id").alias("rep"), "x.n", "x.rare", "copies"), "classes"))
             rows = keep_named(stored(found.select("doc_id", "n", "digest"), "rows"))
-        labels = components(links(docs, classes, k, percent, id_col, text_col))
+        labels = linked_classes(docs, classes, k, percent, id_col, text_col)
         named = stored(labels.join(classes.select("node", "digest", "rep"), "node"), "named")
         first = stored(named.groupBy("component").agg(F.min("rep").alias("component_id")), "firsts")
         linked_ones = named.join(small(first), "component").select("digest", "component_id")
