@@ -24,6 +24,11 @@ def cases_of(graph):
     return graph.vertices.filter("sig = 'item'").select("ex", F.col("vid").alias("case_id"), F.array("vid").alias("viewpoints"))
 
 
+def all_points(graph):
+    """The graph with its links as kernel points too."""
+    return Graph(graph.vertices.withColumn("is_kp", F.lit(True)), graph.edges)
+
+
 def largest_cut(spark, monkeypatch, n, **options):
     sizes, real = [], kernels.cut
     monkeypatch.setattr(kernels, "cut", lambda df: sizes.append((out := real(df)).count()) or out)
@@ -44,6 +49,30 @@ def test_viewpoints_are_marked_near_them_only(spark, monkeypatch, match_type):
     assert largest_cut(spark, monkeypatch, 120, **options) <= 3.2 * largest_cut(spark, monkeypatch, 40, **options)
 
 
+@pytest.mark.parametrize("variant", ["nspdk3d", "nspdk"])
+def test_links_that_are_kernel_points_do_not_meet_at_their_hub(spark, monkeypatch, variant):
+    """Cases look from items; the links of a hub, two steps from each other, begin no pair."""
+
+    def most(n):
+        sizes, real = [], kernels.cut
+        monkeypatch.setattr(kernels, "cut", lambda df: sizes.append((out := real(df)).count()) or out)
+        g = all_points(star(spark, n))
+        Kernel(g, KernelOptions(variant=variant, match_type="hard_propertyless", radius=1, distance=2)).features(cases_of(g)).collect()
+        monkeypatch.setattr(kernels, "cut", real)
+        return max(sizes)
+
+    assert most(120) <= 3.2 * most(40)
+
+
+def test_cases_that_share_a_viewpoint_count_it_once_each(spark):
+    """Without steps, too: a walk begins once at a vertex, however many cases look from it."""
+    g = star(spark, 6)
+    once = cases_of(g)
+    twice = once.unionByName(once.withColumn("case_id", F.concat(F.lit("also "), "case_id")))
+    found = Kernel(g, KernelOptions(distance=0, normalization=False)).features(twice).collect()
+    assert {r.value for r in found} == {1.0} and len({r.case_id for r in found}) == 12
+
+
 def test_fingerprints_read_a_ball_once(spark, monkeypatch):
     from factloom.operators import cache
 
