@@ -1,7 +1,11 @@
+import math
+
+import duckdb
 import numpy as np
 import pytest
 
 from factloom.functions import algebra
+from factloom.plans import queries
 
 
 @pytest.fixture
@@ -48,3 +52,14 @@ def test_given_pairs_meet_in_blocks_and_may_repeat(spark, small):
         want = lambda a, b, kernel=kernel: dense[a] @ dense[b] if kernel == "linear" else np.exp(-0.3 * ((dense[a] - dense[b]) ** 2).sum())
         assert sorted((r.case_a, r.case_b) for r in got) == sorted(pairs)
         assert all(r.k == pytest.approx(want(r.case_a, r.case_b)) for r in got)
+
+
+def test_pairs_are_rounded_as_sql_rounds(spark):
+    """Halves too, without decimals; what is too large to have such digits, or no number, stays as it is."""
+    rng = np.random.default_rng(7)
+    given = [*(rng.normal(size=200) * 10.0 ** rng.integers(-6, 9, 200)).tolist(), *(k / 64 for k in range(-40, 40)), 1.000005, -2.000015, 0.0, 1e-9, -1e-9, 1e14, -1e300, math.inf, -math.inf]
+    frame = spark.createDataFrame([(x,) for x in [*given, math.nan, None]], "x double").coalesce(1).select("x", queries._rounded("x", 5).alias("y"))
+    assert "round(" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    rows = frame.collect()
+    assert math.isnan(rows[-2].y) and rows[-1].y is None
+    assert [r.y for r in rows[:-2]] == [duckdb.execute("SELECT round(?::DOUBLE, 5)", [x]).fetchone()[0] for x in given]
